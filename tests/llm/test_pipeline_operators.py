@@ -1,0 +1,260 @@
+"""The five operators of the pipeline, against brute force on fixtures and on the smallest tables."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.llm import decontaminate, fmindex, packing, quality, registry, simhash, substring
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts(n=60, seed=1, vocabulary=30):
+    """Documents with copies, shared passages, periodic runs, odd white space, nulls and empties."""
+    r = random.Random(seed)
+    word = lambda: r.choice(["ab", "cd", "Éa", "x", "qu.", "Zz"]) + r.choice("abcdefghij"[: max(1, vocabulary // 3)])
+    passage = [word() for _ in range(45)]
+    out = [None, "", "  \n", "one", "x " * 70, "a b " * 40]
+    while len(out) < n:
+        kind, w = r.random(), [word() for _ in range(r.randrange(0, 90))]
+        if kind < 0.2 and out[-1]:
+            out.append(out[-1])
+        elif kind < 0.5:
+            a = r.randrange(len(w) + 1)
+            s = r.randrange(20)
+            out.append(" ".join(w[:a] + passage[s : s + 25] + w[a:]))
+        elif kind < 0.6 and out[-1]:
+            x = out[-1].split()
+            if x:
+                x[r.randrange(len(x))] = "edit"
+            out.append("\t ".join(x))
+        else:
+            out.append(r.choice([" ", "\n", "  "]).join(w))
+    return list(enumerate(out))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "rest", None) for i, t in rows], "doc_id long, text string, n_words string, rest int")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("bucket_bytes", [400, 1 << 20])
+def test_substring(spark, seed, bucket_bytes):
+    rows = texts(seed=seed)
+    got = substring.substring_dedup(frame(spark, rows), bucket_bytes=bucket_bytes).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in got} == brute.substring(rows)
+    for r in got:
+        assert r.text.split() == r.kept.split() and sum(s.end - s.start for s in r.spans) == r.n_removed
+
+
+def test_substring_edges(spark):
+    empty = frame(spark, [])
+    assert substring.substring_dedup(empty).count() == 0
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(7, long), (7, long), (9, long + " tail"), (None, long), (None, "short")]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (-1, 30000), (7, 0), (7, 0), (9, 30000)]
+    assert [r.text for r in got if r.doc_id == 9] == ["tail"]
+
+
+def test_substring_query(spark):
+    rows = [(r.doc_id, r.text) for r in registry.table(spark, SF, "documents").collect()]
+    got = registry.op5_substring_dedup(spark, SF).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substring(rows)
+
+
+def test_simhash_query(spark):
+    rows = [(r.doc_id, r.text) for r in registry.table(spark, SF, "documents").collect()]
+    got = registry.op6_simhash(spark, SF).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == brute.simhash(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_simhash_fixture(spark, seed):
+    rows = texts(seed=seed)
+    got = simhash.near_duplicates(frame(spark, rows)).collect()
+    want = brute.simhash(rows)
+    assert {r.id: (f"{r.fp & (1 << 64) - 1:016x}", r.component) for r in got} == want
+    kept = simhash.representatives(frame(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
+    assert kept.columns == ["doc_id", "text", "n_words", "rest"]
+
+
+@pytest.mark.parametrize("segments,distance", [(3, 4), (2, 4), (4, 3), (5, 4)])
+def test_links_find_all_components(spark, segments, distance):
+    r = random.Random(segments)
+    base = [r.getrandbits(64) for _ in range(6)]
+    fps = sorted({b ^ sum({1 << r.randrange(64) for _ in range(r.randrange(7))}) for b in base for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, segments).collect()
+    assert all((x.u ^ x.v) % (1 << 64) and ((x.u ^ x.v) % (1 << 64)).bit_count() <= distance for x in found)
+    want = [(a, b) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) % (1 << 64)).bit_count() <= distance]
+    assert brute.groups(signed, [(x.u, x.v) for x in found]) == brute.groups(signed, want)
+
+
+def test_simhash_edges(spark):
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0
+    rows = [(3, None), (2, ""), (None, "lone words here now"), (3, None)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id or -1, r.component or -1) for r in got) == [(-1, -1), (2, 2), (3, 2), (3, 2)]
+
+
+def test_suffix_array_and_search():
+    r = np.random.default_rng(0)
+    for n, kinds in ((1, 1), (40, 2), (300, 3), (400, 50)):
+        x = r.integers(1, kinds + 1, n)
+        order = fmindex.suffix_array(np.r_[x, 0])
+        assert order.tolist() == sorted(range(n + 1), key=lambda i: [*x[i:].tolist(), 0])
+        index = fmindex.FMIndex(x, sample=5)
+        phrases = np.array([[a, b] for a in range(1, kinds + 3) for b in range(1, kinds + 2)])
+        lo, hi = index.search(phrases)
+        for p, a, b in zip(phrases, lo, hi, strict=True):
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(n - 1) if (x[i : i + 2] == p).all()]
+
+
+def test_decontaminate_query(spark):
+    rows = [(r.doc_id, r.text) for r in registry.table(spark, SF, "documents").collect()]
+    items = [(r.item_id, r.text) for r in registry.table(spark, SF, "benchmark").collect()]
+    got = registry.op9_decontaminate(spark, SF).collect()
+    want = brute.decontaminate(rows, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want
+    assert any(x[4] for x in want.values())
+
+
+@pytest.mark.parametrize("block_bytes,shard_words", [(1 << 20, 1 << 20), (300, 100)])
+def test_decontaminate_fixture(spark, block_bytes, shard_words):
+    rows = texts(seed=5)
+    items = [(1, rows[20][1]), (2, "Abc"), (3, ""), (4, None), (10, "x x"), (11, " ".join((rows[30][1] or "").split()[:15])), (12, "xa.xb-XC"), (2, "edit"), (13, "x " * 14)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.search(frame(spark, rows), bench, block_bytes=block_bytes, shard_words=shard_words, remove=True).collect()
+    want = brute.decontaminate(rows, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), decontaminate.digest(r["items"]), r.contaminated) for r in got} == want
+    for r in got:
+        assert len(brute.AN_WORD.findall(r.text)) == r.n_words - r.n_hit
+
+
+def test_decontaminate_edges(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    got = decontaminate.search(frame(spark, [(1, "a b"), (2, None)]), none).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in sorted(got)] == [(2, 0, False), (0, 0, False)]
+    assert decontaminate.search(frame(spark, []), none).count() == 0
+
+
+def pieces_hold(pieces, docs, limit=2048):
+    """Every id in one piece, no sequence too long, offsets without gaps; returns the share of padding."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(registry.vocabulary())
+    tok.encode_special_tokens = True
+    own, seq = {}, {}
+    for p in pieces:
+        own.setdefault(p.doc_id, []).append(p)
+        seq.setdefault(p.sequence_id, []).append(p)
+    for i, t in docs:
+        ids, at = [*tok.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for p in sorted(own.pop(i), key=lambda p: p.start):
+            assert (p.start, p.doc_tokens) == (at, len(ids))
+            assert p.ids_crc32 == brute.crc(ids[at : at + p.length])
+            at += p.length
+        assert at == len(ids)
+    assert not own
+    for s in seq.values():
+        at = 0
+        for p in sorted(s, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= limit
+    return 1 - sum(p.length for p in pieces) / (limit * len(seq))
+
+
+def test_packing_query(spark):
+    docs = [(r.doc_id, r.text) for r in registry.table(spark, SF, "documents").collect()]
+    assert pieces_hold(registry.op10_packing(spark, SF).collect(), docs) < 0.02
+
+
+def test_packing_of_few_rows_and_many_parts(spark):
+    docs = [(i, t) for i, t in texts(80, 9)]
+    got = packing.packed(frame(spark, docs).repartition(7), registry.vocabulary(), cuts=True, block=5).withColumnRenamed("crc32", "ids_crc32").collect()
+    assert pieces_hold(got, docs) < 0.2
+    assert packing.packed(frame(spark, []), registry.vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+def test_pack_keeps_all_limits(cuts):
+    r = np.random.default_rng(3)
+    tokens, prompt = r.integers(1, 90, 400), r.integers(0, 60, 400)
+    limits = packing.Limits(100, 4, 50)
+    if not cuts:
+        keep = np.maximum(0, tokens - prompt) <= 50
+        tokens, prompt = tokens[keep], prompt[keep]
+    sequences, rest = packing.pack(tokens, prompt, limits, cuts, True)
+    assert not rest
+    seen = {}
+    for s in sequences:
+        assert len(s) <= 4 and sum(m for _, _, m in s) <= 100
+        assert sum(max(0, a + m - max(a, prompt[i])) for i, a, m in s) <= 50
+        for i, a, m in s:
+            seen.setdefault(i, []).append((a, m))
+    for i, n in enumerate(tokens):
+        at = 0
+        for a, m in sorted(seen[i]):
+            assert a == at
+            at += m
+        assert at == n and (cuts or len(seen[i]) == 1)
+    with pytest.raises(ValueError):
+        packing.pack(np.array([101]), np.array([0]), limits, False, True)
+
+
+def test_quality_held_out(spark):
+    """Accuracy on labelled rows that training never saw."""
+    got = registry.op7_quality(spark, "/root/testdata/sf0.01")
+    labels = registry.table(spark, "/root/testdata/sf0.01", "labels")
+    rows = got.where("held_out").join(labels, "doc_id").select("predicted", "quality", "score").collect()
+    assert len(rows) > 50
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.93
+    assert got.where("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, None, 5), (None, "", 6), (3, "!!! %%% x" * 2000, 7), (3, "a b c", 8)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = quality.score(docs, model).collect()
+    assert len(got) == 4 and all(r.score == 0.5 and r.predicted == 0 for r in got)
+    both = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int")
+    model = quality.train(docs, both, metadata=["score"])
+    got = quality.score(docs.withColumnRenamed("score", "size"), model, metadata=["size"]).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(docs.limit(0).withColumnRenamed("score", "size"), model, metadata=["size"]).count() == 0
+
+
+def test_fm_identity():
+    """The linear-time form equals the sum over pairs."""
+    r = np.random.default_rng(1)
+    x, v = r.normal(size=(3, 9)).astype(np.float32), r.normal(size=(9, 4)).astype(np.float32)
+    m = quality.Model(np.zeros(0), np.ones(0), 0.3, r.normal(size=9).astype(np.float32), v, 9)
+    want = [0.3 + row @ m.linear + sum(v[i] @ v[j] * row[i] * row[j] for i in range(9) for j in range(i)) for row in x]
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(-np.array(want))), atol=1e-5)
+
+
+def test_components(spark):
+    from folioscope.llm.components import components
+
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(5, None), (7, 7)]
+    got = components(spark.createDataFrame(edges, "u long, v long"))
+    want = brute.groups(range(500), [e for e in edges if e[1] is not None])
+    touched = {x for a, b in edges if b is not None and a != b for x in (a, b)}
+    rows = got.collect()
+    assert len(rows) == len(touched) and {x.node: x.component for x in rows} == {n: want[n] for n in touched}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_columns_pass_through(spark):
+    rows = [(1, "a b c", "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rest string, id int")
+    assert substring.substring_dedup(df).select("rest", "id").first() == ("x", 2)
+    assert decontaminate.search(df, df.select(F.col("doc_id").alias("item_id"), "text")).select("rest", "id").first() == ("x", 2)
