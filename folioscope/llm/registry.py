@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, substring
+from . import decontaminate, minhash, packing, quality, sharding, simhash, substring, tokenfiles
+from .neighbours import with_next
 
 
 def vocabulary() -> str:
@@ -21,6 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = minhash.with_fingerprint(docs, name="fp")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half))
+    both = minhash.with_fingerprint(with_next(own, "doc_id", ["text"]).withColumn("edited", edited), "edited", "edited_fp")
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        minhash.as_string(F.col("fp")).alias("fingerprint"),
+        minhash.as_string(F.col("edited_fp")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        minhash.likeness(F.col("fp"), F.col("next.fp")).alias("near_next"),
+    )
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, path = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary())
+    return tokenfiles.read(manifest, path).withColumnRenamed("crc32", "ids_crc32")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,6 +60,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep_text=False).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.shuffled(rows, ["doc_id", "size", "text_crc32"], 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -48,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_substring_dedup, op6_simhash, op7_quality, op9_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op2_minhash, op3_token_files, op5_substring_dedup, op6_simhash, op7_quality, op8_sharding, op9_decontaminate, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
