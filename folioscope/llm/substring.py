@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, hashes, ids, keyed, mixed, rolled, texts, unkeyed
+from .common import FACTOR, bucket_count, hashes, ids, keyed, mixed, rolled, texts, unkeyed
 
 BUCKET_BYTES = 2 << 20
 _PACK = zstandard.ZstdCompressor(level=1)
@@ -98,15 +98,17 @@ _HASHES = "part int, bucket int, data binary"
 _REPEATS = "bucket int, ids binary, starts binary"
 
 
-def _by_part(key: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each key, by its high bits: equal shares of the range."""
-    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _by_part(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each anchor. Anchors are least hashes, so most are small; scrambled again they spread evenly."""
+    return (mixed(anchor + np.uint64(FACTOR)) % np.uint64(parts)).astype(np.int64)
 
 
 def _anchors(length: int, seed: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         values, _ = Bucket(table, length, seed).places()
         part, bucket = _by_part(values, parts), table.column("bucket")[0].as_py()
+        order = np.argsort(part, kind="stable")
+        values, part = values[order], part[order]
         cut = _runs(part)
         return pa.table([pa.array([int(part[a]) for a, _ in cut], pa.int32()), pa.array([bucket] * len(cut), pa.int32()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "bucket", "data"])
 
