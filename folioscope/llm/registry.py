@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, sharding, simhash, substring, tokenfiles
+from . import decontaminate, minhash, packing, quality, quotes, sharding, simhash, sql, substring, tokenfiles, urls
 from .neighbours import with_next
 
 
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the contract.
+RULES = [urls.rule("com/", "allow"), urls.rule("example.com/en/", "block"), urls.rule("www.example.com/en/", "allow"), urls.rule("net/es/", "block"), urls.rule("net/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = minhash.with_fingerprint(docs, name="fp")
@@ -44,6 +52,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(manifest, path).withColumnRenamed("crc32", "ids_crc32")
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "position", "turn", "role", "body", "parent_turn", "root_turn", "depth", "n_quoted", "n_linked")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,8 +92,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash, op3_token_files, op5_substring_dedup, op6_simhash, op7_quality, op8_sharding, op9_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_token_files, op4_quotation_linking, op5_substring_dedup, op6_simhash, op7_quality, op8_sharding, op9_decontaminate, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": sql.OP1, "op4_quotation_linking": sql.OP4, "op5_substring_dedup": sql.OP5, "op9_decontaminate": sql.OP9}
