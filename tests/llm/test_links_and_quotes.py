@@ -91,7 +91,7 @@ def test_threads(spark):
     got = {(r.conv_id, r.turn): r for r in reply_ordered(spark, MESSAGES).collect()}
     of = lambda t: (got[1, t].parent_turn, got[1, t].root_turn, got[1, t].depth, got[1, t].position)
     # Turn 5 quotes a line of turn 3 and one of turn 4: the later one.
-    assert [of(t) for t in range(6)] == [(None, 0, 0, 0), (0, 0, 1, 1), (1, 0, 2, 3), (0, 0, 1, 2), (None, 4, 0, 5), (4, 4, 1, 6)]
+    assert [of(t) for t in range(6)] == [(None, 0, 0, 0), (0, 0, 1, 1), (1, 0, 2, 3), (0, 0, 1, 2), (None, 4, 0, 4), (4, 4, 1, 5)]
     assert got[1, 2].body == "More words" and got[1, 2].n_quoted == 2 and got[1, 2].n_linked == 2 and got[1, 5].body == ""
     assert got[2, 0].parent_turn is None and got[2, 0].n_quoted == 1 and got[2, 0].n_linked == 0
     assert got[None, 3].body == "a > b" and got[2, None].parent_turn is None
