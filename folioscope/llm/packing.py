@@ -141,8 +141,9 @@ def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int)
         held = 0
         for b in batches:
             prompts = b.column("prompt").to_pylist()
-            for id_, text, p in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), prompts, strict=True):
-                data = enc.encode(text or "") + tail
+            data_of = (x for at in range(0, b.num_rows, 512) for x in enc.encode_all([t or "" for t in b.column("text")[at : at + 512].to_pylist()]))
+            for id_, data, p in zip(b.column("id").to_pylist(), data_of, prompts, strict=True):
+                data += tail
                 waiting.append((id_, data, 0, len(data) // 4, p or 0))
                 held += len(data)
                 if len(waiting) >= block or held > 32 << 20:

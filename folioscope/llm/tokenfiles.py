@@ -161,10 +161,11 @@ def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int):
         tail = np.array([end_id], "<u4").tobytes()
         part, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            for id_, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = enc.encode(text or "") + tail
-                w.add(id_, data)
-                n += len(data) // 4
+            for at in range(0, b.num_rows, 512):
+                rows = b.slice(at, 512)
+                for id_, data in zip(rows.column("id").to_pylist(), enc.encode_all([t or "" for t in rows.column("text").to_pylist()]), strict=True):
+                    w.add(id_, data + tail)
+                    n += len(data) // 4 + 1
         if n:
             Store(path).put(f"part-{part:06d}.ids.zst", w.finish())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"part-{part:06d}.ids.zst"]), pa.array([n], pa.int64()), pa.array([len(w.index)], pa.int64())], ["part", "file", "n_tokens", "n_docs"])

@@ -8,11 +8,17 @@ recur, so each worker keeps the ids of those that it has met, in a bounded table
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: Parts that a worker remembers.
-KNOWN = 300_000
+#: Parts of a generation; a worker remembers the latest and the one before.
+KNOWN = 400_000
+#: Characters of texts that are encoded at once.
+BLOCK = 1 << 15
+
+#: Latin letters, then marks of ASCII without the apostrophe: two pieces of the byte-level pattern.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
 
 
 class Encoder:
@@ -24,44 +30,91 @@ class Encoder:
         # Strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
         self.limit = known
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        # Byte-level tokens are spelled with a character for each byte.
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in a block of texts is learned at once."""
         if not self.cuts:
-            return self._whole([text])[0]
-        first, *parts = text.split(" ")
-        get = self.known.__getitem__
-        try:
-            body = b"".join(map(get, parts))
-        except KeyError:
-            self._learn(parts)
+            return [self._whole([t])[0] if t else b"" for t in texts]
+        out, block, size = [], [], 0
+        for t in texts:
+            block.append(t)
+            size += len(t)
+            if size > BLOCK:
+                out += self._block(block)
+                block, size = [], 0
+        return out + self._block(block)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        parts = [t.split(" ") for t in texts]
+        starts = [p.pop(0) for p in parts]
+        self._learn(set().union(*parts))
+        get, first, out = self.known.__getitem__, self.first, []
+        for text, start, rest in zip(texts, starts, parts, strict=True):
+            if start not in first:
+                if len(first) > 50_000:
+                    first.clear()
+                first[start] = self._whole([start])[0] if start else b""
             try:
-                body = b"".join(map(get, parts))
-            except TypeError:
-                return self._whole([text])[0]
-        except TypeError:  # a part that starts with white space, or an empty one
-            return self._whole([text])[0]
-        return (self._whole([first])[0] if first else b"") + body
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        new = list({p for p in parts if p not in self.known})
-        if len(self.known) + len(new) > self.limit and self.known:
-            self.known.clear()
-            new = list(set(parts))
-        good = [p for p in new if p and not p[0].isspace()]
-        self.known.update(dict.fromkeys(set(new).difference(good)))
+                out.append(first[start] + b"".join(map(get, rest)))
+            except TypeError:  # a part that starts with white space, or an empty one
+                out.append(self._whole([text])[0])
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of the parts that are not known; of an older generation if it has them, else encoded together."""
+        new = parts.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
+            self.older, self.known = self.known, {}
+            new = parts
+        kept = new & self.older.keys()
+        self.known |= zip(kept, map(self.older.__getitem__, kept), strict=True)
+        rest = new - kept
+        # A word and the marks behind it are two pieces, so a known word with new marks is known.
+        split = {p: m.groups() for p in rest if (m := _PLAIN.fullmatch(p))}
+        words = {w for w, _ in split.values()}.union(rest.difference(split))
+        words = [w for w in words if w not in self.known]
+        good = [w for w in words if w and not w[0].isspace()]
+        if len(good) < len(words):
+            self.known |= dict.fromkeys(set(words).difference(good))
         for at in range(0, len(good), 4096):
             some = good[at : at + 4096]
-            self.known.update(zip(some, self._whole([f" {p}" for p in some]), strict=True))
+            self.known |= zip(some, self._together(some), strict=True)
+        for p, (w, marks) in split.items():
+            self.known[p] = self.known[w] + self._marks(marks)
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self._whole([marks])[0]
+            if len(self.marks) < 10_000:
+                self.marks[marks] = found
+        return found
+
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part with a space before it: encoded in rows, cut where the bytes of a part end."""
+        rows = [" " + " ".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+        at = np.cumsum(self.sizes[ids])
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        cut = np.searchsorted(at, ends)
+        if not np.array_equal(at[cut], ends):
+            raise RuntimeError("a token goes over the end of a part")
+        data, cuts = ids.tobytes(), (4 * (cut + 1)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

@@ -136,6 +136,22 @@ def test_token_files_of_several_parts(spark, tmp_path):
     assert tokenfiles.read(none, path).count() == 0
 
 
+@pytest.mark.parametrize("known", [3, 40, 10**6])
+def test_parts_encode_like_whole_texts(known):
+    """With a memory that overflows all the time, and with odd white space and characters."""
+    from tokenizers import Tokenizer
+
+    from folioscope.llm.tokens import Encoder
+
+    enc, tok, r = Encoder(registry.vocabulary(), known), Tokenizer.from_file(registry.vocabulary()), random.Random(known)
+    tok.encode_special_tokens = True
+    bits = ["a", "The", "été,", "Ünder%%%", "naïve_", "ªb", "ends.'", "A&&&!!", "Ààÿþð", "don't", "x\n", "\ny", "1,234", "é", "日本", "\u00a0", "\x1c", "\u2003z", "<|endoftext|>", "", "🙂", "''s", "%%%", "\t", "word's\n\nNew"]
+    rows = ["".join(r.choice(bits) + r.choice([" ", " ", "", "\n"]) for _ in range(r.randrange(12))) for _ in range(400)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+    assert [enc.encode(t) for t in rows] == want
+    assert enc.encode_all(rows) == want
+
+
 def test_seekable_file():
     r = random.Random(1)
     docs = [(i, np.array([r.randrange(50_000) for _ in range(r.randrange(1, 400))], "<u4").tobytes()) for i in range(60)]
