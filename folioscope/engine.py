@@ -15,7 +15,7 @@ from .sources.documents import Extractor, default_extractor, list_documents
 from .streaming.watch import watch, with_retries
 
 MOST_RESULTS = 10
-NO_CHUNKS = "No matching chunks found."
+NO_CHUNKS = "No relevant chunks found."
 
 
 def session(name: str = "folioscope") -> SparkSession:

@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(page, 0) AS page_number,
                 CASE WHEN coalesce(path, '') = '' THEN '#' WHEN starts_with(path, './') THEN '/' || substr(path, 3) WHEN starts_with(path, '/') THEN path ELSE '/' || path END AS pdf_link,
                 coalesce(nullif(paragraph, ''), chunk, '') AS paragraph_text FROM r)
-            SELECT *, pdf_link || '#page=' || page_number AS preview, coalesce(nullif(paragraph_text, ''), 'No paragraph available.') AS paragraph_shown FROM f""",
+            SELECT *, pdf_link || '#page=' || page_number AS preview, coalesce(nullif(paragraph_text, ''), 'Paragraph text unavailable for this hit.') AS paragraph_shown FROM f""",
         "new_documents": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
         "path_filter": "SELECT page_id, url FROM pages WHERE ends_with(lower(url), '.html')",
     }

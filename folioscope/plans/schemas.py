@@ -50,7 +50,7 @@ CHUNK_INDEX = T.StructType(
         T.StructField("language_code", _S),
         T.StructField("file_path", _S),
         T.StructField("text", _S),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False), False),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     ]
 )
 

@@ -87,7 +87,7 @@ def client_results(df: DataFrame) -> DataFrame:
     """API records with the client's defaults (for null only) and the preview address."""
     default = {"exact_quote": "", "book_title": "Unknown Title", "author": "Unknown Author", "pdf_link": "#", "paragraph_text": ""}
     rows = df.select(*[F.coalesce(c, F.lit(default[c])).alias(c) if c in default else F.coalesce(c, F.lit(0)).alias(c) if c == "page_number" else F.col(c) for c in df.columns])
-    return rows.withColumn("preview", preview(F.col("pdf_link"), F.col("page_number"))).withColumn("paragraph_shown", or_else(F.col("paragraph_text"), F.lit("No paragraph available.")))
+    return rows.withColumn("preview", preview(F.col("pdf_link"), F.col("page_number"))).withColumn("paragraph_shown", or_else(F.col("paragraph_text"), F.lit("Paragraph text unavailable for this hit.")))
 
 
 def preview(pdf_link: Column, page: Column) -> Column:
