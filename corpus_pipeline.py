@@ -35,8 +35,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
-    return packing.packed(docs, registry.vocabulary(), cuts=True).withColumnRenamed("crc32", "ids_crc32")
+    """Sequences of at most 2048 tokens. Workers have other stages before and behind, so they remember fewer parts."""
+    return packing.packed(docs, registry.vocabulary(), cuts=True, known=100_000).withColumnRenamed("crc32", "ids_crc32")
 
 
 STAGES = [

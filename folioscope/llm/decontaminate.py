@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, texts, unkeyed
+from .common import keyed, sliced, texts, unkeyed
 from .fmindex import FMIndex
 
 BLOCK_BYTES = 16 << 20
@@ -117,10 +117,10 @@ _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("sta
 _FOUND_SQL = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
-def _searches(phrases, shard_words: int):
+def _searches(phrases, shard_words: int, remove: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
-        for b in batches:
+        for b in sliced(batches):
             data = texts(b.column("text"))
             found, docs, size = [], [], 0
 
@@ -139,7 +139,10 @@ def _searches(phrases, shard_words: int):
             before = b.column("found").to_pylist()
             if any(x is not None for x in before):
                 found = [_joined(x, y) for x, y in zip(before, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), b.column("rest"), pa.array(found, _FOUND)], ["id", "text", "rest", "found"])
+            text = b.column("text")
+            if remove and any(x["spans"] for x in found):
+                text = pa.array([cut(t, [(s["start"], s["end"]) for s in x["spans"]]) for t, x in zip(data, found, strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id"), text, b.column("rest"), pa.array(found, _FOUND)], ["id", "text", "rest", "found"])
 
     return run
 
@@ -151,12 +154,6 @@ def _joined(x: dict | None, y: dict) -> dict:
     return {"n_words": y["n_words"], "spans": [{"start": a, "end": z} for a, z in spans], "items": sorted({*x["items"], *y["items"]})}
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [cut(t, [(s["start"], s["end"]) for s in f]) if f else t for t, f in zip(texts(b.column("text")), b.column("spans").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary()).cast(pa.string()), *b.columns[2:]], b.schema.names)
-
-
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, remove: bool = False) -> DataFrame:
     """``docs`` with ``n_words, n_hit, items`` (sorted as strings), ``spans`` (removal spans, in words) and ``contaminated``.
 
@@ -179,10 +176,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     blocks = -(-size // block_bytes) or 1
     for i in range(blocks):
         some = [(r["item"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i).toLocalIterator()]
-        out = out.mapInArrow(_searches(spark.sparkContext.broadcast(Phrases(some, window)), shard_words), f"id long, text string, rest {rest}, found {_FOUND_SQL}")
+        out = out.mapInArrow(_searches(spark.sparkContext.broadcast(Phrases(some, window)), shard_words, remove and i == blocks - 1), f"id long, text string, rest {rest}, found {_FOUND_SQL}")
     out = out.select("id", "text", "rest", "found.*").withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
-    if remove:
-        out = out.mapInArrow(_cuts, out.schema)
     return unkeyed(out, docs.columns, id_col, text_col, others, {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "items": F.col("items"), "spans": F.col("spans"), "contaminated": F.col("n_hit") > 0})
 
 

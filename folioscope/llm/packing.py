@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, written
-from .tokens import encoder
+from .common import sliced, written
+from .tokens import KNOWN, encoder
 
 
 @dataclass(frozen=True)
@@ -96,13 +96,13 @@ def pack(tokens: np.ndarray, prompt: np.ndarray, limits: Limits, cuts: bool, las
     return sequences, []
 
 
-def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int):
+def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int, known: int):
     names = ["id", "start", "length", "crc32", "doc_tokens", "prompt", "sequence_id", "offset", "task", "ids"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, known)
         tail = np.array([end_id], "<u4").tobytes()
         # Open examples: (id, ids from ``base`` on, base, tokens of the document, tokens without loss).
         waiting: list[tuple] = []
@@ -139,10 +139,9 @@ def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int)
             return batch
 
         held = 0
-        for b in batches:
-            prompts = b.column("prompt").to_pylist()
-            data_of = (x for at in range(0, b.num_rows, 512) for x in enc.encode_all([t or "" for t in b.column("text")[at : at + 512].to_pylist()]))
-            for id_, data, p in zip(b.column("id").to_pylist(), data_of, prompts, strict=True):
+        for b in sliced(batches, 512):
+            encoded = enc.encode_all([t or "" for t in b.column("text").to_pylist()])
+            for id_, data, p in zip(b.column("id").to_pylist(), encoded, b.column("prompt").to_pylist(), strict=True):
                 data += tail
                 waiting.append((id_, data, 0, len(data) // 4, p or 0))
                 held += len(data)
@@ -175,7 +174,7 @@ def _second(limits: Limits, cuts: bool):
     return run
 
 
-def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(), cuts: bool = False, block: int = BLOCK) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(), cuts: bool = False, block: int = BLOCK, known: int = KNOWN) -> DataFrame:
     """A row for each piece: ``id_col, start, length, crc32, doc_tokens, sequence_id, offset``.
 
     A document is the ids of its text and ``end_id``; ``prompt_col`` says how
@@ -185,13 +184,13 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     whole, and one beyond a limit of its own fails the job, so filter those
     before. Null texts count as empty and give the end id alone, a null id is
     kept, repeated rows are packed each, an empty table gives no piece. Other
-    columns are not read. Sequence ids are unique, not gapless; which documents
+    columns are not read. ``known`` is how many parts of texts a worker remembers
+    (:mod:`tokens`), for speed alone. Sequence ids are unique, not gapless; which documents
     meet depends on the partitions of the input.
     """
-    slim, _ = keyed(docs.select(id_col, text_col), id_col, text_col)
     prompt = F.lit(0).cast("long") if prompt_col is None else F.greatest(F.lit(0), F.coalesce(F.col(prompt_col).cast("long"), F.lit(0)))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), prompt.alias("prompt"))
-    pieces, _ = written(slim.mapInArrow(_first(vocabulary, end_id, limits, cuts, block), _PIECES), "pieces")
+    pieces, _ = written(slim.mapInArrow(_first(vocabulary, end_id, limits, cuts, block, known), _PIECES), "pieces")
     done = pieces.where("sequence_id is not null").drop("ids", "task")
     rest = pieces.where("sequence_id is null").withColumn("group", F.floor(F.col("task") / GROUP).cast("int"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.schema)

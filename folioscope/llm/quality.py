@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, keyed, texts, unkeyed
+from .common import hashes, keyed, sliced, texts, unkeyed
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def fit(words: np.ndarray, dense: np.ndarray, y: np.ndarray, s: Settings = Setti
 
 def _features(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows, dense = [], []
             for t in texts(b.column("text")):
                 w = t.split()
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _scores(model, metadata: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in sliced(batches):
             out = []
             data = texts(b.column("text"))
             meta = np.array(b.column("meta").to_pylist(), float).reshape(len(data), -1)

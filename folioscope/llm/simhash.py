@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, texts, written
+from .common import keyed, sliced, texts, written
 from .components import components
 
 _UPPER = bytes(range(65, 91))
@@ -51,7 +51,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fp = np.fromiter((fingerprint(t, shingle, seed) for t in texts(b.column("text"))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 

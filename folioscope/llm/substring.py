@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FACTOR, bucket_count, hashes, ids, keyed, mixed, rolled, texts, unkeyed
+from .common import FACTOR, bucket_count, hashes, ids, keyed, mixed, release, rolled, texts, unkeyed
 
 BUCKET_BYTES = 2 << 20
 _PACK = zstandard.ZstdCompressor(level=1)
@@ -110,6 +110,7 @@ def _anchors(length: int, seed: int, parts: int):
         order = np.argsort(part, kind="stable")
         values, part = values[order], part[order]
         cut = _runs(part)
+        release()
         return pa.table([pa.array([int(part[a]) for a, _ in cut], pa.int32()), pa.array([bucket] * len(cut), pa.int32()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())], ["part", "bucket", "data"])
 
     return run
@@ -156,6 +157,7 @@ def _windows(length: int, seed: int, parts: int):
             for a, z in _runs(part):
                 i = keep[a:z]
                 rows.append((int(part[a]), bucket, _packed(anchor[i]), window[i].tobytes(), _packed(_deltas(id_[i])), _packed(_deltas(start[i])), False))
+        release()
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _SENT)
 
@@ -234,6 +236,7 @@ def _cut(length: int):
             removed.append(int(gone.sum()))
             joined.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
             spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
+        release()
         table = b.table.take(pa.array(b.order, pa.int64()))
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.table([table.column("id"), pa.array(out_text, pa.binary()).cast(pa.string()), table.column("rest"), pa.array(b.sizes), pa.array(removed, pa.int64()), pa.array(joined, pa.binary()).cast(pa.string()), pa.array(spans, span)], ["id", "text", "rest", "n_words", "n_removed", "kept", "spans"])

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, keyed, new_path
+from .common import bucket_count, keyed, new_path, sliced
 from .tokens import encoder
 
 #: Fixed values of the seekable format.
@@ -160,12 +160,10 @@ def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int):
         enc, w = encoder(vocabulary), Writer(frame_ids)
         tail = np.array([end_id], "<u4").tobytes()
         part, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                rows = b.slice(at, 512)
-                for id_, data in zip(rows.column("id").to_pylist(), enc.encode_all([t or "" for t in rows.column("text").to_pylist()]), strict=True):
-                    w.add(id_, data + tail)
-                    n += len(data) // 4 + 1
+        for b in sliced(batches, 512):
+            for id_, data in zip(b.column("id").to_pylist(), enc.encode_all([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                w.add(id_, data + tail)
+                n += len(data) // 4 + 1
         if n:
             Store(path).put(f"part-{part:06d}.ids.zst", w.finish())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"part-{part:06d}.ids.zst"]), pa.array([n], pa.int64()), pa.array([len(w.index)], pa.int64())], ["part", "file", "n_tokens", "n_docs"])
