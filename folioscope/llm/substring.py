@@ -14,7 +14,7 @@ words also start earlier is a repeat, and the words of repeats go.
    buckets hear which of their windows are repeats.
 3. Overlapping repeats join to maximal repeats, and their words are cut.
 
-Documents are dealt to buckets by id. Every exchange carries packed numbers;
+Documents are dealt to buckets by id and text. Every exchange carries packed numbers;
 the texts are exchanged once, and the plan reuses that exchange.
 """
 
@@ -61,7 +61,10 @@ class Bucket:
         self.ids = id_[self.order] if len(data) else np.zeros(0, np.int64)
         self.texts = [data[i] for i in self.order]
         self.length = length
-        words = [t.split() for t in self.texts]
+        # Equal rows are handled as the first of them.
+        new = [i == 0 or self.ids[i] != self.ids[i - 1] or self.texts[i] != self.texts[i - 1] for i in range(len(data))]
+        self.first = np.maximum.accumulate(np.where(new, np.arange(len(data)), 0)) if len(data) else np.zeros(0, np.int64)
+        words = [t.split() if own or not hashed else [] for t, own in zip(self.texts, new, strict=True)]
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
@@ -95,7 +98,7 @@ class Bucket:
 
 
 _HASHES = "part int, bucket int, data binary"
-_REPEATS = "bucket int, ids binary, starts binary"
+_REPEATS = "bucket int, rows binary, starts binary"
 
 
 def _by_part(anchor: np.ndarray, parts: int) -> np.ndarray:
@@ -129,7 +132,7 @@ def _seeds(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([int(owner[a]) for a, _ in cut], pa.int32()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())], ["bucket", "data"])
 
 
-_SENT = ["part", "bucket", "anchors", "windows", "ids", "starts", "final"]
+_SENT = ["part", "bucket", "anchors", "windows", "ids", "rows", "starts", "final"]
 
 
 def _windows(length: int, seed: int, parts: int):
@@ -143,30 +146,34 @@ def _windows(length: int, seed: int, parts: int):
             anchor, window = b.anchor[at], rolled(b.hash, length)[at]
             doc = np.searchsorted(b.ends, at, side="right")
             id_, start = b.ids[doc], (at - b.starts[doc]).astype(np.int32)
-            # Rows that repeat an id are one document: the same start is the same window.
-            first, same = _grouped(anchor, window)
+            doc = doc.astype(np.int32)
+            # Rows that repeat an id are one document: the same start is no repeat.
+            first, same = _grouped(anchor, window, id_, start, len(np.unique(b.ids)) < len(b.ids))
             known = (id_ != id_[first[same]]) | (start != start[first[same]])
-            own, bucket = np.zeros(len(at), bool), left.column("bucket")[0].as_py()
-            own[first] = True
+            bucket = left.column("bucket")[0].as_py()
             if known.any():
-                rows.append((-1 - bucket % parts, bucket, b"", b"", _packed(_deltas(id_[known])), _packed(_deltas(start[known])), True))
-            keep = np.flatnonzero(own)
+                rows.append((-1 - bucket % parts, bucket, b"", b"", b"", _packed(_deltas(doc[known])), _packed(_deltas(start[known])), True))
+            # The first of each kind; with it those of other rows under its id and start.
+            keep = np.flatnonzero(~known)
             part = _by_part(anchor[keep], parts)
             order = np.argsort(part, kind="stable")
             keep, part = keep[order], part[order]
             for a, z in _runs(part):
                 i = keep[a:z]
-                rows.append((int(part[a]), bucket, _packed(anchor[i]), window[i].tobytes(), _packed(_deltas(id_[i])), _packed(_deltas(start[i])), False))
+                rows.append((int(part[a]), bucket, _packed(anchor[i]), window[i].tobytes(), _packed(_deltas(id_[i])), _packed(_deltas(doc[i])), _packed(_deltas(start[i])), False))
         release()
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.bool_())
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _SENT)
 
     return run
 
 
-def _grouped(anchor: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the first of each pair of values, and of each row's pair in that list; rows are in order."""
-    order = np.lexsort((window, anchor))
+def _grouped(anchor: np.ndarray, window: np.ndarray, id_: np.ndarray, start: np.ndarray, mixed_up: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the first of each pair of values, and of each row's pair in that list.
+
+    Rows are in the order of id and start, unless several have one id (``mixed_up``).
+    """
+    order = np.lexsort((start, id_, window, anchor) if mixed_up else (window, anchor))
     a, w = anchor[order], window[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])][: len(a)]
     same = np.empty(len(a), np.int64)
@@ -177,11 +184,12 @@ def _grouped(anchor: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.nda
 def _earliest(table: pa.Table) -> pa.Table:
     """Of the windows of one part all but the earliest of each kind, for their buckets."""
     every = table.to_pylist()
-    rows, out = [r for r in every if not r["final"]], [(r["bucket"], r["ids"], r["starts"]) for r in every if r["final"]]
+    rows, out = [r for r in every if not r["final"]], [(r["bucket"], r["rows"], r["starts"]) for r in every if r["final"]]
     if rows:
         anchor = np.concatenate([_unpacked(r["anchors"], np.uint64) for r in rows])
         window = np.concatenate([np.frombuffer(r["windows"], np.uint64) for r in rows])
         id_ = np.concatenate([np.cumsum(_unpacked(r["ids"], np.int64)) for r in rows])
+        doc = np.concatenate([np.cumsum(_unpacked(r["rows"], np.int32), dtype=np.int32) for r in rows])
         start = np.concatenate([np.cumsum(_unpacked(r["starts"], np.int32), dtype=np.int32) for r in rows])
         bucket = np.repeat([r["bucket"] for r in rows], [len(r["windows"]) // 8 for r in rows])
         order = np.lexsort((start, id_, window, anchor))
@@ -189,11 +197,11 @@ def _earliest(table: pa.Table) -> pa.Table:
         new = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])]
         first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
         late = order[(id_[order] != id_[order][first]) | (start[order] != start[order][first])]
-        late = late[np.lexsort((start[late], id_[late], bucket[late]))]
+        late = late[np.lexsort((start[late], doc[late], bucket[late]))]
         for x, z in _runs(bucket[late]):
             i = late[x:z]
-            out.append((int(bucket[i[0]]), _packed(_deltas(id_[i])), _packed(_deltas(start[i]))))
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "ids", "starts"])
+            out.append((int(bucket[i[0]]), _packed(_deltas(doc[i])), _packed(_deltas(start[i]))))
+    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "rows", "starts"])
 
 
 def cut_text(text: bytes, gone: np.ndarray) -> bytes:
@@ -211,15 +219,15 @@ def cut_text(text: bytes, gone: np.ndarray) -> bytes:
 def _cut(length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Bucket(left, length, 1, hashed=False)
-        id_ = np.concatenate([np.zeros(0, np.int64)] + [np.cumsum(_unpacked(x, np.int64)) for x in right.column("ids").to_pylist()])
+        # Rows of a bucket are numbered in one order at every time.
+        doc = np.concatenate([np.zeros(0, np.int32)] + [np.cumsum(_unpacked(x, np.int32), dtype=np.int32) for x in right.column("rows").to_pylist()])
         start = np.concatenate([np.zeros(0, np.int64)] + [np.cumsum(_unpacked(x, np.int32), dtype=np.int64) for x in right.column("starts").to_pylist()])
-        order = np.argsort(id_, kind="stable")
-        id_, start = id_[order], start[order]
-        lo, hi = np.searchsorted(id_, b.ids), np.searchsorted(id_, b.ids, side="right")
+        order = np.argsort(doc, kind="stable")
+        doc, start = doc[order], start[order]
+        lo, hi = np.searchsorted(doc, b.first), np.searchsorted(doc, b.first, side="right")
         out_text, removed, joined, spans = [], [], [], []
         for t, n, x, z in zip(b.texts, b.sizes.tolist(), lo.tolist(), hi.tolist(), strict=True):
             own = start[x:z]
-            own = own[own <= n - length]  # another row of the same id may be longer
             if not len(own):
                 out_text.append(t)
                 removed.append(0)
@@ -249,9 +257,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of other than ASCII white space, unchanged. A window is a
     repeat if the same words start earlier: in a smaller id, or earlier in the
-    same one. Null and empty texts have no words; rows that repeat an id count
-    as one document, so they don't make each other repeats; rows with a null id
-    come last and as one document. A text without repeats stays as it is. An
+    same one. Null and empty texts have no words. Rows that repeat an id count
+    as one document: of equal windows at one start none is a repeat of the
+    other. Rows with a null id come last, and as one document. A text without repeats stays as it is. An
     empty table stays empty. Columns of ``docs`` with the names of the added
     ones are replaced.
     """
@@ -261,10 +269,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.drop(*[c for c in added if c not in (id_col, text_col)])
     slim, others = keyed(docs, id_col, text_col)
     n = bucket_count(docs, bucket_bytes)
-    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).select("bucket", "id", "text", "rest")
+    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("bucket", "id", "text", "rest")
     own = slim.groupBy("bucket")
     seeds = own.applyInArrow(_anchors(length, seed, n), _HASHES).groupBy("part").applyInArrow(_seeds, "bucket int, data binary")
-    sent = own.cogroup(seeds.groupBy("bucket")).applyInArrow(_windows(length, seed, n), "part int, bucket int, anchors binary, windows binary, ids binary, starts binary, final boolean")
+    sent = own.cogroup(seeds.groupBy("bucket")).applyInArrow(_windows(length, seed, n), "part int, bucket int, anchors binary, windows binary, ids binary, rows binary, starts binary, final boolean")
     repeats = sent.groupBy("part").applyInArrow(_earliest, _REPEATS)
     rest = slim.schema["rest"].dataType.simpleString()
     out = own.cogroup(repeats.groupBy("bucket")).applyInArrow(_cut(length), f"id long, text string, rest {rest}, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")

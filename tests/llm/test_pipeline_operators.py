@@ -50,6 +50,25 @@ def test_substring(spark, seed, bucket_bytes):
         assert r.text.split() == r.kept.split() and sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("bucket_bytes", [300, 1 << 20])
+def test_substring_with_ids_that_repeat(spark, seed, bucket_bytes):
+    """Several texts under one id, some without any."""
+    r = random.Random(seed)
+    rows = [(r.choice([None, 1, 2, 3, 50 + i]), t) for i, t in texts(50, seed)]
+    words = [(10**9 if i is None else i, brute.WS_WORD.findall(t or "")) for i, t in rows]
+    first, want = {}, []
+    for i, w in words:
+        for p in range(len(w) - 19):
+            k = tuple(w[p : p + 20])
+            first[k] = min(first.get(k, (i, p)), (i, p))
+    for (i, w), (own, _) in zip(words, rows, strict=True):
+        gone = {q for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] != (i, p) for q in range(p, p + 20)}
+        want.append((-1 if own is None else own, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket_bytes=bucket_bytes).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_words, x.n_removed, x.kept) for x in got) == sorted(want)
+
+
 def test_substring_edges(spark):
     empty = frame(spark, [])
     assert substring.substring_dedup(empty).count() == 0
