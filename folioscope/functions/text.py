@@ -11,7 +11,8 @@ WHITE_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 #: The characters that end a sentence.
 TERMINATORS = ".!?।！？"
 
-_STRIP = f"^{WHITE_SPACE}+|{WHITE_SPACE}+$"
+#: The same code points as a string.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def let(value: Column, body) -> Column:
@@ -25,7 +26,7 @@ def sanitise(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def words(c: Column) -> Column:
@@ -63,18 +64,12 @@ def sentences(text: Column) -> Column:
     """
 
     def spans(tokens: Column) -> Column:
-        # One fold carries the end so far; a token of one terminator alone only moves it.
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,x:string>>").alias("out"))
+        # One fold over the lengths gives all ends; a token of one terminator alone only moves them.
+        ends = F.aggregate(tokens, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t))))
+        of = lambda e: F.transform(tokens, lambda t, i: F.struct(F.get(e, i).alias("s"), F.get(e, i + 1).alias("e"), strip(t).alias("x")))
+        return F.filter(let(ends, of), lambda x: (x["x"] != "") & ((x["e"] - x["s"] > 1) | ~F.contains(F.lit(TERMINATORS), x["x"])))
 
-        def step(acc: Column, t: Column) -> Column:
-            end = (acc["at"] + F.length(t)).cast("int")
-            real = ~t.rlike(f"^[{TERMINATORS}]$") & (strip(t) != "")
-            span = F.array(F.struct(acc["at"].cast("int").alias("s"), end.alias("e"), strip(t).alias("x")))
-            return F.struct(end.alias("at"), F.when(real, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(tokens, start, step, lambda acc: acc["out"])
-
-    return spans(_tokens(F.coalesce(text, F.lit(""))))
+    return let(_tokens(F.coalesce(text, F.lit(""))), spans)
 
 
 def basename(path: Column) -> Column:

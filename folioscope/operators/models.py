@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import words
+from ..functions.text import let, words
 
 
 class Embedder(Protocol):
@@ -171,17 +171,23 @@ def lexical_answer(question: Column, text: Column) -> Column:
 
     def of(a: Column) -> Column:
         tokens = F.regexp_extract_all(text, F.lit(r"([^ \t-\r]+|[ \t-\r]+)"), F.lit(1))
-        start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("s"), F.lit("").alias("w"))
 
-        def step(acc: Column, t: Column) -> Column:
-            hit = F.array_contains(a, F.lower(t)) & (F.length(t) > F.length(acc["w"]))
-            return F.struct((acc["at"] + F.length(t)).cast("int").alias("at"), F.when(hit, acc["at"]).otherwise(acc["s"]).cast("int").alias("s"), F.when(hit, t).otherwise(acc["w"]).alias("w"))
+        def pick(tokens: Column, hits: Column) -> Column:
+            # The first of the longest words is also the first token that is spelled so.
+            most = F.array_max(F.transform(hits, lambda x: F.length(x)))
+            longest = let(most, lambda n: F.get(F.filter(hits, lambda w: F.length(w) == n), F.lit(0)))
 
-        best = F.aggregate(tokens, start, step)
-        found = F.size(F.array_intersect(a, F.transform(tokens, lambda t: F.lower(t))))
-        return F.transform(F.array(best), lambda b: F.struct(b["w"].alias("answer"), F.when(b["s"] < 0, F.lit(0.0)).otherwise(found / F.size(a)).alias("score"), b["s"].alias("start"), F.when(b["s"] < 0, F.lit(-1)).otherwise(b["s"] + F.length(b["w"])).cast("int").alias("end")))[0]
+            def located(w: Column) -> Column:
+                before = F.slice(tokens, 1, (F.array_position(tokens, w) - 1).cast("int"))
+                at = F.when(w.isNull(), F.lit(-1)).otherwise(F.length(F.array_join(before, ""))).cast("int")
+                found = F.size(F.array_distinct(F.transform(hits, lambda x: F.lower(x))))
+                return F.struct(F.coalesce(w, F.lit("")).alias("answer"), F.when(w.isNull(), F.lit(0.0)).otherwise(found / F.size(a)).alias("score"), at.alias("start"), F.when(w.isNull(), F.lit(-1)).otherwise(at + F.length(w)).cast("int").alias("end"))
 
-    return F.transform(F.array(asked), of)[0]
+            return let(longest, located)
+
+        return let(tokens, lambda ts: let(F.filter(ts, lambda w: F.array_contains(a, F.lower(w))), lambda hits: pick(ts, hits)))
+
+    return let(asked, of)
 
 
 def word_count(c: Column) -> Column:
