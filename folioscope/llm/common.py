@@ -86,12 +86,16 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of a few rows, so that Python holds the objects of one slice only; afterwards memory goes back."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024, give_back: bool = True) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so that Python holds the objects of one slice only; afterwards memory goes back.
+
+    ``give_back=False`` is for workers that keep what they learned from task to task.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    release()
+    if give_back:
+        release()
 
 
 def release() -> None:

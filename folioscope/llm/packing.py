@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, written
-from .tokens import KNOWN, encoder
+from .tokens import encoder
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ class Limits:
 
 #: Examples that are open for packing at once.
 BLOCK = 2048
+#: Parts of texts that a worker remembers in a generation; there is room for more than where texts are sorted too.
+KNOWN = 600_000
 #: Tasks whose rests are packed together.
 GROUP = 256
 
@@ -139,7 +141,7 @@ def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int,
             return batch
 
         held = 0
-        for b in sliced(batches, 512):
+        for b in sliced(batches, 512, give_back=False):
             encoded = enc.encode_all([t or "" for t in b.column("text").to_pylist()])
             for id_, data, p in zip(b.column("id").to_pylist(), encoded, b.column("prompt").to_pylist(), strict=True):
                 data += tail

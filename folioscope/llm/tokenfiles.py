@@ -160,7 +160,7 @@ def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int):
         enc, w = encoder(vocabulary), Writer(frame_ids)
         tail = np.array([end_id], "<u4").tobytes()
         part, n = TaskContext.get().partitionId(), 0
-        for b in sliced(batches, 512):
+        for b in sliced(batches, 512, give_back=False):
             for id_, data in zip(b.column("id").to_pylist(), enc.encode_all([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 w.add(id_, data + tail)
                 n += len(data) // 4 + 1
