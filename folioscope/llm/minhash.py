@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 BIN_BITS, BITS = 8, 4
 BINS = 1 << BIN_BITS
 PER_WORD = 64 // BITS
-#: Probes with universal hashes before the last one, which looks at all bins in turn.
-PROBES = 24
+#: Probes with universal hashes in a pass. In a later pass a bin still empty goes on with the
+#: probes of the bins that it looks at; the last probe of all looks at the bins in turn.
+PROBES, PASSES = 24, 3
 #: A prime above all bins, and the multipliers of the universal hashes: ((a i + b) mod p) mod BINS.
 PRIME = 65537
 
@@ -66,11 +67,15 @@ def _dense(least: Column) -> Column:
     """Low bits of each bin's value, where empty of the bin that its probes find; -1 cannot remain unless all are empty."""
     low = F.transform(least, lambda x: F.when(F.shiftleft(x, BIN_BITS) == F.lit(-(1 << BIN_BITS)).cast("long"), F.lit(None).cast("long")).otherwise(x.bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))))
 
-    def fill(b: Column) -> Column:
+    def fill(b: Column, done: int) -> Column:
         rest = lambda i: F.element_at(F.filter(F.concat(F.slice(b, i + 1, BINS), F.slice(b, 1, i)), lambda x: x.isNotNull()), 1)
-        return F.transform(b, lambda x, i: F.coalesce(x, *[F.get(b, _probe(k, i.cast("long"))) for k in range(1, PROBES + 1)], rest(i)))
+        if done == PASSES:
+            return F.transform(b, lambda x, i: F.coalesce(x, rest(i)))
+        probes = range(done * PROBES + 1, (done + 1) * PROBES + 1)
+        filled = F.transform(b, lambda x, i: F.coalesce(x, *[F.get(b, _probe(k, i.cast("long"))) for k in probes]))
+        return let(filled, lambda f: F.when(F.exists(f, lambda x: x.isNull()), fill(f, done + 1)).otherwise(f))
 
-    return let(low, fill)
+    return let(low, lambda b: fill(b, 0))
 
 
 def packed(hashes: Column) -> Column:
