@@ -19,6 +19,8 @@ BLOCK = 1 << 15
 
 #: Latin letters, then marks of ASCII without the apostrophe: two pieces of the byte-level pattern.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Lines with no other white space than the breaks between them.
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
 class Encoder:
@@ -31,6 +33,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        # Of the words behind a line break.
+        self.lines: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.limit = known
@@ -79,22 +83,33 @@ class Encoder:
         new = parts.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.older, self.known = self.known, {}
+            self.lines.clear()
             new = parts
         kept = new & self.older.keys()
         self.known |= zip(kept, map(self.older.__getitem__, kept), strict=True)
         rest = new - kept
+        # A line break before other than white space is a piece, and so starts another one.
+        lines = {p: p.split("\n") for p in rest if "\n" in p and _LINES.fullmatch(p)}
+        self._learn_words(self.known, rest.difference(lines).union(x[0] for x in lines.values()), " ")
+        self._learn_words(self.lines, {y for x in lines.values() for y in x[1:]}, "\n")
+        for p, x in lines.items():
+            self.known[p] = self.known[x[0]] + b"".join(map(self.lines.__getitem__, x[1:]))
+
+    def _learn_words(self, known: dict[str, bytes | None], parts: set[str], before: str) -> None:
+        """Add to ``known`` the ids of parts with ``before`` in front of them."""
+        rest = parts.difference(known)
         # A word and the marks behind it are two pieces, so a known word with new marks is known.
         split = {p: m.groups() for p in rest if (m := _PLAIN.fullmatch(p))}
         words = {w for w, _ in split.values()}.union(rest.difference(split))
-        words = [w for w in words if w not in self.known]
+        words = [w for w in words if w not in known]
         good = [w for w in words if w and not w[0].isspace()]
         if len(good) < len(words):
-            self.known |= dict.fromkeys(set(words).difference(good))
+            known |= dict.fromkeys(set(words).difference(good))
         for at in range(0, len(good), 4096):
             some = good[at : at + 4096]
-            self.known |= zip(some, self._together(some), strict=True)
+            known |= zip(some, self._together(some, before), strict=True)
         for p, (w, marks) in split.items():
-            self.known[p] = self.known[w] + self._marks(marks)
+            known[p] = known[w] + self._marks(marks)
 
     def _marks(self, marks: str) -> bytes:
         found = self.marks.get(marks)
@@ -104,9 +119,9 @@ class Encoder:
                 self.marks[marks] = found
         return found
 
-    def _together(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part with a space before it: encoded in rows, cut where the bytes of a part end."""
-        rows = [" " + " ".join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
+    def _together(self, parts: list[str], before: str = " ") -> list[bytes]:
+        """Ids of each part with ``before``, a byte, in front of it: encoded in rows, cut where the bytes of a part end."""
+        rows = [before + before.join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
         at = np.cumsum(self.sizes[ids])
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
