@@ -1,8 +1,10 @@
 """Token ids of whole texts, by a vocabulary file of the tokenizers library.
 
 A byte-level pre-tokenizer starts a new piece at every space before other than
-white space, so a text may be cut there and its parts encoded one by one. Parts
-recur, so each worker keeps the ids of those that it has met, in a bounded table.
+white space, so a text may be cut there and its parts encoded one by one. A line
+break between other than white space is a piece, so parts are cut there again when
+they are learned. Parts recur, so each worker keeps the ids of those that it has
+met, in a bounded table.
 """
 
 from __future__ import annotations

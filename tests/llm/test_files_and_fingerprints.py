@@ -83,6 +83,19 @@ def test_minhash_is_unbiased_on_short_texts(spark, likeness):
     assert abs(e.mean()) < 0.015 and e.std() < 0.12
 
 
+def test_minhash_of_texts_of_a_few_shingles(spark):
+    """Nearly all bins are empty, so the probes go through several passes."""
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        a = [f"w{r.randrange(10**9)}" for _ in range(12)]
+        rows.append((i, " ".join(a), " ".join(a[:8] + [f"v{r.randrange(10**9)}" for _ in range(4)])))
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    got = df.select("id", minhash.likeness(minhash.fingerprint(F.col("a")), minhash.fingerprint(F.col("b"))).alias("j")).collect()
+    e = np.array([x.j - jaccard(rows[x.id][1], rows[x.id][2]) for x in got])
+    assert abs(e.mean()) < 0.02 and e.std() < 0.07
+
+
 @pytest.mark.parametrize("bucket_bytes", [40, 400, 1 << 20])
 def test_next_row(spark, bucket_bytes):
     r = random.Random(bucket_bytes)
