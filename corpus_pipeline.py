@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, packing, quality, registry, simhash, substring
+from folioscope.llm import decontaminate, packing, quality, registry, resemblance, substring
 from folioscope.llm.common import new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id."""
-    return simhash.representatives(docs).select(COLUMNS)
+    """One document of each group of near copies (0.8 or more of their 5-word shingles in common) stays, the one with the least id."""
+    return resemblance.representatives(docs).select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
