@@ -13,7 +13,6 @@ written with the pieces and packed together afterwards in bounded groups.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,8 +98,8 @@ def pack(tokens: np.ndarray, prompt: np.ndarray, limits: Limits, cuts: bool, las
 
 
 def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int, known: int):
-    names = ["id", "start", "length", "crc32", "doc_tokens", "prompt", "sequence_id", "offset", "task", "ids"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["id", "start", "length", "doc_tokens", "prompt", "sequence_id", "offset", "task", "ids"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -116,13 +115,12 @@ def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int,
                 offset = 0
                 for i, start, length in s:
                     id_, data, base, total, prompt = examples[i]
-                    out.append((id_, base + start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), total, prompt, (task << 32) | number, offset, task, None))
+                    out.append((id_, base + start, length, total, prompt, (task << 32) | number, offset, task, data[4 * start : 4 * (start + length)]))
                     offset += length
                 number += 1
             for i, start, length in rest:
                 id_, data, base, total, prompt = examples[i]
-                own = data[4 * start : 4 * (start + length)]
-                out.append((id_, base + start, length, zlib.crc32(own), total, prompt, None, None, task, own))
+                out.append((id_, base + start, length, total, prompt, None, None, task, data[4 * start : 4 * (start + length)]))
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -156,12 +154,12 @@ def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int,
     return run
 
 
-_PIECES = "id long, start long, length long, crc32 long, doc_tokens long, prompt long, sequence_id long, offset long, task int, ids binary"
+_PIECES = "id long, start long, length long, doc_tokens long, prompt long, sequence_id long, offset long, task int, ids binary"
 
 
 def _second(limits: Limits, cuts: bool):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["task"], r["id"] is None, r["id"], r["start"], r["doc_tokens"], r["crc32"]))
+        rows = sorted(table.to_pylist(), key=lambda r: (r["task"], r["id"] is None, r["id"], r["start"], r["doc_tokens"], r["ids"]))
         prompt = np.array([max(0, r["prompt"] - r["start"]) for r in rows], np.int64)
         sequences, _ = pack(np.array([r["length"] for r in rows], np.int64), prompt, limits, cuts, True)
         base, out = (1 << 60) | (table.column("group")[0].as_py() << 32), []
@@ -169,15 +167,18 @@ def _second(limits: Limits, cuts: bool):
             offset = 0
             for i, start, length in s:
                 r = rows[i]
-                out.append(r | {"start": r["start"] + start, "length": length, "crc32": zlib.crc32(r["ids"][4 * start : 4 * (start + length)]), "sequence_id": base + k, "offset": offset})
+                out.append(r | {"start": r["start"] + start, "length": length, "ids": r["ids"][4 * start : 4 * (start + length)], "sequence_id": base + k, "offset": offset})
                 offset += length
-        return pa.table({c: pa.array([r[c] for r in out], table.schema.field(c).type) for c in table.column_names if c not in ("group", "ids", "task")})
+        return pa.table({c: pa.array([r[c] for r in out], table.schema.field(c).type) for c in table.column_names if c not in ("group", "task")})
 
     return run
 
 
 def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(), cuts: bool = False, block: int = BLOCK, known: int = KNOWN) -> DataFrame:
-    """A row for each piece: ``id_col, start, length, crc32, doc_tokens, sequence_id, offset``.
+    """A row for each piece: ``id_col, start, length, crc32, doc_tokens, sequence_id, offset, ids``.
+
+    ``ids`` are the piece's token ids as little-endian 32-bit integers, of which
+    ``crc32`` is the checksum: a sequence is its pieces' ids by ``offset``.
 
     A document is the ids of its text and ``end_id``; ``prompt_col`` says how
     many of its first tokens bear no loss (none: all bear it). Every id is in
@@ -193,8 +194,8 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     prompt = F.lit(0).cast("long") if prompt_col is None else F.greatest(F.lit(0), F.coalesce(F.col(prompt_col).cast("long"), F.lit(0)))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), prompt.alias("prompt"))
     pieces, _ = written(slim.mapInArrow(_first(vocabulary, end_id, limits, cuts, block, known), _PIECES), "pieces")
-    done = pieces.where("sequence_id is not null").drop("ids", "task")
+    done = pieces.where("sequence_id is not null").drop("task")
     rest = pieces.where("sequence_id is null").withColumn("group", F.floor(F.col("task") / GROUP).cast("int"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.schema)
     out = done.unionByName(rest.groupBy("group").applyInArrow(_second(limits, cuts), schema))
-    return out.select(F.col("id").alias(id_col), "start", "length", "crc32", "doc_tokens", "sequence_id", "offset")
+    return out.select(F.col("id").alias(id_col), "start", "length", F.crc32("ids").alias("crc32"), "doc_tokens", "sequence_id", "offset", "ids")
