@@ -69,20 +69,38 @@ def matching(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.get(F.transform(fits, lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict"))), F.lit(0))
 
 
+def _plain_path(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments."""
+    names = F.split(path, "/")
+    fold = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.lit(1), F.size(kept) - 1))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(names, F.array().cast("array<string>"), fold)
+    end = F.when(F.element_at(names, -1).isin(".", ".."), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """The target of a link as an absolute URL; null if it is empty or has another form."""
+    """The target of a link as an absolute URL, resolved against the page's ``url``; null if it is empty, a fragment, or of a scheme without a host."""
     t = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
-    scheme, host = F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.regexp_extract(url, r"://([^/?#]*)", 1)
-    return F.when(t.contains("://"), t).when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t)).when(F.startswith(t, F.lit("/")), F.concat(scheme, F.lit("://"), host, t))
+    scheme, site = F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(url), "^(.*/)", 1)
+    full = (
+        F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when((t == "") | F.startswith(t, F.lit("#")) | t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), None)
+        .when(F.startswith(t, F.lit("//")), F.concat(scheme, F.lit(":"), t))
+        .when(F.startswith(t, F.lit("/")), F.concat(site, t))
+        .when(F.startswith(t, F.lit("?")), F.concat(site, path_of(url), t))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), t))
+    )
+    return F.concat(F.regexp_extract(full, r"^([^:/?#]*://[^/?#]*)", 1), _plain_path(path_of(full)), F.regexp_extract(full, r"^[^?#]*(.*)$", 1))
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``source, target`` URLs of canonical links and refresh redirects in the pages."""
+    """``source, target`` URLs of all canonical links and refresh redirects in the pages."""
     html, url = F.col(html_col), F.col(url_col)
-    link = F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    targets = F.array(F.regexp_extract(link, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = pages.select(url.alias("source"), F.explode(F.filter(targets, lambda t: F.coalesce(t != "", F.lit(False)))).alias("t"))
+    tags = lambda pattern: F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    links = F.transform(tags(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    metas = F.transform(tags(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    found = pages.select(url.alias("source"), F.explode(F.filter(F.concat(links, metas), lambda t: t != "")).alias("t"))
     return found.select("source", _absolute(F.col("t"), F.col("source")).alias("target")).where("source is not null and target is not null")
 
 
