@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import Scratch, remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """``node, component`` for each node of ``edges (u, v)``: the least node that it reaches.
 
     Edges with a null end and loops link nothing; a node that is in no edge is
     not returned. Repeated edges count once. An empty table gives an empty one.
+    The table that the result reads goes with ``scratch``, else it stays.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
@@ -42,6 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen or mark[0] == 0:
+            if scratch:
+                scratch.paths.append(path)
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         seen = mark
         e, new = written(_small_star(_large_star(e)), "edges")

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 BIN_BITS, BITS = 8, 4
 BINS = 1 << BIN_BITS
 PER_WORD = 64 // BITS
-#: Probes with universal hashes in a pass. In a later pass a bin still empty goes on with the
-#: probes of the bins that it looks at; the last probe of all looks at the bins in turn.
-PROBES, PASSES = 24, 3
+#: Probes with universal hashes; a bin that they leave empty goes on through all bins in an order of its own.
+PROBES = 24
 #: A prime above all bins, and the multipliers of the universal hashes: ((a i + b) mod p) mod BINS.
 PRIME = 65537
 
@@ -63,19 +62,28 @@ def _least(hashes: Column) -> Column:
     return let(ordered, lambda s: F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(s, i - 1)))))
 
 
+def _turn(i: Column, j: Column) -> Column:
+    """When bin ``i`` looks at bin ``j``: an odd factor and an offset of its own make a permutation of all bins."""
+    factor, offset = (i * 40_503 + 25_173) % PRIME * 2 + 1, (i * 30_803 + 13_849) % PRIME
+    return F.pmod(j * factor + offset, F.lit(BINS).cast("long"))
+
+
 def _dense(least: Column) -> Column:
-    """Low bits of each bin's value, where empty of the bin that its probes find; -1 cannot remain unless all are empty."""
+    """Low bits of each bin's value, where empty those of the first bin with a value that its probes find; null only if all are empty.
+
+    Copied values are never probed: each empty bin draws from the bins that have a value of their own.
+    """
     low = F.transform(least, lambda x: F.when(F.shiftleft(x, BIN_BITS) == F.lit(-(1 << BIN_BITS)).cast("long"), F.lit(None).cast("long")).otherwise(x.bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))))
 
-    def fill(b: Column, done: int) -> Column:
-        rest = lambda i: F.element_at(F.filter(F.concat(F.slice(b, i + 1, BINS), F.slice(b, 1, i)), lambda x: x.isNotNull()), 1)
-        if done == PASSES:
-            return F.transform(b, lambda x, i: F.coalesce(x, rest(i)))
-        probes = range(done * PROBES + 1, (done + 1) * PROBES + 1)
-        filled = F.transform(b, lambda x, i: F.coalesce(x, *[F.get(b, _probe(k, i.cast("long"))) for k in probes]))
-        return let(filled, lambda f: F.when(F.exists(f, lambda x: x.isNull()), fill(f, done + 1)).otherwise(f))
+    def fill(b: Column) -> Column:
+        probed = F.transform(b, lambda x, i: F.coalesce(x, *[F.get(b, _probe(k, i.cast("long"))) for k in range(1, PROBES + 1)]))
+        # (place, bits) of the bins with a value; the rest is found among them.
+        full = F.filter(F.transform(b, lambda x, j: F.struct(j.cast("long").alias("j"), x.alias("x"))), lambda s: s["x"].isNotNull())
+        first = lambda i, own: F.array_min(F.transform(own, lambda s: F.shiftleft(_turn(i, s["j"]), BITS).bitwiseOR(s["x"]))).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+        rest = lambda p: let(full, lambda own: F.transform(p, lambda x, i: F.coalesce(x, first(i.cast("long"), own))))
+        return let(probed, lambda p: F.when(F.exists(p, lambda x: x.isNull()), rest(p)).otherwise(p))
 
-    return let(low, lambda b: fill(b, 0))
+    return let(low, fill)
 
 
 def packed(hashes: Column) -> Column:
@@ -125,7 +133,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finge
     """``docs`` with a fingerprint column (array of 64-bit words).
 
     Null and empty texts, and those of white space alone, have an empty array.
-    Equal texts have equal ones. Other columns pass; one named ``name`` is
-    replaced.
+    Equal texts have equal ones; texts of any length are read whole. Repeated
+    rows keep their number, an empty table stays empty. Other columns pass; one
+    named ``name`` is replaced.
     """
     return docs.withColumn(name, fingerprint(F.col(text_col), words))

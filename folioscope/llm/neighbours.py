@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count
+from .common import bucket_count, quoted
 from .minhash import let
 
-#: Quantile bounds that are looked up; each of their ranges is cut into equal widths.
-MOST_BOUNDS = 1023
+#: Most ranges; beyond it they grow, and their sorts spill.
+MOST_BOUNDS = 1 << 16
 BUCKET_BYTES = 4 << 20
 _LEAST = -(1 << 63)
 
 
+def _array(values: list[int]) -> Column:
+    return F.lit(np.array(values, np.int64))
+
+
 def _range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending ``bounds`` are <= key, by halving."""
     at, step = F.lit(0), 1
     while step * 2 <= len(bounds):
         step *= 2
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
+    array = _array(bounds)
 
     def down(at: Column, step: int) -> Column:
         if not step:
@@ -29,37 +34,39 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return down(at, step) if bounds else at
 
 
+def _bounds(ids: DataFrame, n: int) -> list[int]:
+    """Ascending keys that exist in ``ids (key)``, the greatest as the last one: of ``n`` ranges at most."""
+    inner = min(MOST_BOUNDS, n) - 1
+    shares = [(i + 1) / (inner + 1) for i in range(inner)]
+    found = ids.agg(F.max("key").alias("most"), *([F.percentile_approx("key", shares, max(20_000, 4 * inner)).alias("some")] if shares else [])).first()
+    if found["most"] is None:
+        return []
+    some = sorted({int(x) for x in found["some"]} - {found["most"]}) if shares else []
+    # Quantiles pass through doubles, so a great id may come back as one that is not there.
+    there = [r["key"] for r in ids.where(F.array_contains(_array(some), F.col("key"))).distinct().collect()] if some else []
+    return [*sorted(there), found["most"]]
+
+
 def with_next(df: DataFrame, id_col: str, order: list[str], bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with ``next``, a struct of the row that follows in descending ``id_col``; the first one follows the last.
 
     Rows with one id follow by ``order``, null ids come last. Rows are dealt to
-    ranges of ids; the head of each range, its greatest id, is also dealt to the
-    range before it. One exchange of the rows. An empty table stays empty. A
-    column of ``df`` named ``next`` is replaced.
+    ranges of ids that end with an id that exists: the head of a range is known by
+    its id, so it is also dealt to the range above, whose last row it follows. One
+    exchange of the rows; what passes the driver is at most ``MOST_BOUNDS`` ids.
+    Rows that share an id are in one range. An empty table stays empty. A column
+    of ``df`` named ``next`` is replaced. Ids must be integers.
     """
-    spark = df.sparkSession
     df = df.drop("next")
-    n = bucket_count(df, bucket_bytes)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
-    ids = df.select(key.alias("key"))
-    inner = min(MOST_BOUNDS, n - 1)
-    shares = [(i + 1) / (inner + 1) for i in range(inner)]
-    bounds = sorted({int(x) for x in (ids.agg(F.percentile_approx("key", shares, 20_000)).first()[0] or [])}) if shares else []
-    width = -(-n // (inner + 1))
-    part = _range_of(F.col("key"), bounds).cast("long")
-    if width > 1:
-        # Far more buckets than bounds: equal widths within each range, as ids of a range are mostly dense.
-        lows, highs = [_LEAST, *bounds], [*bounds, (1 << 63) - 1]
-        low, high = (F.get(F.array(*[F.lit(float(x)) for x in xs]), part.cast("int")) for xs in (lows, highs))
-        part = part * width + F.least(F.lit(width - 1), F.floor((F.col("key") - low) / (high - low) * width)).cast("long")
-    heads = [(r["part"], r["key"]) for r in ids.withColumn("part", part).groupBy("part").agg(F.max("key").alias("key")).collect()]
-    heads.sort(reverse=True)
-    # One row for each bucket of several MB: a bound of some ten bytes for each.
-    extra = spark.createDataFrame([(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)], "key long, extra long")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    keyed = df.select(key.alias("key"), row.alias("row")).withColumn("part", part).join(F.broadcast(extra), "key", "left")
-    places = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("copy")), F.struct(F.col("extra").alias("part"), F.lit(1).alias("copy")))
+    bounds = _bounds(df.select(key.alias("key")), bucket_count(df, bucket_bytes)) or [0]
+    # Ranges are (bound before, own bound]: as many bounds as are less than the key lie before it.
+    part = _range_of(F.col("key"), [b + 1 for b in bounds[:-1]])
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns])
+    keyed = df.select(key.alias("key"), row.alias("row")).withColumn("part", part.cast("int"))
+    above = F.when(F.get(_array(bounds), F.col("part")) == F.col("key"), F.pmod(F.col("part") + 1, F.lit(len(bounds))))
+    places = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("copy")), F.struct(above.alias("part"), F.lit(1).alias("copy")))
     dealt = keyed.withColumn("place", F.explode(F.filter(places, lambda p: p["part"].isNotNull()))).select("key", "row", "place.part", "place.copy")
-    inside = Window.partitionBy("part").orderBy("copy", F.desc("key"), *[F.col(f"row.`{c}`") for c in order])
+    inside = Window.partitionBy("part").orderBy("copy", F.desc("key"), *[F.col("row").getField(c) for c in order])
     out = dealt.withColumn("next", F.lead("row").over(inside)).where("copy = 0")
     return out.select("row.*", "next")

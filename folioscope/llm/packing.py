@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import keyed, sliced, written
 from .tokens import encoder
 
 
 @dataclass(frozen=True)
 class Limits:
+    """What a sequence holds at most; with as many segments as tokens these bind nothing."""
+
     tokens: int = 2048
     segments: int = 128
     loss: int = 2048
@@ -37,6 +39,8 @@ class Limits:
 BLOCK = 2048
 #: Parts of texts that a worker remembers in a generation; there is room for more than where texts are sorted too.
 KNOWN = 600_000
+#: Bytes of ids that are open for packing at once.
+HELD = 8 << 20
 #: Tasks whose rests are packed together.
 GROUP = 256
 
@@ -97,13 +101,13 @@ def pack(tokens: np.ndarray, prompt: np.ndarray, limits: Limits, cuts: bool, las
     return sequences, []
 
 
-def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int, known: int):
+def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int, known: int, special: bool):
     names = ["id", "start", "length", "doc_tokens", "prompt", "sequence_id", "offset", "task", "ids"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        enc = encoder(vocabulary, known)
+        enc = encoder(vocabulary, known, special)
         tail = np.array([end_id], "<u4").tobytes()
         # Open examples: (id, ids from ``base`` on, base, tokens of the document, tokens without loss).
         waiting: list[tuple] = []
@@ -145,7 +149,7 @@ def _first(vocabulary: str, end_id: int, limits: Limits, cuts: bool, block: int,
                 data += tail
                 waiting.append((id_, data, 0, len(data) // 4, p or 0))
                 held += len(data)
-                if len(waiting) >= block or held > 32 << 20:
+                if len(waiting) >= block or held > HELD:
                     yield close(False)
                     held = sum(len(w[1]) for w in waiting)
         if waiting:
@@ -174,7 +178,7 @@ def _second(limits: Limits, cuts: bool):
     return run
 
 
-def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(), cuts: bool = False, block: int = BLOCK, known: int = KNOWN) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, end_id: int = 1, limits: Limits = Limits(), cuts: bool = False, block: int = BLOCK, known: int = KNOWN, special: bool = False) -> DataFrame:
     """A row for each piece: ``id_col, start, length, crc32, doc_tokens, sequence_id, offset, ids``.
 
     ``ids`` are the piece's token ids as little-endian 32-bit integers, of which
@@ -187,13 +191,15 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     whole, and one beyond a limit of its own fails the job, so filter those
     before. Null texts count as empty and give the end id alone, a null id is
     kept, repeated rows are packed each, an empty table gives no piece. Other
-    columns are not read. ``known`` is how many parts of texts a worker remembers
-    (:mod:`tokens`), for speed alone. Sequence ids are unique, not gapless; which documents
-    meet depends on the partitions of the input.
+    columns are not read; texts of any length are encoded whole. ``special``: strings of
+    special tokens in a text give these tokens, else they are ordinary text.
+    ``known`` is how many parts of texts a worker remembers (:mod:`tokens`), for
+    speed alone. Sequence ids are unique, not gapless; which documents meet
+    depends on the partitions of the input. Ids must be integers.
     """
     prompt = F.lit(0).cast("long") if prompt_col is None else F.greatest(F.lit(0), F.coalesce(F.col(prompt_col).cast("long"), F.lit(0)))
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), prompt.alias("prompt"))
-    pieces, _ = written(slim.mapInArrow(_first(vocabulary, end_id, limits, cuts, block, known), _PIECES), "pieces")
+    slim = keyed(docs.select(id_col, text_col, prompt.alias("_prompt")), id_col, text_col)[0].select("id", "text", F.col("rest.c0").alias("prompt"))
+    pieces, _ = written(slim.mapInArrow(_first(vocabulary, end_id, limits, cuts, block, known, special), _PIECES), "pieces")
     done = pieces.where("sequence_id is not null").drop("task")
     rest = pieces.where("sequence_id is null").withColumn("group", F.floor(F.col("task") / GROUP).cast("int"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in done.schema)

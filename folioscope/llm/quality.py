@@ -187,8 +187,9 @@ def _scores(model, metadata: bool):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", metadata: list[str] | None = None, threshold: float = Settings.threshold, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) behind its columns.
 
-    Every row is scored: a null text counts as empty, repeated rows score alike
-    and keep their number, an empty table stays empty. Columns of ``docs`` named
+    Every row is scored, by its whole text: a null text counts as empty, null
+    metadata as 0, repeated rows score alike and keep their number, an empty
+    table stays empty. Ids must be integers. Columns of ``docs`` named
     ``score`` or ``predicted`` are replaced. With ``keep_text=False`` the text
     is not returned.
     """

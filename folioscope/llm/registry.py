@@ -26,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RULES = [urls.rule("com/", "allow"), urls.rule("example.com/en/", "block"), urls.rule("www.example.com/en/", "allow"), urls.rule("net/es/", "block"), urls.rule("net/fr/", "block")]
 
 
+#: Columns of documents that the classifier reads beside the text.
+METADATA = ["n_chars"]
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -48,7 +52,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, path = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary())
+    manifest, path = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary(), special=True)
     return tokenfiles.read(manifest, path).withColumnRenamed("crc32", "ids_crc32")
 
 
@@ -68,9 +72,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model = quality.train(docs, labels.where(~quality.held_out()))
-    return quality.score(docs, model, keep_text=False).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", *METADATA), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()), metadata=METADATA)
+    return quality.score(docs, model, metadata=METADATA, keep_text=False).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.packed(table(spark, sf_dir, "documents"), vocabulary(), cuts=True)
+    # As many segments as tokens: the contract has a limit of tokens alone.
+    out = packing.packed(table(spark, sf_dir, "documents"), vocabulary(), limits=packing.Limits(segments=2048), cuts=True, special=True)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

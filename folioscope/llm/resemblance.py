@@ -1,27 +1,32 @@
 """Near copies by resemblance: the Jaccard index of two texts' sets of word shingles.
 
-Texts that agree in all rows of one of ``BANDS`` bands of MinHash values meet;
-of two with resemblance 0.8, three in a million never do. What meets, over any
-number of steps, is a candidate group, and in it resemblance is computed from
-the whole sets, so no group holds a link below the threshold. All steps work on
-distinct sets, so copies count once, and under a key each set is linked to one
-other, never all pairs.
+Candidates are the links of the caller's SimHash search, and texts that agree in
+all rows of one of ``BANDS`` bands of MinHash values: at resemblance 0.8
+fingerprints of 64 bits differ in about ten, which no Hamming ball that can be
+enumerated holds, while three in a million pairs of 0.8 share no band. What
+meets, over any number of steps, is a candidate group, and in it resemblance is
+computed from the whole sets, so nothing below the threshold is linked. All
+steps work on distinct sets, so copies count once, and under a key each set is
+linked to one other, never all pairs. A large group is compared block by block,
+so a task holds two blocks of its texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, keyed, mixed, rolled, sliced, texts, unkeyed, written
+from .common import Scratch, hashes, hot_join, keyed, majority, mixed, rolled, sliced, texts, unkeyed, written
 from .components import components
 
 BANDS, ROWS = 32, 5
+#: Distinct texts of a candidate group in a block.
+BLOCK = 4096
 #: Of the table that says which rows' texts are needed.
 BITS = 23
 _UPPER = bytes(range(65, 91))
@@ -46,15 +51,23 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key
 
 
+_MARKED = "id long, tie long, fp long, bits long, keys array<long>"
+
+
 def _marked(shingle: int):
+    """Of each row the hash of its set, the SimHash of it, and the keys of the bands where the set is new in the slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingles(t, shingle) for t in texts(b.column("text"))]
-            fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            keys = [band_keys(s) if len(s) else s for s in sets]
+            fp = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
+            bits = [majority(s) if len(s) else 0 for s in sets]
+            first = dict(zip(reversed(fp), range(len(fp) - 1, -1, -1), strict=True))
+            keys = [band_keys(s) if len(s) and first[f] == i else np.zeros(0, np.uint64) for i, (s, f) in enumerate(zip(sets, fp, strict=True))]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "tie", "fp", "keys"])
+            columns = [b.column("id"), b.column("tie"), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, bits)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "fp", "bits", "keys"])
 
     return run
 
@@ -110,41 +123,84 @@ def _verified(shingle: int, threshold: float):
         order = np.argsort(fp)
         bodies = texts(table.column("text"))
         root = alike([shingles(bodies[i], shingle) for i in order], threshold)
-        return pa.table({"fp": pa.array(fp[order]), "root": pa.array(fp[order][root])})
+        linked = root != np.arange(len(root))
+        return pa.table({"u": pa.array(fp[order][linked]), "v": pa.array(fp[order][root][linked])})
 
     return run
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def slim_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``id, text, rest, tie`` of each row; ``tie`` is a hash of all but the id."""
+    slim, others = keyed(docs, id_col, text_col)
+    return slim.withColumn("tie", F.xxhash64("text", "rest")), others
+
+
+def least_row() -> Column:
+    """The row of a group that stays, from ``id, tie``."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("best")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["i"]) & (a["tie"] == b["tie"])
+
+
+def only(slim: DataFrame, own: DataFrame, best: DataFrame, columns: list[str], id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    """The rows of ``slim`` that ``best`` names, each once; ``own (id, tie)`` has a row for each of them.
+
+    Only rows that may go, or are there more than once, are exchanged with their texts.
+    """
+    kept = best.select(F.col("best.id").alias("i"), F.col("best.tie").alias("tie"))
+    rows = own.groupBy("id", "tie").agg(F.count("*").alias("n"))
+    gone = rows.join(kept.withColumn("stays", F.lit(True)), _same(rows, kept), "left").where("stays is null or n > 1").select(rows["tie"])
+    marked = _marks(slim, gone)
+    # Rows alike in all columns fold before the exchange.
+    doubt = marked.where("maybe").dropDuplicates(["id", "tie"])
+    return unkeyed(marked.where("not maybe").unionByName(doubt.join(kept, _same(doubt, kept), "left_semi")), columns, id_col, text_col, others)
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """``members`` with ``pairs``: which pairs of blocks of its group a set is compared in."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    counted = sizes.withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    return hot_join(members, counted, "component").withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: F.struct(F.least(own, y).alias("a"), F.greatest(own, y).alias("b")))).drop("k")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, search: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group that links of resemblance ``threshold`` or more connect.
 
-    The row with the least id stays (null behind all), then the one with the
-    least hash of all its columns; rows decide, so an id that has several texts
-    keeps those that are in groups of their own. Null texts count as empty, and
-    texts without words are one group. The bands are made for thresholds from
-    0.8 on. A candidate group's distinct texts are compared in one task, which
-    holds their sets.
+    ``search`` gives links ``u, v`` between SimHash fingerprints ``(fp)``; without it
+    bands alone make candidates. The row with the least id stays (null behind all), then the one with the least
+    hash of all its columns; rows decide, so an id that has several texts keeps
+    those that are in groups of their own. Null texts count as empty, and texts
+    without words are one group; texts of any length are read whole. The bands
+    are made for thresholds from 0.8 on. An empty table stays empty.
     """
-    slim, others = keyed(docs, id_col, text_col)
-    slim = slim.withColumn("tie", F.xxhash64("text", "rest"))
-    own, _ = written(slim.select("id", "text", "tie").mapInArrow(_marked(shingle), "id long, tie long, fp long, keys array<long>"), "shingles")
-    keys = own.select("fp", F.explode("keys").alias("key"))
-    least = keys.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("key", "v")
-    met = components(keys.join(least, "key").where("fp <> v").select(F.col("fp").alias("u"), "v"))
+    scratch = Scratch(docs.sparkSession)
+    slim, others = slim_of(docs, id_col, text_col)
+    own = scratch.written(slim.select("id", "text", "tie").mapInArrow(_marked(shingle), _MARKED), "shingles")
     # A row for each distinct set: it is named by its least row, of which the text is read.
-    best = lambda df, by: df.groupBy(by).agg(F.min("best").alias("best"))
-    sets, _ = written(best(own.select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "tie").alias("best")), "fp"), "sets")
-    members, _ = written(sets.join(met.select(F.col("node").alias("fp"), "component"), "fp").select("fp", "component", F.col("best.id").alias("i"), F.col("best.tie").alias("tie")), "members")
-    same = lambda a, b: a["id"].eqNullSafe(b["i"]) & (a["tie"] == b["tie"])
+    sets = scratch.written(own.groupBy("fp").agg(least_row(), F.min("bits").alias("bits")), "sets")
+    keys = own.select("fp", F.explode("keys").alias("key"))
+    least = keys.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most"), F.count("*").alias("n")).where("v < most").select("key", "v", "n")
+    met = hot_join(keys, least, "key").select(F.col("fp").alias("u"), "v")
+    if search is not None:
+        # SimHash links, each between the least sets of two fingerprints, and of the sets of one fingerprint.
+        prints = scratch.written(sets.groupBy("bits").agg(F.min("fp").alias("v"), F.count("*").alias("n")), "prints")
+        equal = hot_join(sets.select(F.col("fp").alias("u"), "bits"), prints, "bits").select("u", "v")
+        near = search(prints.select(F.col("bits").alias("fp"))).withColumnsRenamed({"u": "x", "v": "y"})
+        end = lambda c, name: prints.select(F.col("bits").alias(c), F.col("v").alias(name))
+        met = met.union(equal).union(near.join(end("x", "u"), "x").join(end("y", "v"), "y").select("u", "v"))
+    met = components(met.where("u <> v"), scratch=scratch)
+    members = scratch.written(sets.join(met.select(F.col("node").alias("fp"), "component"), "fp").select("fp", "component", F.col("best.id").alias("i"), F.col("best.tie").alias("tie")), "members")
+    members = scratch.written(_blocks(members, block), "blocks")
     asked = _marks(slim, members).where("maybe").select("id", "tie", "text")
-    bodies = asked.join(members, same(asked, members)).select("component", "fp", "text").dropDuplicates(["component", "fp"])
-    found = bodies.groupBy("component").applyInArrow(_verified(shingle, threshold), "fp long, root long")
-    kept = best(sets.join(found, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best"), "root")
-    kept, _ = written(kept.select(F.col("best.id").alias("i"), F.col("best.tie").alias("tie")), "kept")
-    # Only rows that may go, or are there more than once, are exchanged with their texts.
-    rows = own.groupBy("id", "tie").agg(F.count("*").alias("n"))
-    gone = rows.join(kept.withColumn("stays", F.lit(True)), same(rows, kept), "left").where("stays is null or n > 1").select(rows["tie"])
-    marked = _marks(slim, gone)
-    doubt = marked.where("maybe")
-    once = doubt.join(kept, same(doubt, kept), "left_semi").dropDuplicates(["id", "tie"])
-    return unkeyed(marked.where("not maybe").unionByName(once), docs.columns, id_col, text_col, others)
+    bodies = asked.join(members, _same(asked, members)).select("component", "fp", "pairs", "text").dropDuplicates(["component", "fp"])
+    found = bodies.withColumn("pair", F.explode("pairs")).groupBy("component", "pair").applyInArrow(_verified(shingle, threshold), "u long, v long")
+    linked = components(found, scratch=scratch)
+    root = sets.join(linked.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "best.id", "best.tie")
+    best = root.groupBy("root").agg(least_row()).select("best")
+    best, _ = written(best, "best")
+    rows, _ = written(own.select("id", "tie"), "rows")
+    scratch.clear()
+    return only(slim, rows, best, docs.columns, id_col, text_col, others)

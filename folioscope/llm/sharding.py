@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,31 +29,25 @@ MOST_PARTS = 1 << 14
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws`` from ``good + bad`` without return, by exact inversion from the mode outwards."""
+    """Good ones among ``draws`` from ``good + bad`` without return, by inversion.
+
+    Weights follow from their ratios, 1 at the mode, and are divided by their
+    own sum, so no factorial of a large number loses digits: the law holds up to
+    the rounding of doubles, about 1e-12, and a tail of less than 1e-30.
+    """
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    u = rng.random() - p
-    up, down, a, b = p, p, mode, mode
-    while u > 0 and (a < high or b > low):
-        if a < high:
-            up *= (good - a) * (draws - a) / ((a + 1) * (bad - draws + a + 1))
-            a += 1
-            u -= up
-            if u <= 0:
-                return a
-        if b > low:
-            down *= b * (bad - draws + b) / ((good - b + 1) * (draws - b + 1))
-            b -= 1
-            u -= down
-            if u <= 0:
-                return b
-        if up < 1e-300 and down < 1e-300:
-            break
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(draws * (good / total) * (bad / total) * (total - draws) / max(1, total - 1))
+    reach = int(16 * spread) + 64
+    up = np.arange(mode + 1, min(high, mode + reach) + 1, dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    above = np.cumprod((good - up + 1) / up * ((draws - up + 1) / (bad - draws + up)))
+    below = np.cumprod(down / (good - down + 1) * ((bad - draws + down) / (draws - down + 1)))
+    ends = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + min(int(np.searchsorted(ends, rng.random() * ends[-1], side="right")), len(ends) - 1)
 
 
 def matrix(parts: list[int], shards: list[int], seed: int) -> list[list[int]]:
@@ -76,13 +71,16 @@ def _random(seed: int, what: str, columns: list[Column]) -> Column:
     return F.xxhash64(F.lit(f"{seed} {what}"), *columns)
 
 
-def shuffled(df: DataFrame, columns: list[str], shards: int = 16, seed: int = 11, part_bytes: int = PART_BYTES) -> DataFrame:
+def shuffled(df: DataFrame, columns: list[str], shards: int = 16, seed: int = 11, part_bytes: int = PART_BYTES, parts: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in it), uniformly at random.
 
     ``columns`` tell rows apart (an id and, where ids repeat, more); rows alike
     in all of them, nulls included, are interchangeable. Shard sizes differ by
-    one row at most, the first shards are the larger ones. An empty table stays
-    empty. Columns of ``df`` named ``shard`` or ``slot`` are replaced.
+    one row at most, the first shards are the larger ones. The same rows, seed
+    and number of ``parts`` give the same shards; without ``parts`` their number
+    follows from the size of the input. Null and very long values are dealt like
+    others. An empty table stays empty. Columns of ``df`` named ``shard`` or
+    ``slot`` are replaced.
     """
     if shards < 1:
         raise ValueError("at least one shard")
@@ -91,7 +89,7 @@ def shuffled(df: DataFrame, columns: list[str], shards: int = 16, seed: int = 11
     names = [f"c{i}" for i in range(len(df.columns))]
     slim = df.toDF(*names)
     keys = [F.col(n) for n, c in zip(names, df.columns, strict=True) if c in columns]
-    parts = min(MOST_PARTS, max(bucket_count(df, part_bytes), 1))
+    parts = parts or bucket_count(df, part_bytes, MOST_PARTS)
     dealt = slim.withColumn("_part", F.pmod(_random(seed, "part", keys), F.lit(parts)).cast("int"))
     sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())

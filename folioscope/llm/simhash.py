@@ -7,8 +7,10 @@ distinct fingerprint goes into one table for each segment under its own value
 and asks under the values of the small ball around it; what meets under a value
 is verified on all 64 bits. All steps work on distinct fingerprints, so a group
 of copies counts once, and a group of near copies has at most as many members
-as the Hamming ball. A value's members give a spanning forest of their links,
-never all pairs. Fingerprints and links stay in tables.
+as the Hamming ball. How many segments there are follows from the number of
+fingerprints, so that few strangers meet under a value; the links do not depend
+on it. A value's members give a spanning forest of their links, never all
+pairs. Fingerprints and links stay in tables.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, sliced, texts, written
+from . import resemblance
+from .common import Scratch, hot_join, keyed, majority, sliced, texts, written
 from .components import components
 
 _UPPER = bytes(range(65, 91))
@@ -42,11 +45,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = [0, *ends[: n - shingle].tolist()]
     h = np.fromiter([digest(whole[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64, n - shingle + 1)
-    # Bits by position: bit i of the fingerprint is bit i % 8 of little-endian byte i // 8.
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(h)
 
 
 def _fingerprints(shingle: int, seed: int):
@@ -75,6 +74,21 @@ def spans(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def segments_for(n: int, distance: int) -> int:
+    """The number of segments that is cheapest for ``n`` fingerprints.
+
+    A key costs its exchange; a comparison with what meets under it, about a
+    hundredth of that.
+    """
+
+    def cost(segments: int) -> float:
+        width = 64 // segments
+        masks = len(ball(width, distance // segments))
+        return segments * (1 + masks) / 2 * (1 + n * masks / 2**width / 100)
+
+    return min(range(2, max(3, distance + 2)), key=cost)
+
+
 def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect what ``distance`` connects, as positions: at most len(fp) - 1.
 
@@ -95,6 +109,15 @@ def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pairs(own: np.ndarray, distance: int) -> np.ndarray:
+    """Positions of links that connect what ``distance`` connects, a row for each."""
+    if len(own) <= 256:
+        u, v = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= distance, 1))
+        if len(u) <= 4 * len(own):
+            return np.c_[u, v]
+    return np.array(forest(own, distance), np.int64).reshape(-1, 2)
+
+
 def _links(distance: int):
     def of(run: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links within the runs of equal ``run`` values."""
@@ -108,31 +131,33 @@ def _links(distance: int):
         v.append(fp[near + 1])
         for a, b in zip(starts[size > 2], ends[size > 2], strict=True):
             own = np.unique(fp[a:b])
-            if len(own) > 1 and (pairs := forest(own, distance)):
-                i = np.array(pairs)
-                u.append(own[i[:, 0]])
-                v.append(own[i[:, 1]])
+            pairs = _pairs(own, distance)
+            u.append(own[pairs[:, 0]])
+            v.append(own[pairs[:, 1]])
         return np.concatenate(u), np.concatenate(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the last key of a batch may go on in the next one."""
-        rest: tuple[np.ndarray, np.ndarray] | None = None
-        for b in batches:
-            key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
-            if rest:
-                key, fp = np.r_[rest[0], key], np.r_[rest[1], fp]
-            if not len(key):
-                continue
-            last = np.searchsorted(key, key[-1])
-            rest = (key[last:], fp[last:])
-            if last:
-                u, v = of(key[:last], fp[:last])
+        keys, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+        def close(upto: int | None) -> Iterator[pa.RecordBatch]:
+            """Links of all rows but those behind ``upto`` of the last batch, which stay."""
+            last_key, last_fp = keys[-1], fps[-1]
+            keys[-1], fps[-1] = last_key[:upto], last_fp[:upto]
+            key, fp = np.concatenate(keys), np.concatenate(fps)
+            keys[:], fps[:] = ([last_key[upto:]], [last_fp[upto:]]) if upto is not None else ([], [])
+            if len(key) > 1:
+                u, v = of(key, fp)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-        if rest and len(rest[0]):
-            u, v = of(*rest)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+        for b in batches:
+            if b.num_rows:
+                keys.append(b.column("key").to_numpy())
+                fps.append(b.column("fp").to_numpy().view(np.uint64))
+                if at := int(np.searchsorted(keys[-1], keys[-1][-1])):
+                    yield from close(at)
+        yield from close(None)
 
     return run
 
@@ -156,34 +181,62 @@ def _keys(distance: int, segments: int):
     return run
 
 
-def links(distinct: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+#: Keys of 16 bytes in a partition of the exchange.
+PART_KEYS = 4 << 20
+
+
+def links(distinct: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
     """Links ``u, v`` between the fingerprints of ``distinct (fp)`` that connect all those within ``distance``."""
+    n = distinct.count()
+    segments = segments or segments_for(n, distance)
+    each = sum(1 + len(ball(width, distance // segments)) for _, width in spans(segments)) / 2
     keys = distinct.select("fp").mapInArrow(_keys(distance, segments), "key long, fp long")
-    n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(distance), "u long, v long").distinct()
+    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(n * each / PART_KEYS))
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links(distance), "u long, v long").distinct()
+
 
+def _groups(own: DataFrame, scratch: Scratch, distance: int, segments: int | None) -> DataFrame:
+    """``fp, least, n, root`` of each fingerprint in ``own (id, fp)``: its least id, its rows, and the name of its component."""
+    distinct = scratch.written(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    found = components(links(distinct, distance, segments), scratch=scratch)
+    return scratch.written(distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root")), "named")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int = 3) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int | None = None) -> DataFrame:
     """``id, fp, component`` for each row: the least id that it reaches over fingerprints within ``distance``.
 
     Rows with a null id link like others but lend no name; a component of such
     rows alone has a null one. Repeated rows keep their number. Null texts count
-    as empty, and texts without words all have fingerprint 0. An empty table
-    gives an empty result. Other columns are not read.
+    as empty, and texts without words all have fingerprint 0; texts of any length
+    are read whole. An empty table gives an empty result. Other columns are not
+    read. ``segments``: chosen by :func:`segments_for` if not given.
     """
-    own, _ = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct, _ = written(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    found = components(links(distinct, distance, segments))
-    named = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component"))
-    return own.join(named.join(names, "root").select("fp", "component"), "fp").select("id", "fp", "component")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without those whose component has a smaller id; an id names one document, so of its rows one stays.
-
-    Rows with a null id have no name to keep them by and all stay.
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _groups(own, scratch, distance, segments)
+    names = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("m"))
+    by_fp = scratch.written(hot_join(named.select("fp", "n", "root"), names, "root", "m").select("fp", "n", "component"), "names")
+    return scratch.result(hot_join(own, by_fp, "fp").select("id", "fp", "component"), "near")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, segments: int | None = None, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near copies.
+
+    A group is what links connect: fingerprints within ``distance``; with a
+    ``similarity``, pairs with at least that Jaccard index of their distinct
+    shingles (:mod:`resemblance`), verified on the whole sets. The row with the
+    least id stays (null behind all), then the one with the least hash of all its
+    columns. Rows decide, so an id that has several texts keeps those that are
+    in groups of their own.
     """
-    kept = near_duplicates(docs, id_col, text_col, **settings).where("id = component").select(F.col("id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    return named.dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    if similarity is not None:
+        return resemblance.representatives(docs, id_col, text_col, shingle, similarity, lambda sets: links(sets, distance, segments))
+    scratch = Scratch(docs.sparkSession)
+    slim, others = resemblance.slim_of(docs, id_col, text_col)
+    prints = slim.select("text", F.struct("id", "tie").alias("id")).mapInArrow(_fingerprints(shingle, 42), "id struct<id:long,tie:long>, fp long")
+    own = scratch.written(prints.select("id.id", "id.tie", "fp"), "fingerprints")
+    named = _groups(own, scratch, distance, segments)
+    best, _ = written(hot_join(own, named.select("fp", "n", "root"), "fp").groupBy("root").agg(resemblance.least_row()), "best")
+    scratch.paths.pop(0)  # own is read by the result
+    scratch.clear()
+    return resemblance.only(slim, own, best, docs.columns, id_col, text_col, others)

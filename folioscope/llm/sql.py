@@ -6,22 +6,38 @@ WITH RECURSIVE rules(rule, verdict) AS (
 ),
 split AS (SELECT rule, verdict, left(rule, strpos(rule, '/') - 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path FROM rules),
 linked AS (
-  SELECT url AS source, html, regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link,
-         regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS meta
-  FROM pages WHERE url IS NOT NULL
+  SELECT url AS source, regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS links,
+         regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS metas
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
 ),
 raw AS (
-  SELECT source, trim(replace(t, '&amp;', '&')) AS t FROM (
-    SELECT source, regexp_extract(link, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM linked
-    UNION ALL SELECT source, regexp_extract(meta, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM linked)
+  SELECT source, trim(replace(t, '&amp;', '&')) AS t, regexp_extract(source, '^([^:/?#]*)://', 1) AS scheme, regexp_extract(source, '^([^:/?#]*://[^/?#]*)', 1) AS site,
+         regexp_extract(source, '://[^/?#]*([^?#]*)', 1) AS path
+  FROM (
+    SELECT source, regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM (SELECT source, unnest(links) AS x FROM linked)
+    UNION ALL SELECT source, regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT source, unnest(metas) AS x FROM linked))
   WHERE t <> ''
 ),
-targets AS (
-  SELECT source, CASE WHEN contains(t, '://') THEN t
-    WHEN starts_with(t, '//') THEN regexp_extract(source, '^([^:/?#]*)://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(source, '^([^:/?#]*)://', 1) || '://' || regexp_extract(source, '://([^/?#]*)', 1) || t END AS url
+whole AS (
+  SELECT source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN t = '' OR t[1] = '#' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t
+    WHEN t[1] = '/' THEN site || t
+    WHEN t[1] = '?' THEN site || path || t
+    ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS url
   FROM raw
 ),
+cut AS (
+  SELECT source, regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) AS site, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(.*)$', 1) AS tail,
+         list_transform(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: [x]) AS names
+  FROM whole WHERE url IS NOT NULL
+),
+targets AS (
+  SELECT source, site || CASE WHEN NOT regexp_matches(path, '/\.\.?(/|$)') THEN path
+    ELSE array_to_string(list_reduce(names, lambda a, x: CASE x[1] WHEN '..' THEN a[1:greatest(1, len(a) - 1)] WHEN '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])), '/')
+      || CASE WHEN names[-1][1] IN ('.', '..') THEN '/' ELSE '' END END || tail AS url
+  FROM cut
+),
 urls AS (SELECT page_id, url, CAST(NULL AS VARCHAR) AS source FROM pages UNION ALL SELECT NULL, url, source FROM targets WHERE url IS NOT NULL),
 parts AS (
   SELECT page_id, source, url,

@@ -29,10 +29,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, keyed, new_path, sliced
+from .common import bucket_count, keyed, new_path, sliced, written
 from .tokens import encoder
 
 #: Fixed values of the seekable format.
@@ -155,9 +155,12 @@ class Reader:
                 yield None if self.index["null"][r] else int(self.index["id"][r]), int(self.before[r]), data[4 * x : 4 * (x + int(self.index["ids"][r]))]
 
 
-def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int):
+_MANIFEST = "part int, file string, n_tokens long, n_docs long"
+
+
+def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, w = encoder(vocabulary), Writer(frame_ids)
+        enc, w = encoder(vocabulary, special=special), Writer(frame_ids)
         tail = np.array([end_id], "<u4").tobytes()
         part, n = TaskContext.get().partitionId(), 0
         for b in sliced(batches, 512, give_back=False):
@@ -171,26 +174,40 @@ def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int):
     return run
 
 
-def write(docs: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, frame_ids: int = FRAME_IDS, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
+#: Files whose first positions are summed in one window.
+GROUP = 4096
+
+
+def _started(files: DataFrame) -> DataFrame:
+    """``files`` with ``start``: the sum of ``n_tokens`` before it in the order of ``part``, by groups of neighbours."""
+    grouped = files.withColumn("_group", F.floor(F.col("part") / GROUP))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each GROUP files.
+    groups = grouped.groupBy("_group").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("_before", before(Window.orderBy("_group"))).select("_group", "_before")
+    inside = grouped.withColumn("_inside", before(Window.partitionBy("_group").orderBy("part")))
+    return inside.join(F.broadcast(groups), "_group").withColumn("start", F.col("_before") + F.col("_inside")).drop("_group", "_before", "_inside")
+
+
+def write(docs: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, frame_ids: int = FRAME_IDS, file_bytes: int = FILE_BYTES, special: bool = False) -> tuple[DataFrame, str]:
     """Write the ids of all texts in ascending id order; returns the manifest and the folder.
 
     Manifest: ``file, part, n_docs, n_tokens, start`` (ids in the files before),
-    a row for each file. Files hold neighbouring ranges of ids in order, so rows
-    that repeat an id lie together, by text; a null id comes first, a null text
-    counts as empty and has the end id alone. An empty table writes no file.
+    a row for each file, a table itself. Files hold neighbouring ranges of ids in order, so
+    rows that repeat an id lie together, by text; a null id comes first, a null text
+    counts as empty and has the end id alone, texts of any length are encoded
+    whole. An empty table writes no file. ``special``: strings of special tokens
+    in a text give these tokens, else they are ordinary text. Ids must be
+    integers; other columns are not read.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-ids")
     slim, _ = keyed(docs.select(id_col, text_col), id_col, text_col)
-    # Files of one range each: sampled bounds, one exchange of the texts, sorted within.
-    n = max(bucket_count(docs.select(id_col, text_col), file_bytes), 1)
-    dealt = slim.select("id", "text").repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    done = dealt.mapInArrow(_writes(path, vocabulary, end_id, frame_ids), "part int, file string, n_tokens long, n_docs long").toArrow()
-    done = done.sort_by("part")
-    tokens = done["n_tokens"].to_numpy()
-    done = done.append_column("start", pa.array(np.cumsum(tokens) - tokens, pa.int64()))
-    manifest = spark.createDataFrame(done) if done.num_rows else spark.createDataFrame([], "part int, file string, n_tokens long, n_docs long, start long")
-    return manifest, path
+    # Files of one range each: sampled bounds, one exchange of the texts, sorted within. The
+    # first characters of the text let texts under one id go to several files.
+    n = bucket_count(docs.select(id_col, text_col), file_bytes)
+    dealt = slim.select("id", "text").repartitionByRange(n, "id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
+    files, _ = written(dealt.mapInArrow(_writes(path, vocabulary, end_id, frame_ids, special), _MANIFEST), "manifest")
+    return _started(files), path
 
 
 def _reads(path: str):
@@ -205,8 +222,11 @@ def _reads(path: str):
     return run
 
 
+#: Most tasks that read files.
+MOST_TASKS = 1 << 14
+
+
 def read(manifest: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, start, n_tokens, crc32`` of each document, from the files: every frame's checksum is verified."""
     files = manifest.select("file", "start")
-    n = max(1, files.count())
-    return files.repartition(n, "file").mapInArrow(_reads(path), "id long, start long, n_tokens long, crc32 long").withColumnRenamed("id", id_col)
+    return files.repartition(min(MOST_TASKS, max(1, files.count()))).mapInArrow(_reads(path), "id long, start long, n_tokens long, crc32 long").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import numpy as np
 #: Parts of a generation; a worker remembers the latest and the one before.
 KNOWN = 400_000
 #: Characters of texts that are encoded at once.
-BLOCK = 1 << 15
+BLOCK = 1 << 17
 
 #: Latin letters, then marks of ASCII without the apostrophe: two pieces of the byte-level pattern.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
@@ -26,13 +26,17 @@ _LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
 class Encoder:
-    def __init__(self, vocabulary: str, known: int = KNOWN):
+    def __init__(self, vocabulary: str, known: int = KNOWN, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        # Strings of special tokens in a text are ordinary text.
+        # Strings of special tokens in a text are ordinary text, but for ``special``.
         self.tokenizer.encode_special_tokens = True
+        # Texts with added tokens are encoded whole, by the library's own rules.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.plain = Tokenizer.from_file(vocabulary)
+        self.plain.encode_special_tokens = not special
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         # Of the words behind a line break.
@@ -47,6 +51,9 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _text(self, text: str) -> bytes:
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         return self.encode_all([text])[0]
@@ -54,9 +61,13 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; what is new in a block of texts is learned at once."""
         if not self.cuts:
-            return [self._whole([t])[0] if t else b"" for t in texts]
+            return [self._text(t) for t in texts]
         out, block, size = [], [], 0
         for t in texts:
+            if any(a in t for a in self.added):
+                out += [*self._block(block), self._text(t)]
+                block, size = [], 0
+                continue
             block.append(t)
             size += len(t)
             if size > BLOCK:
@@ -134,11 +145,12 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(vocabulary: str, known: int = KNOWN) -> Encoder:
+def encoder(vocabulary: str, known: int = KNOWN, special: bool = False) -> Encoder:
     """The worker's own encoder of a vocabulary file."""
-    if (vocabulary, known) not in _encoders:
-        _encoders[vocabulary, known] = Encoder(vocabulary, known)
-    return _encoders[vocabulary, known]
+    key = (vocabulary, known, special)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -5,6 +5,10 @@ Redirects, canonical links and spellings of one address make pages aliases;
 the connected components of these edges share a block: a page without a rule is
 blocked if an alias has an explicit block, a page with a rule keeps its own
 verdict, so an explicit allow goes before an inherited block.
+
+A few rules are part of the plan. Many are joined to the distinct hosts, by the
+ends of a host that a rule may name, and the rules of a host come back to its
+pages, so a page meets only the rules of its own host.
 """
 
 from __future__ import annotations
@@ -14,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, hot_join
 from .components import components
 
-#: Rules are part of the plan, so their number is bounded.
-MOST_RULES = 1000
+#: Rules that are part of the plan; more are joined by host.
+INLINE_RULES = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,16 +62,38 @@ def key_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), query))
 
 
+_MATCH = "struct<rule:string,verdict:string>"
+
+
+def _ordered(rules: list[Rule]) -> list[Rule]:
+    """The longest first, allow before block for one text."""
+    return sorted(rules, key=lambda r: (-len(r.text), r.text, r.verdict))
+
+
+def _first_fit(fits: Column) -> Column:
+    return F.get(F.transform(fits, lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict"))), F.lit(0))
+
+
 def matching(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """The longest rule that fits as ``struct<rule, verdict>``, allow before block for one text; else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    """The longest rule that fits as ``struct<rule, verdict>``, allow before block for one text; else null. All rules are in the expression."""
     if not rules:
-        return F.lit(None).cast("struct<rule:string,verdict:string>")
-    ordered = sorted(rules, key=lambda r: (-len(r.text), r.text, r.verdict))
-    table = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit("." + r.host).alias("under"), F.lit(r.path).alias("path"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in ordered])
-    fits = F.filter(table, lambda r: ((host == r["host"]) | F.endswith(host, r["under"])) & F.startswith(path, r["path"]))
-    return F.get(F.transform(fits, lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict"))), F.lit(0))
+        return F.lit(None).cast(_MATCH)
+    table = F.array(*[F.struct(F.lit(r.host).alias("host"), F.lit("." + r.host).alias("under"), F.lit(r.path).alias("path"), F.lit(r.text).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in _ordered(rules)])
+    return _first_fit(F.filter(table, lambda r: ((host == r["host"]) | F.endswith(host, r["under"])) & F.startswith(path, r["path"])))
+
+
+def matched(urls: DataFrame, rules: list[Rule], scratch: Scratch) -> DataFrame:
+    """``urls (host, path, ...)`` with ``match``, as :func:`matching` has it."""
+    if len(rules) <= INLINE_RULES:
+        return urls.withColumn("match", matching(F.col("host"), F.col("path"), rules))
+    urls = scratch.written(urls, "urls")
+    table = urls.sparkSession.createDataFrame([(k, r.host, r.path, r.text, r.verdict) for k, r in enumerate(_ordered(rules))], "place int, at string, path string, rule string, verdict string")
+    hosts = urls.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
+    names = F.split("host", "[.]", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
+    fitting = hosts.select("host", "n", F.explode(ends).alias("at")).join(table, "at").groupBy("host", "n").agg(F.array_sort(F.collect_list(F.struct("place", "path", "rule", "verdict"))).alias("rules"))
+    found = hot_join(urls, scratch.written(fitting, "rules"), "host", how="left")
+    return found.withColumn("match", _first_fit(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))).drop("rules")
 
 
 def _plain_path(path: Column) -> Column:
@@ -111,28 +138,32 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     ``html_col``. Targets that are no page themselves still pass on the verdict
     of their rule. ``inherited``: blocked as an alias. A null url has empty host
     and path, no alias and the ``default`` verdict; a null html has no links;
-    repeated rows keep their number; an empty table stays empty. Other columns
-    are not read.
+    urls and pages of any length are read whole; repeated rows keep their number;
+    an empty table stays empty. Other columns are not read.
     """
+    scratch = Scratch(pages.sparkSession)
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    own = named.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), key_of(F.col("url")).alias("key"))
-    own = own.withColumn("match", matching(F.col("host"), F.col("path"), rules))
+    parts = lambda url: (host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("key"))
+    own = matched(named.select("id", *parts(F.col("url"))), rules, scratch)
     edges = None
     if html_col is not None:
         edges = link_edges(pages.select(url_col, html_col), url_col, html_col)
     if redirects is not None:
         known = redirects.select(F.col("source").cast("string"), F.col("target").cast("string"))
         edges = known if edges is None else edges.union(known)
-    verdicts = own.select("key", F.col("match.verdict").alias("verdict"))
+    block = lambda df: df.where("match.verdict = 'block' and key is not null").select("key").distinct()
+    blocked = block(own)
     if edges is not None:
-        linked = components(edges.select(key_of(F.col("source")).alias("u"), key_of(F.col("target")).alias("v")).where("u <> v"))
-        target = F.col("target")
-        verdicts = verdicts.union(edges.select(key_of(target), matching(host_of(target), path_of(target), rules)["verdict"]))
-        named_as = linked.select(F.col("node").alias("key"), "component")
-        grouped = lambda df: df.join(named_as, "key", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
-    else:
-        grouped = lambda df: df.withColumn("group", F.col("key"))
-    blocked = grouped(verdicts.where("verdict = 'block' and key is not null").distinct()).select("group", F.lit(True).alias("blocked")).distinct()
-    out = grouped(own).join(blocked, "group", "left")
+        edges = scratch.written(edges.select(key_of(F.col("source")).alias("u"), *parts(F.col("target"))), "links")
+        linked = scratch.written(components(edges.select("u", F.col("key").alias("v")).where("u <> v"), scratch=scratch), "aliases")
+        blocked = scratch.written(blocked.union(block(matched(edges.select("host", "path", "key"), rules, scratch))).distinct(), "blocked")
+        groups = blocked.join(linked, F.col("key") == F.col("node")).select("component").distinct()
+        groups = groups.join(linked.groupBy("component").agg(F.count("*").alias("n")), "component")
+        blocked = blocked.union(hot_join(linked, groups, "component").select(F.col("node").alias("key"))).distinct()
+    # Only pages without a rule inherit; of each blocked key how many pages have it.
+    open_ = own.where("match is null and key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    heirs = scratch.written(blocked.join(open_, "key").withColumn("blocked", F.lit(True)), "heirs")
+    out = hot_join(own, heirs, "key", how="left")
     inherited = F.col("match").isNull() & F.coalesce("blocked", F.lit(False))
-    return out.select(F.col("id").alias(id_col), "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", F.when(inherited, "block"), F.lit(default)).alias("verdict"), inherited.alias("inherited"))
+    judged = out.select(F.col("id").alias(id_col), "host", "path", F.col("match.rule").alias("rule"), F.coalesce("match.verdict", F.when(inherited, "block"), F.lit(default)).alias("verdict"), inherited.alias("inherited"))
+    return scratch.result(judged, "judged")
