@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, packing, quality, registry, resemblance, substring
+from folioscope.llm import decontaminate, packing, quality, registry, simhash, substring
 from folioscope.llm.common import new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -13,13 +13,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    model = quality.train(docs, registry.table(spark, sf_dir, "labels").where(~quality.held_out()))
-    return quality.score(docs, model).where("predicted = 1").select(COLUMNS)
+    model = quality.train(docs, registry.table(spark, sf_dir, "labels").where(~quality.held_out()), metadata=registry.METADATA)
+    return quality.score(docs, model, metadata=registry.METADATA).where("predicted = 1").select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 or more of their 5-word shingles in common) stays, the one with the least id."""
-    return resemblance.representatives(docs).select(COLUMNS)
+    return simhash.representatives(docs, shingle=5, similarity=0.8).select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens. Workers have other stages before and behind, so they remember fewer parts."""
-    return packing.packed(docs, registry.vocabulary(), cuts=True, known=100_000).withColumnRenamed("crc32", "ids_crc32")
+    return packing.packed(docs, registry.vocabulary(), limits=packing.Limits(segments=2048), cuts=True, known=100_000, special=True).withColumnRenamed("crc32", "ids_crc32")
 
 
 STAGES = [
