@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -19,8 +21,11 @@ KNOWN = 400_000
 #: Characters of texts that are encoded at once.
 BLOCK = 1 << 17
 
-#: Latin letters, then marks of ASCII without the apostrophe: two pieces of the byte-level pattern.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Latin letters, and marks of ASCII without the apostrophe: a word and the marks behind it are two pieces of the byte-level pattern.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Words in a row that is encoded at once.
+ROW = 256
 #: Lines with no other white space than the breaks between them.
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 
@@ -37,16 +42,18 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.plain = Tokenizer.from_file(vocabulary)
         self.plain.encode_special_tokens = not special
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        # Ids of a part; False for one that can only be encoded with what is before it.
+        self.known: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
         # Of the words behind a line break.
-        self.lines: dict[str, bytes | None] = {}
+        self.lines: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.limit = known
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        # Byte-level tokens are spelled with a character for each byte.
-        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        # Byte-level tokens spell a space and a line break with these letters.
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins = {x: np.array([t.startswith(letter) for t in tokens]) for x, letter in ((" ", "\u0120"), ("\n", "\u010a"))}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,50 +85,66 @@ class Encoder:
     def _block(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         starts = [p.pop(0) for p in parts]
-        self._learn(set().union(*parts))
-        get, first, out = self.known.__getitem__, self.first, []
+        every = list(chain.from_iterable(parts))
+        got = list(map(self.known.get, every))
+        gaps = list(compress(range(len(got)), map(is_, got, repeat(None))))
+        if gaps:
+            self._learn({every[i] for i in gaps})
+            known = self.known
+            for i in gaps:
+                got[i] = known[every[i]]
+        first, out, at = self.first, [], 0
         for text, start, rest in zip(texts, starts, parts, strict=True):
             if start not in first:
                 if len(first) > 50_000:
                     first.clear()
                 first[start] = self._whole([start])[0] if start else b""
+            end = at + len(rest)
             try:
-                out.append(first[start] + b"".join(map(get, rest)))
+                out.append(first[start] + b"".join(got[at:end]))
             except TypeError:  # a part that starts with white space, or an empty one
                 out.append(self._whole([text])[0])
+            at = end
         return out
 
-    def _learn(self, parts: set[str]) -> None:
-        """Ids of the parts that are not known; of an older generation if it has them, else encoded together."""
-        new = parts.difference(self.known)
+    def _learn(self, new: set[str]) -> None:
+        """Ids of parts that are not known; of an older generation if it has them, else encoded together."""
         if len(self.known) + len(new) > self.limit:
             self.older, self.known = self.known, {}
             self.lines.clear()
-            new = parts
         kept = new & self.older.keys()
         self.known |= zip(kept, map(self.older.__getitem__, kept), strict=True)
         rest = new - kept
         # A line break before other than white space is a piece, and so starts another one.
         lines = {p: p.split("\n") for p in rest if "\n" in p and _LINES.fullmatch(p)}
-        self._learn_words(self.known, rest.difference(lines).union(x[0] for x in lines.values()), " ")
-        self._learn_words(self.lines, {y for x in lines.values() for y in x[1:]}, "\n")
+        if lines:
+            rest.difference_update(lines)
+            rest.update(x[0] for x in lines.values() if x[0] not in self.known)
+            self._learn_words(self.lines, {y for x in lines.values() for y in x[1:]}.difference(self.lines), "\n")
+        self._learn_words(self.known, rest, " ")
         for p, x in lines.items():
             self.known[p] = self.known[x[0]] + b"".join(map(self.lines.__getitem__, x[1:]))
 
-    def _learn_words(self, known: dict[str, bytes | None], parts: set[str], before: str) -> None:
-        """Add to ``known`` the ids of parts with ``before`` in front of them."""
-        rest = parts.difference(known)
-        # A word and the marks behind it are two pieces, so a known word with new marks is known.
-        split = {p: m.groups() for p in rest if (m := _PLAIN.fullmatch(p))}
-        words = {w for w, _ in split.values()}.union(rest.difference(split))
-        words = [w for w in words if w not in known]
-        good = [w for w in words if w and not w[0].isspace()]
-        if len(good) < len(words):
-            known |= dict.fromkeys(set(words).difference(good))
-        for at in range(0, len(good), 4096):
-            some = good[at : at + 4096]
+    def _learn_words(self, known: dict[str, bytes | bool], parts: set[str], before: str) -> None:
+        """Add to ``known`` the ids of parts, which it has not, with ``before`` in front of them."""
+        good, split = [], []
+        for p in parts:
+            if p.isalpha():
+                good.append(p)
+                continue
+            w = p.rstrip(_MARKS)
+            if len(w) < len(p) and _LATIN.fullmatch(w):
+                split.append((p, w, p[len(w) :]))
+            elif not p or p[0].isspace():
+                known[p] = False
+            else:
+                good.append(p)
+        # A word that is known or learned now needs its marks only.
+        good += {w for _, w, _ in split if w not in known and w not in parts}
+        for at in range(0, len(good), 16 * ROW):
+            some = good[at : at + 16 * ROW]
             known |= zip(some, self._together(some, before), strict=True)
-        for p, (w, marks) in split.items():
+        for p, w, marks in split:
             known[p] = known[w] + self._marks(marks)
 
     def _marks(self, marks: str) -> bytes:
@@ -133,16 +156,14 @@ class Encoder:
         return found
 
     def _together(self, parts: list[str], before: str = " ") -> list[bytes]:
-        """Ids of each part with ``before``, a byte, in front of it: encoded in rows, cut where the bytes of a part end."""
-        rows = [before + before.join(parts[i : i + 64]) for i in range(0, len(parts), 64)]
+        """Ids of each part with ``before`` in front of it: encoded in rows, cut where a token starts with that."""
+        rows = [before + before.join(parts[i : i + ROW]) for i in range(0, len(parts), ROW)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
-        at = np.cumsum(self.sizes[ids])
-        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
-        cut = np.searchsorted(at, ends)
-        if not np.array_equal(at[cut], ends):
+        cuts = (4 * np.flatnonzero(self.begins[before][ids])).tolist()
+        if len(cuts) != len(parts) or cuts[0]:
             raise RuntimeError("a token goes over the end of a part")
-        data, cuts = ids.tobytes(), (4 * (cut + 1)).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
 
 
 _encoders: dict[tuple[str, int, bool], Encoder] = {}
