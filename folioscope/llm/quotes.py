@@ -1,12 +1,17 @@
 """Chat formatting by quotation linking.
 
-Lines that start with ``>`` quote, nested by their number. Each quoted line is
-normalised and hashed, and joined to the first message of its conversation that
-says it. A message answers the earlier message that its shallowest quotes come
-from; these links make threads, and a conversation is put in the order of
-threads, answers behind what they answer, with the quotes taken out.
-
-Only hashes and turns are exchanged for linking, aggregated before the exchange.
+Lines that start with ``>`` quote, nested by their number; lines of one level
+behind each other are a passage. A passage is normalised across its line breaks
+and hashed: its windows of ``WINDOW`` words, its lines, and itself if it has
+fewer words. So are the own words of each message. What a passage and an earlier
+message of the conversation have in common names the first message that says
+it; a quote that was wrapped anew, cut or run together still links. A message
+answers the earlier message that its shallowest quotes come from; these links
+make threads, and a conversation is put in the order of threads, answers behind
+what they answer, with the quotes taken out.
+
+Only hashes and turns are exchanged for linking, of conversations with quotes
+alone, and a passage that very many messages quote is not exchanged by its hash.
 The order in a conversation comes from a range sort over all conversations, so
 a long one is spread over tasks.
 """
@@ -16,10 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, remove, written
+from .common import Scratch, bucket_count, hot_join, remove, written
+from .minhash import let
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKET_BYTES = 8 << 20
+#: Words of a hashed window.
+WINDOW = 5
 
 
 def lines(text: Column) -> Column:
@@ -40,16 +48,38 @@ def without_quotes(parsed: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, "^[ \\t-\\r]+", ""), "[ \\t-\\r]+$", "")
 
 
-def answers(messages: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
+def passages(parsed: Column) -> Column:
+    """``array<struct<level, lines>>``: the runs of lines of one level, from 1 on, that have words; lines are normalised."""
+    runs = lambda p, starts: F.transform(starts, lambda s, k: F.struct(F.get(p, s)["level"].alias("level"), _said(F.slice(p, s + 1, F.coalesce(F.get(starts, k + 1), F.size(p)) - s)).alias("lines")))
+    starts = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["level"] != F.get(p, i - 1)["level"]))
+    return F.filter(let(parsed, lambda p: let(starts(p), lambda x: runs(p, x))), lambda r: (r["level"] > 0) & (F.size(r["lines"]) > 0))
+
+
+def _said(parsed: Column) -> Column:
+    """The normalised lines that have words."""
+    return F.filter(F.transform(parsed, lambda x: normalised(x["said"])), lambda x: x != "")
+
+
+def units(conv: Column, lines_: Column) -> Column:
+    """Distinct hashes of what normalised lines say: their windows over all line breaks, themselves, and all of them if they are fewer words."""
+    of = lambda x: F.xxhash64(conv, x)
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: of(F.array_join(F.slice(w, i, WINDOW), " ")))
+    joined = lambda w: F.when(F.size(w) >= WINDOW, windows(w)).otherwise(F.array(of(F.array_join(w, " "))))
+    return F.when(F.size(lines_) > 0, F.array_distinct(F.concat(F.transform(lines_, of), let(F.split(F.array_join(lines_, " "), " "), joined)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def answers(messages: DataFrame, conv_col: str, turn_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """``conv, turn, parent, n_linked`` of each message whose quotes name an earlier one."""
-    said = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.explode(lines(F.col(text_col))).alias("l"))
-    said = said.select("conv", "turn", "l.level", normalised(F.col("l.said")).alias("said")).where("said <> '' and conv is not null and turn is not null")
-    said = said.select("conv", "turn", "level", F.xxhash64("said").alias("hash"))
-    quoted = said.where("level > 0")
-    first = said.where("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    found = quoted.join(first, ["conv", "hash"]).where("origin < turn")
-    by_origin = found.groupBy("conv", "turn", "level", "origin").agg(F.count("*").alias("n"))
-    best = by_origin.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("depth"), "n", "origin")).alias("best"), F.sum("n").alias("n_linked"))
+    rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), lines(F.col(text_col)).alias("parsed")).where("conv is not null and turn is not null")
+    quoted = rows.select("conv", "turn", F.posexplode(passages(F.col("parsed"))).alias("passage", "p"))
+    quoted = scratch.written(quoted.select("conv", "turn", "passage", "p.level", F.explode(units(F.col("conv"), F.col("p.lines"))).alias("hash")), "quoted")
+    asked = quoted.groupBy("hash").agg(F.count("*").alias("n"))
+    own = rows.join(quoted.select("conv").distinct(), "conv", "left_semi")
+    own = own.select("turn", F.explode(units(F.col("conv"), _said(F.filter("parsed", lambda x: x["level"] == 0)))).alias("hash"))
+    first = scratch.written(own.groupBy("hash").agg(F.min("turn").alias("origin")).join(asked, "hash"), "origins")
+    found = hot_join(quoted, first, "hash").where("origin < turn")
+    by_origin = found.groupBy("conv", "turn", "level", "origin").agg(F.count("*").alias("n"), F.collect_set("passage").alias("from"))
+    best = by_origin.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("depth"), "n", "origin")).alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("from")))).cast("long").alias("n_linked"))
     return best.select("conv", "turn", F.col("best.origin").alias("parent"), "n_linked")
 
 
@@ -75,16 +105,18 @@ def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     ``position`` is gapless from 0 in a conversation: by the first turn of the
     thread, then by depth, turn, role and body (nulls first), so an answer comes
     behind what it answers. A message that quotes nothing known opens a thread.
-    Of equal origins the one with more quoted lines wins, then the later one.
-    Null texts count as empty; rows with a null conversation or turn are not
+    ``n_quoted`` and ``n_linked`` count quoted passages. Of origins at the
+    shallowest level that of most hashes wins, then the later one. Null texts count as empty; rows with a null conversation or turn are not
     linked but keep their place; rows that repeat a turn answer and are answered
     as one; quotes of later turns link nothing. An empty table stays empty.
     Other columns are not read.
     """
     slim = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
-    found = threads(answers(slim, "conv", "turn", "text"))
+    scratch = Scratch(messages.sparkSession)
+    found = threads(answers(slim, "conv", "turn", "text", scratch))
+    scratch.clear()
     parsed = slim.withColumn("parsed", lines(F.col("text")))
-    bare = parsed.select("conv", "turn", "role", without_quotes(F.col("parsed")).alias("body"), F.size(F.filter("parsed", lambda x: (x["level"] > 0) & (normalised(x["said"]) != ""))).cast("long").alias("n_quoted"))
+    bare = parsed.select("conv", "turn", "role", without_quotes(F.col("parsed")).alias("body"), F.size(passages(F.col("parsed"))).cast("long").alias("n_quoted"))
     rows = bare.join(found, ["conv", "turn"], "left").select("conv", "turn", "role", "body", "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
     order = ["root", "depth", "turn", "role", "body"]
     n = bucket_count(slim, BUCKET_BYTES)

@@ -72,14 +72,26 @@ said AS (
          regexp_replace(line, '^([ \t]*>)+[ \t]?', '') AS said
   FROM (SELECT r, conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM m)
 ),
-hashed AS (
-  SELECT * FROM (
-    SELECT *, trim(regexp_replace(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS plain FROM said)
-  WHERE plain <> ''
+ranked_lines AS (
+  SELECT *, n - row_number() OVER (PARTITION BY r, level ORDER BY n) AS run,
+    trim(regexp_replace(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+', ' ', 'g')) AS plain FROM said
 ),
-first AS (SELECT conv_id, plain, min(turn) AS origin FROM hashed WHERE level = 0 GROUP BY ALL),
-found AS (SELECT q.conv_id, q.turn, q.level, f.origin, count(*) AS n FROM hashed q JOIN first f ON q.conv_id = f.conv_id AND q.plain = f.plain WHERE q.level > 0 AND f.origin < q.turn GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) AS k, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked FROM found),
+-- Lines of one level behind each other are a passage; the own lines of a message count as one.
+spoken AS (
+  SELECT r, conv_id, turn, level, CASE WHEN level > 0 THEN run ELSE 0 END AS run, list(plain ORDER BY n) AS ls, string_split(string_agg(plain, ' ' ORDER BY n), ' ') AS ws
+  FROM ranked_lines WHERE plain <> '' GROUP BY ALL
+),
+-- Rows that repeat a turn count as one message, passage by passage in their order.
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r, level > 0 ORDER BY (SELECT min(n) FROM ranked_lines x WHERE x.r = spoken.r AND x.level = spoken.level AND x.run = spoken.run)) AS passage FROM spoken),
+units AS (
+  SELECT DISTINCT conv_id, turn, level, passage, unnest(list_concat(ls, CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS unit, r
+  FROM numbered
+),
+first AS (SELECT conv_id, unit, min(turn) AS origin FROM units WHERE level = 0 GROUP BY ALL),
+hits AS (SELECT q.conv_id, q.turn, q.level, q.passage, f.origin FROM units q JOIN first f ON q.conv_id = f.conv_id AND q.unit = f.unit WHERE q.level > 0 AND f.origin < q.turn),
+counted AS (SELECT conv_id, turn, count(DISTINCT passage) AS n_linked FROM hits GROUP BY ALL),
+found AS (SELECT conv_id, turn, level, origin, count(*) AS n FROM hits GROUP BY ALL),
+ranked AS (SELECT f.*, c.n_linked, row_number() OVER (PARTITION BY f.conv_id, f.turn ORDER BY level, n DESC, origin DESC) AS k FROM found f JOIN counted c ON c.conv_id = f.conv_id AND c.turn = f.turn),
 links AS (SELECT conv_id, turn, origin AS parent, n_linked FROM ranked WHERE k = 1),
 up(conv_id, turn, root, depth) AS (
   SELECT conv_id, turn, parent, 1 FROM links
@@ -87,7 +99,7 @@ up(conv_id, turn, root, depth) AS (
 ),
 roots AS (SELECT conv_id, turn, max(depth) AS depth, min(root) AS root FROM up GROUP BY ALL),
 bodies AS (SELECT r, regexp_replace(regexp_replace(coalesce(string_agg(said, chr(10) ORDER BY n) FILTER (WHERE level = 0), ''), '^[ \t-\r]+', ''), '[ \t-\r]+$', '') AS body FROM said GROUP BY r),
-quoted AS (SELECT r, count(*) AS n FROM hashed WHERE level > 0 GROUP BY r),
+quoted AS (SELECT r, count(*) AS n FROM spoken WHERE level > 0 GROUP BY r),
 rows_ AS (
   SELECT m.conv_id, m.turn, m.role, b.body, coalesce(q.n, 0) AS n_quoted, coalesce(l.n_linked, 0) AS n_linked, l.parent, coalesce(x.root, m.turn) AS root, coalesce(x.depth, 0) AS depth
   FROM m JOIN bodies b USING (r) LEFT JOIN quoted q USING (r)
