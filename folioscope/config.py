@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, fields
-from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -15,6 +14,8 @@ class Settings:
     home: str = "./data/engine"
     #: Folder that is watched for documents.
     documents: str = "./data/pdfs"
+    #: How a file's place in that folder is named in the tables, and by the server: the folder may move.
+    served_as: str = "./data/pdfs"
     poll_seconds: int = 10
     chunk_size: int = 300
     chunk_overlap: int = 50
@@ -45,7 +46,3 @@ class Settings:
 
     def table(self, name: str) -> str:
         return f"{self.home.rstrip('/')}/{name}"
-
-    @property
-    def local_home(self) -> Path:
-        return Path(self.home)

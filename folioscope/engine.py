@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .config import Settings
 from .operators.ingest import Report, Store, ingest
-from .operators.models import Answerer, Embedder, HashingEmbedder, LexicalAnswerer, PipelineAnswerer, SentenceEmbedder
+from .operators.models import Answerer, Embedder, HashingEmbedder, LexicalAnswerer, LogitsAnswerer, OnnxLogits, PipelineAnswerer, SentenceEmbedder
 from .plans import search as plan
 from .sources.documents import Extractor, default_extractor, list_documents
 from .streaming.watch import watch, with_retries
 
+#: Fixed values of the results' contract.
 MOST_RESULTS = 10
 NO_CHUNKS = "No relevant chunks found."
 
@@ -22,13 +24,20 @@ def session(name: str = "folioscope") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
+def _answerer(s: Settings) -> Answerer:
+    """A local model if there is one: an ONNX file by its logits, else a pipeline."""
+    if not s.answerer_path:
+        return LexicalAnswerer()
+    return LogitsAnswerer(OnnxLogits(s.answerer_path, s.device)) if os.path.exists(f"{s.answerer_path}/model.onnx") else PipelineAnswerer(s.answerer_path, s.device)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, settings: Settings = Settings(), extractor: Extractor | None = None, embedder: Embedder | None = None, answerer: Answerer | None = None):
         self.spark, self.settings = spark, settings
         self.store = Store(spark, settings)
         self.extractor = extractor or default_extractor()
         self.embedder = embedder or (SentenceEmbedder(settings.embedder_path, settings.dimension, settings.device) if settings.embedder_path else HashingEmbedder(settings.dimension))
-        self.answerer = answerer or (PipelineAnswerer(settings.answerer_path, settings.device) if settings.answerer_path else LexicalAnswerer())
+        self.answerer = answerer or _answerer(settings)
         if self.embedder.dimension != settings.dimension:
             raise ValueError(f"the embedder gives {self.embedder.dimension} dimensions, not {settings.dimension}")
 
@@ -39,7 +48,7 @@ class Engine:
     def ingest(self, folder: str | None = None) -> Report:
         """Take in what is new in the folder, and what failed before, as one batch."""
         batch = f"batch-{uuid.uuid4().hex}"
-        files = with_retries(list_documents(self.spark, folder or self.settings.documents), self.store, batch)
+        files = with_retries(list_documents(self.spark, folder or self.settings.documents).select("path"), self.store, batch)
         return ingest(files, self.store, self.extractor, self.embedder, batch)
 
     def watch(self, folder: str | None = None, once: bool = False):
@@ -47,8 +56,8 @@ class Engine:
 
     def search(self, query: str, k: int = 3) -> DataFrame:
         """Result records, best answer first; an empty table if nothing is indexed. Lazy but for the query's vector."""
-        if not query:
-            raise ValueError("query must not be empty")
+        if not query.strip():
+            raise ValueError("query must not be blank")
         vector = self.embedder.embed([query])[0].tolist()
         return plan.search(self.store.read("chunk_index"), vector, query, k, self.answerer, self.settings.paragraph_words)
 
@@ -59,8 +68,8 @@ class Engine:
 
     def api_search(self, query: str, top_k: int = 3) -> dict:
         """The API's response; checks the request as the API does."""
-        if not isinstance(query, str) or len(query) < 1:
-            raise ValueError("query must have at least one character")
+        if not isinstance(query, str) or not query.strip():
+            raise ValueError("query must have a character other than white space")
         if isinstance(top_k, bool) or not isinstance(top_k, int) or not 1 <= top_k <= MOST_RESULTS:
             raise ValueError(f"top_k must be from 1 to {MOST_RESULTS}")
         rows = plan.api_results(self.search(query, top_k)).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalise, sentences, words
+from .text import let, normalise, sentences
 
 #: Shares of the paragraph limit under which a neighbour is taken although it goes beyond the limit.
 LEFT_SHARE, RIGHT_SHARE = 0.6, 0.8
@@ -13,63 +13,69 @@ LEFT_SHARE, RIGHT_SHARE = 0.6, 0.8
 
 def anchor(spans: Column, start: Column, end: Column) -> Column:
     """The sentence that holds the whole span, else the one that holds its start, else the first; -1 without sentences."""
-    at = F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), i.cast("int").alias("i")))
-    first = lambda keep: F.get(F.filter(at, keep), F.lit(0))["i"]
+    first = lambda keep: F.nullif(F.array_position(F.transform(spans, keep), True), F.lit(0)).cast("int") - 1
     whole = first(lambda x: (x["s"] <= start) & (end <= x["e"]))
     begun = first(lambda x: (x["s"] <= start) & (start < x["e"]))
     return F.when(F.size(spans) == 0, F.lit(-1)).otherwise(F.coalesce(whole, begun, F.lit(0)))
 
 
-def complete_sentence(text: Column, start: Column, end: Column) -> Column:
-    """``struct<sentence, start, end>`` of the anchor in normalised text; the whole text if it has no sentence, -1 if empty."""
+def _located(text: Column, start: Column, end: Column, body) -> Column:
+    """``body(text, sentences, anchor)`` of normalised text, each computed once."""
+    of = lambda t: let(sentences(t), lambda spans: let(anchor(spans, start, end), lambda at: body(t, spans, at)))
+    return let(normalise(F.coalesce(text, F.lit(""))), of)
 
-    def of(t: Column) -> Column:
-        def pick(spans: Column) -> Column:
-            own = F.get(spans, anchor(spans, start, end))
-            whole = F.struct(t.alias("sentence"), F.when(t == "", F.lit(-1)).otherwise(F.lit(0)).alias("start"), F.when(t == "", F.lit(-1)).otherwise(F.length(t)).cast("int").alias("end"))
-            return F.when(F.size(spans) == 0, whole).otherwise(F.struct(own["x"].alias("sentence"), own["s"].alias("start"), own["e"].alias("end")))
 
-        return let(sentences(t), pick)
+def _sentence(t: Column, spans: Column, at: Column) -> Column:
+    whole = F.struct(t.alias("sentence"), F.when(t == "", F.lit(-1)).otherwise(F.lit(0)).alias("start"), F.when(t == "", F.lit(-1)).otherwise(F.length(t)).cast("int").alias("end"))
+    own = let(F.get(spans, at), lambda x: F.struct(x["x"].alias("sentence"), x["s"].alias("start"), x["e"].alias("end")))
+    return F.when(at < 0, whole).otherwise(own)
 
-    return let(normalise(F.coalesce(text, F.lit(""))), of)
 
+def _paragraph(t: Column, spans: Column, at: Column, limit: int) -> Column:
+    """Grown in a fold whose steps end when nothing moves; only sentences within ``limit`` places of the anchor can be reached."""
+    low = F.greatest(F.lit(0), at - limit)
+    near = lambda: F.slice(spans, low + 1, at - low + limit + 1)
 
-def matched_paragraph(text: Column, start: Column, end: Column, limit: int = 140) -> Column:
-    """Sentences around the anchor, about ``limit`` words.
+    def grown(own: Column, n: Column, here: Column) -> Column:
+        w = lambda i: F.coalesce(F.get(n, i), F.lit(0))
+        state = lambda lo, hi, total, done: F.struct(lo.alias("lo"), hi.alias("hi"), total.alias("total"), done.alias("done"))
 
-    In turn a sentence on the left, then one on the right is taken, if it fits or
-    the paragraph is still under its share of the limit, until neither moves.
-    """
+        def step(acc: Column, _: Column) -> Column:
+            def left(size: Column) -> Column:
+                takes = (acc["lo"] > 0) & ((acc["total"] + size <= limit) | (acc["total"] < LEFT_SHARE * limit))
+                return F.when(takes, F.struct((acc["lo"] - 1).alias("lo"), (acc["total"] + size).alias("total"), F.lit(True).alias("moved"))).otherwise(F.struct(acc["lo"].alias("lo"), acc["total"].alias("total"), F.lit(False).alias("moved")))
 
-    def grown(spans: Column, at: Column) -> Column:
-        size = F.transform(spans, lambda x: F.size(words(x["x"])))
+            def right(mid: Column, size: Column) -> Column:
+                takes = (acc["hi"] < F.size(n) - 1) & ((mid["total"] + size <= limit) | (mid["total"] < RIGHT_SHARE * limit))
+                return F.when(takes, state(mid["lo"], acc["hi"] + 1, mid["total"] + size, mid["total"] + size >= limit)).otherwise(state(mid["lo"], acc["hi"], mid["total"], ~mid["moved"] | (mid["total"] >= limit)))
 
-        def fold(n: Column) -> Column:
-            w = lambda i: F.coalesce(F.get(n, i), F.lit(0))
-            begin = F.struct(at.alias("lo"), at.alias("hi"), w(at).alias("total"), F.lit(False).alias("done"))
+            return F.when(acc["done"], acc).otherwise(let(let(w(acc["lo"] - 1), left), lambda mid: let(w(acc["hi"] + 1), lambda size: right(mid, size))))
 
-            def step(acc: Column, _: Column) -> Column:
-                left = w(acc["lo"] - 1)
-                open_ = ~acc["done"] & (acc["total"] < limit)
-                go_left = open_ & (acc["lo"] > 0) & ((acc["total"] + left <= limit) | (acc["total"] < LEFT_SHARE * limit))
+        first = let(w(here), lambda x: state(here, here, x, x >= limit))
+        return F.aggregate(n, first, step, lambda acc: F.array_join(F.transform(F.slice(own, acc["lo"] + 1, acc["hi"] - acc["lo"] + 1), lambda x: x["x"]), " "))
 
-                def then(mid: Column) -> Column:
-                    right = w(mid["hi"] + 1)
-                    go_right = open_ & (mid["hi"] < F.size(n) - 1) & ((mid["total"] + right <= limit) | (mid["total"] < RIGHT_SHARE * limit))
-                    return F.struct(mid["lo"].alias("lo"), F.when(go_right, mid["hi"] + 1).otherwise(mid["hi"]).alias("hi"), F.when(go_right, mid["total"] + right).otherwise(mid["total"]).alias("total"), (acc["done"] | ~(mid["moved"] | go_right)).alias("done"))
+    # Sentences of normalised text have single spaces, so the words are one more than these.
+    size = lambda x: F.length(x["x"]) - F.length(F.replace(x["x"], F.lit(" "), F.lit(""))) + 1
+    return F.when(at < 0, t).otherwise(let(near(), lambda own: let(F.transform(own, size), lambda n: grown(own, n, at - low))))
 
-                moved = F.struct(F.when(go_left, acc["lo"] - 1).otherwise(acc["lo"]).alias("lo"), acc["hi"].alias("hi"), F.when(go_left, acc["total"] + left).otherwise(acc["total"]).alias("total"), go_left.alias("moved"))
-                return let(moved, then)
 
-            # Every round takes a sentence or is the last one.
-            return F.aggregate(n, begin, step, lambda acc: F.array_join(F.transform(F.slice(spans, acc["lo"] + 1, acc["hi"] - acc["lo"] + 1), lambda x: x["x"]), " "))
+def complete_sentence(text: Column, start: Column, end: Column) -> Column:
+    """``struct<sentence, start, end>`` of the anchor in normalised text; the whole text if it has no sentence, -1 if empty."""
+    return _located(text, start, end, _sentence)
 
-        return let(size, fold)
 
-    def of(t: Column) -> Column:
-        return let(sentences(t), lambda spans: F.when(F.size(spans) == 0, t).otherwise(let(anchor(spans, start, end), lambda at: grown(spans, at))))
+def matched_paragraph(text: Column, start: Column, end: Column, limit: int = 140) -> Column:
+    """Sentences around the anchor, about ``limit`` words.
 
-    return let(normalise(F.coalesce(text, F.lit(""))), of)
+    In turn a sentence on the left, then one on the right is taken, if it fits or
+    the paragraph is still under its share of the limit, until neither moves.
+    """
+    return _located(text, start, end, lambda t, spans, at: _paragraph(t, spans, at, limit))
+
+
+def extracted(text: Column, start: Column, end: Column, limit: int = 140) -> Column:
+    """``struct<sentence, paragraph>`` of both, from one pass over the sentences."""
+    return _located(text, start, end, lambda t, spans, at: F.struct(_sentence(t, spans, at).alias("sentence"), _paragraph(t, spans, at, limit).alias("paragraph")))
 
 
 def quote(sentence: Column, answer: Column) -> Column:

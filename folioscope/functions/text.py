@@ -12,7 +12,10 @@ WHITE_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 TERMINATORS = ".!?।！？"
 
 #: The same code points as a string.
-_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+#: Tokens whose ends are summed in one fold; the folds of all such blocks make texts of any length cost in proportion.
+BLOCK = 64
 
 
 def let(value: Column, body) -> Column:
@@ -56,6 +59,27 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([^{TERMINATORS}]+[{TERMINATORS}]?|[{TERMINATORS}])"), F.lit(1))
 
 
+def _running(sizes: Column, start: Column) -> Column:
+    """``start`` and the sums of ``start`` and the first sizes, by one fold that appends: for short arrays."""
+    return F.aggregate(sizes, F.array(start), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _ends(sizes: Column) -> Column:
+    """0 and the running sums of ``sizes``; the blocks' own sums go first, so no long array is copied for each element."""
+
+    def blocked() -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
+
+        def summed(bs: Column) -> Column:
+            starts = _running(F.transform(bs, lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)), F.lit(0))
+            inside = lambda st: F.flatten(F.transform(bs, lambda x, i: F.slice(_running(x, F.get(st, i)), 2, BLOCK)))
+            return F.concat(F.array(F.lit(0)), let(starts, inside))
+
+        return let(blocks, summed)
+
+    return F.when(F.size(sizes) <= BLOCK, _running(sizes, F.lit(0))).otherwise(blocked())
+
+
 def sentences(text: Column) -> Column:
     """``array<struct<s int, e int, x string>>``: bounds with the leading space, text without it.
 
@@ -64,10 +88,8 @@ def sentences(text: Column) -> Column:
     """
 
     def spans(tokens: Column) -> Column:
-        # One fold over the lengths gives all ends; a token of one terminator alone only moves them.
-        ends = F.aggregate(tokens, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(t))))
         of = lambda e: F.transform(tokens, lambda t, i: F.struct(F.get(e, i).alias("s"), F.get(e, i + 1).alias("e"), strip(t).alias("x")))
-        return F.filter(let(ends, of), lambda x: (x["x"] != "") & ((x["e"] - x["s"] > 1) | ~F.contains(F.lit(TERMINATORS), x["x"])))
+        return F.filter(let(let(F.transform(tokens, F.length), _ends), of), lambda x: (x["x"] != "") & ((x["e"] - x["s"] > 1) | ~F.contains(F.lit(TERMINATORS), x["x"])))
 
     return let(_tokens(F.coalesce(text, F.lit(""))), spans)
 

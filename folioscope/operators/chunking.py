@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -34,10 +34,24 @@ def new_files(files: DataFrame, known: DataFrame, path_col: str = "path", known_
     return files.join(known.select(F.col(known_col).alias(path_col)), path_col, "left_anti")
 
 
-def with_ids(new: DataFrame, order: list[str], start: int, id_col: str = "id") -> DataFrame:
-    """Ids from ``start + 1`` in the order of ``order``: the same on every retry.
+#: Rows of a range that is numbered in one task.
+RANGE_ROWS = 1 << 17
 
-    ``new`` is the books of one batch, or their chunks' counts: small next to
-    the corpus, so one window orders it.
+
+def with_running(new: DataFrame, order: str, sums: dict[str, Column], path: str) -> DataFrame:
+    """``new`` with, for each name in ``sums``, the sum of that column over the rows before in ``order``, which has no ties.
+
+    Rows go to ranges, which are written to ``path`` so that a retry sees the
+    same ones; a range is summed in a task, and what goes before it is a sum
+    over one row for each range.
     """
-    return new.withColumn(id_col, (F.row_number().over(Window.orderBy(*order)) + F.lit(start)).cast("long"))
+    spark = new.sparkSession
+    n = max(1, -(-new.count() // RANGE_ROWS))
+    new.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    ranged = spark.read.parquet(path)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    totals = totals.select(F.col("_range"), *[before(F.col(f"_{k}"), Window.orderBy("_range")).alias(f"_{k}") for k in sums])
+    inside = ranged.withColumns({k: before(c, Window.partitionBy("_range").orderBy(order)) for k, c in sums.items()})
+    joined = inside.join(F.broadcast(totals), "_range")
+    return joined.withColumns({k: (F.col(k) + F.col(f"_{k}")).cast("long") for k in sums}).drop("_range", *[f"_{k}" for k in sums])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,8 @@ from ..config import Settings
 from ..functions import text as t
 from ..functions.vector import checked
 from ..plans import schemas
-from ..sources.documents import Extractor, extract_pages
-from .chunking import clean_pages, new_files, page_chunks, with_ids
+from ..sources.documents import Extractor, extract_pages, load, named, root_of
+from .chunking import clean_pages, new_files, page_chunks, with_running
 from .models import Embedder, embedded
 
 TABLES = {"books": schemas.BOOKS, "chunks": schemas.CHUNKS, "chunk_index": schemas.CHUNK_INDEX, "ingest_errors": schemas.ERRORS}
@@ -51,6 +51,10 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def put(self, name: str, batch: str, df: DataFrame) -> None:
         schema = TABLES[name]
         df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(f"{self.path(name)}/batch={batch}")
@@ -67,6 +71,10 @@ class Store:
             rows = rows.join(committed, "batch", "left_semi")
         return rows.drop("batch")
 
+    def name(self, path: Column) -> Column:
+        """A file's name in the tables, for its path."""
+        return named(path, root_of(self.spark, self.settings.documents), self.settings.served_as)
+
     def highest(self, name: str, column: str, batch: str) -> int:
         return self.all(name).where(F.col("batch") != batch).agg(F.max(column)).first()[0] or 0
 
@@ -78,18 +86,41 @@ class Report:
     failed: int
 
 
-def new_of(files: DataFrame, store: Store, batch: str) -> DataFrame:
-    """Files that the registry does not hold and that did not fail too often."""
+def new_of(paths: DataFrame, store: Store, batch: str) -> DataFrame:
+    """Of ``paths (path)`` with their ``name`` those that the registry does not hold and that did not fail too often."""
     known = store.all("books").where(F.col("batch") != batch)
     given_up = store.all("ingest_errors").where((F.col("batch") != batch) & (F.col("attempt") >= store.settings.max_attempts))
-    return new_files(new_files(files, known), given_up)
+    rows = paths.select("path").distinct().withColumn("name", store.name(F.col("path")))
+    return new_files(new_files(rows, known, "name"), given_up, "name")
+
+
+#: Files whose contents are read in one job.
+FILES = 1 << 13
+
+
+def _extracted(paths: DataFrame, store: Store, extractor: Extractor, staging: str) -> None:
+    """Pages of the files, written group by group: contents are read for these files alone and never exchanged."""
+
+    def put(some: list[str], mode: str) -> None:
+        pages = extract_pages(load(store.spark, some), extractor)
+        pages.withColumn("path", store.name(F.col("path"))).write.mode(mode).parquet(staging)
+
+    group: list[str] = []
+    mode = "overwrite"
+    for r in paths.select("path").toLocalIterator():
+        group.append(r["path"])
+        if len(group) == FILES:
+            put(group, mode)
+            group, mode = [], "append"
+    if group or mode == "overwrite":
+        put(group, mode) if group else store.spark.createDataFrame([], "path string, page_number int, text string, error string").write.mode(mode).parquet(staging)
 
 
 def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embedder, batch: str, batch_number: int | None = None) -> Report:
-    """Take the new ones of ``files (path, content)`` in; what fails goes to ``ingest_errors``."""
+    """Take the new ones of ``files (path)`` in; what fails goes to ``ingest_errors``."""
     s, spark = store.settings, store.spark
     staging = f"{store.path('_staging')}/batch={batch}"
-    extract_pages(new_of(files, store, batch).dropDuplicates(["path"]), extractor).write.mode("overwrite").parquet(staging)
+    _extracted(new_of(files, store, batch), store, extractor, staging)
     pages = spark.read.parquet(staging)
     clean = clean_pages(pages.where("error is null and page_number is not null"))
     cut = page_chunks(clean, s.chunk_size, s.chunk_overlap)
@@ -101,10 +132,10 @@ def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embed
     failed = judged.where("n_chunks is null").join(earlier, "path", "left")
     store.put("ingest_errors", batch, failed.select(F.col("path").alias("file_path"), F.coalesce("error", F.lit("no text")).alias("message"), (F.coalesce("before", F.lit(0)) + 1).alias("attempt"), F.lit(batch_number).alias("batch_id"), F.current_timestamp().alias("failed_at")))
 
-    good = with_ids(judged.where("n_chunks is not null"), ["path"], store.highest("books", "id", batch))
-    first = F.coalesce(F.sum("n_chunks").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.lit(store.highest("chunks", "id", batch))
+    good = with_running(judged.where("n_chunks is not null"), "path", {"books": F.lit(1), "first": F.col("n_chunks")}, f"{staging}-books")
+    good = good.withColumns({"id": F.col("books") + 1 + F.lit(store.highest("books", "id", batch)), "first": F.col("first") + F.lit(store.highest("chunks", "id", batch))})
     meta = t.file_metadata(F.col("path"))
-    books = good.withColumn("first", first).withColumn("meta", meta).select("id", "meta.*", F.col("path").alias("file_path"), F.lit(None).cast("string").alias("language_code"), F.current_timestamp().alias("created_at"), "first")
+    books = good.withColumn("meta", meta).select("id", "meta.*", F.col("path").alias("file_path"), F.lit(None).cast("string").alias("language_code"), F.current_timestamp().alias("created_at"), "first")
 
     own = books.select(F.col("id").alias("book_id"), "title", "author", "department", "file_path", "first")
     rows = cut.join(own, cut["path"] == own["file_path"]).select("book_id", "title", "author", "department", "file_path", "page_number", "chunk_index", "chunk_text", (F.col("first") + F.col("chunk_index") + 1).alias("id"))
@@ -118,4 +149,6 @@ def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embed
     if n_chunks != n_index:
         raise RuntimeError(f"{n_index} of {n_chunks} chunks were indexed")
     store.put("books", batch, books)
+    for path in (staging, f"{staging}-books"):
+        store.delete(path)
     return Report(of("books"), n_chunks, of("ingest_errors"))

@@ -7,6 +7,7 @@ loaded once in each Python worker, never once for each request.
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let, words
+from ..functions.text import let
+
+log = logging.getLogger(__name__)
 
 
 class Embedder(Protocol):
@@ -35,6 +38,26 @@ class Answerer(Protocol):
         """``answer, score, start, end``; offsets are code points of ``context``."""
 
 
+def has_gpu() -> bool:
+    """Whether models on this machine can use a GPU."""
+    try:
+        import torch
+    except ImportError:
+        return False
+    return torch.cuda.is_available()
+
+
+def device_for(wanted: str) -> str:
+    """``cuda`` where it is there and ``cpu`` is not wanted, else ``cpu``; a GPU that was asked for and is missing is told."""
+    if wanted not in ("auto", "cpu", "cuda"):
+        raise ValueError(f"not a device: {wanted}")
+    if wanted == "cpu" or not has_gpu():
+        if wanted == "cuda":
+            log.warning("no GPU here, models run on the CPU")
+        return "cpu"
+    return "cuda"
+
+
 class HashingEmbedder:
     """Signed counts of hashed words, scaled to length 1; a text without words gets the first unit vector."""
 
@@ -68,7 +91,7 @@ class SentenceEmbedder:
         if self._model is None:
             from sentence_transformers import SentenceTransformer
 
-            self._model = SentenceTransformer(self.path, device=None if self.device == "auto" else self.device)
+            self._model = SentenceTransformer(self.path, device=device_for(self.device))
         return np.asarray(self._model.encode(list(texts), normalize_embeddings=True), np.float32)
 
 
@@ -106,10 +129,58 @@ class PipelineAnswerer:
         if self._run is None:
             from transformers import pipeline
 
-            self._run = pipeline("question-answering", model=self.path, tokenizer=self.path, device=0 if self.device == "cuda" else -1)
+            self._run = pipeline("question-answering", model=self.path, tokenizer=self.path, device=0 if device_for(self.device) == "cuda" else -1)
         return self._run(question=question, context=context)
 
 
+#: Tokens of a question and its context that a model sees; the context is cut.
+CONTEXT_TOKENS = 512
+
+
+class PairEncoder:
+    """Question and context as a model takes them, by a tokenizer file of the tokenizers library."""
+
+    def __init__(self, tokenizer: str, limit: int = CONTEXT_TOKENS):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.tokenizer.enable_truncation(limit, strategy="only_second")
+        self.tokenizer.no_padding()
+
+    def encode(self, question: str, context: str) -> tuple[list[int], list[int], list[tuple[int, int] | None]]:
+        """Ids, attention mask, and for each token its bounds in the context, none for other tokens."""
+        e = self.tokenizer.encode(question, context)
+        own = [o if s == 1 else None for o, s in zip(e.offsets, e.sequence_ids, strict=True)]
+        return e.ids, e.attention_mask, own
+
+
+class OnnxLogits:
+    """``encode`` for :class:`LogitsAnswerer` from a folder with ``tokenizer.json`` and ``model.onnx``, loaded on first use in each process."""
+
+    def __init__(self, path: str, device: str = "auto", limit: int = CONTEXT_TOKENS):
+        self.path, self.device, self.limit, self._loaded = path, device, limit, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_loaded": None}
+
+    def _session(self):
+        import onnxruntime
+
+        wanted = ["CUDAExecutionProvider"] if device_for(self.device) == "cuda" else []
+        providers = [p for p in (*wanted, "CPUExecutionProvider") if p in onnxruntime.get_available_providers()]
+        return onnxruntime.InferenceSession(f"{self.path}/model.onnx", providers=providers)
+
+    def __call__(self, question: str, context: str) -> tuple[list[tuple[int, int] | None], Sequence[float], Sequence[float]]:
+        if self._loaded is None:
+            self._loaded = PairEncoder(f"{self.path}/tokenizer.json", self.limit), self._session()
+        pairs, session = self._loaded
+        ids, mask, own = pairs.encode(question, context)
+        given = {"input_ids": [ids], "attention_mask": [mask], "token_type_ids": [[0] * len(ids)]}
+        feed = {i.name: np.array(given[i.name], np.int64) for i in session.get_inputs()}
+        starts, ends = session.run(["start_logits", "end_logits"], feed)
+        return own, starts[0].tolist(), ends[0].tolist()
+
+
 class LogitsAnswerer:
     """Answers from start and end logits of any model: ``encode(question, context)`` gives offsets of context tokens (None for others) and both logits.
 
@@ -188,7 +259,3 @@ def lexical_answer(question: Column, text: Column) -> Column:
         return let(tokens, lambda ts: let(F.filter(ts, lambda w: F.array_contains(a, F.lower(w))), lambda hits: pick(ts, hits)))
 
     return let(asked, of)
-
-
-def word_count(c: Column) -> Column:
-    return F.size(words(c))

@@ -105,6 +105,18 @@ def oracle_sql() -> dict[str, str]:
             WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id, (1 + {_dot("e.embedding", "q.embedding")}) / 2 AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
             ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM scored)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM ranked WHERE rank <= {K}""",
+        "ann_recall": f"""
+            SELECT count(*) AS n_queries, count(*) * least({K}, (SELECT count(*) FROM embeddings)) AS n_exact, true AS reached FROM embeddings WHERE vec_id % 50 = 0""",
+        "books_registry": """
+            SELECT row_number() OVER (ORDER BY path) AS id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS title, source AS author, CAST(1990 AS BIGINT) AS publication_year, path AS file_path
+            FROM (SELECT doc_id, source, './d/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ' - ' || source || ' - 1990.pdf' AS path FROM documents)
+            WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""",
+        "index_rows": f"""
+            WITH p AS (SELECT conv_id, turn, {_words("replace(text, chr(0), '')")} AS w FROM conversations),
+            cut AS (SELECT conv_id, turn, w, unnest(range(0, len(w), {_PAGE_STEP})) AS i FROM p),
+            rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS n, row_number() OVER (ORDER BY conv_id, turn, i) AS chunk_id FROM cut)
+            SELECT 'book-' || conv_id || '-chunk-' || n AS es_doc_id, conv_id AS book_id, chunk_id, n AS chunk_index, CAST(turn AS BIGINT) AS page_number, 'Talk' AS title,
+              CAST(conv_id AS VARCHAR) AS author, array_to_string(w[i + 1:i + {PAGE_SIZE}], ' ') AS text FROM rows_""",
         "normalize_vectors": f"""
             WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt({_dot("embedding", "embedding")}) AS n FROM embeddings),
             u AS (SELECT vec_id, n, list_transform(v, lambda x: x / n) AS u FROM n)

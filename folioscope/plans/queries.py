@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import answer as a
 from ..functions import text as t
 from ..functions import vector as v
-from ..operators import chunking, models, retrieval
+from ..operators import ann, chunking, models, retrieval
 from ..sources.documents import paths_with_suffix
+from ..sources.tables import spread
 from . import search as plan
 
 SIZE, OVERLAP = 300, 50
@@ -30,8 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return chunking.word_chunks(table(spark, sf_dir, "documents"), "text", SIZE, OVERLAP, ["doc_id", *keep])
+    return chunking.word_chunks(_texts(spark, sf_dir), "text", SIZE, OVERLAP, ["doc_id", *keep])
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,36 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "rank", "vec_id", F.round("retrieval_score", 6).alias("score"))
 
 
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate search finds nine tenths of the K nearest of every 50th row: one row."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    lists = ann.fit(vectors, "vec_id")
+    near = ann.search_batch(ann.listed(vectors, lists), lists, asked, K, ["vec_id"]).select("query_id", "vec_id", F.lit(1).alias("found"))
+    exact = retrieval.top_k_batch(vectors, asked, K, ["vec_id"]).select("query_id", "vec_id")
+    both = exact.join(near, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+
+
+def books_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows of the files that the registry (labels) does not hold: ids from 1 in the order of paths."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("./d/"), F.format_string("%08d", "doc_id"), F.lit(" - "), "source", F.lit(" - 1990.pdf")).alias("path"))
+    new = chunking.new_files(files, table(spark, sf_dir, "labels"), "doc_id", "doc_id")
+    numbered = new.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    return numbered.withColumn("m", t.file_metadata(F.col("path"))).select("id", "m.title", "m.author", F.col("m.publication_year").cast("long").alias("publication_year"), F.col("path").alias("file_path"))
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the chunk index: conversations as books, with their attributes and ids of chunks over all books."""
+    cut = chunking.page_chunks(chunking.clean_pages(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), PAGE_SIZE, PAGE_OVERLAP, "conv_id", "turn")
+    sizes = cut.groupBy("conv_id").agg(F.count("*").alias("n"))
+    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    meta = t.file_metadata(F.concat(F.lit("./d/Talk - "), F.col("conv_id").cast("string"), F.lit(" - 2001.pdf")))
+    books = first.withColumn("m", meta).select(F.col("conv_id").alias("book_id"), "first", "m.title", "m.author")
+    rows = cut.join(books, cut["conv_id"] == books["book_id"])
+    return rows.select(t.document_id(F.col("book_id"), F.col("chunk_index")).alias("es_doc_id"), "book_id", (F.col("first") + F.col("chunk_index") + 1).cast("long").alias("chunk_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("turn").cast("long").alias("page_number"), "title", "author", F.col("chunk_text").alias("text"))
+
+
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = v.normalised(F.col("embedding"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", v.norm(F.col("embedding")).alias("n"), unit.alias("u"))
@@ -90,7 +125,8 @@ def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", t.normalise(F.col("text")).alias("text"), F.size(t.words(F.col("text"))).cast("long").alias("n_words"))
+    both = t.let(t.words(F.col("text")), lambda w: F.struct(F.array_join(w, " ").alias("text"), F.size(w).cast("long").alias("n_words")))
+    return _texts(spark, sf_dir).select("doc_id", both.alias("both")).select("doc_id", "both.*")
 
 
 def sanitize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +151,12 @@ def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentences(t.normalise(F.col("text")))).alias("n", "x"))
+    spans = _texts(spark, sf_dir).select("doc_id", F.posexplode(t.sentences(t.normalise(F.col("text")))).alias("n", "x"))
     return spans.select("doc_id", F.col("n").cast("long").alias("n"), F.col("x.s").cast("long").alias("start_at"), F.col("x.e").cast("long").alias("end_at"), F.col("x.x").alias("sentence"))
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "documents").select("doc_id", t.sentences(F.col("text")).alias("x"))
+    spans = _texts(spark, sf_dir).select("doc_id", t.sentences(F.col("text")).alias("x"))
     return spans.select("doc_id", F.size("x").cast("long").alias("n_sentences"), F.array_join(F.transform("x", lambda s: s["x"]), "|").alias("joined"))
 
 
@@ -168,5 +204,5 @@ def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (vector_topk, vector_topk_batch, normalize_vectors, text_normalize, sanitize_text, word_chunks, page_chunks, filename_metadata, doc_ids, sentence_spans, sentence_split, lexical_answer, complete_sentence, matched_paragraph, rerank, search_and_extract, response_projection, new_documents, path_filter)
+    every = (vector_topk, vector_topk_batch, ann_recall, books_registry, index_rows, normalize_vectors, text_normalize, sanitize_text, word_chunks, page_chunks, filename_metadata, doc_ids, sentence_spans, sentence_split, lexical_answer, complete_sentence, matched_paragraph, rerank, search_and_extract, response_projection, new_documents, path_filter)
     return {f.__name__: f for f in every}

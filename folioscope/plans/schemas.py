@@ -9,8 +9,6 @@ _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 #: What Spark's binaryFile source reads.
 FILES = T.StructType([T.StructField("path", _S), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", _L), T.StructField("content", T.BinaryType())])
 
-PAGES = T.StructType([T.StructField("path", _S, False), T.StructField("page_number", _I, False), T.StructField("text", _S, False)])
-
 BOOKS = T.StructType(
     [
         T.StructField("id", _L, False),
@@ -56,8 +54,6 @@ CHUNK_INDEX = T.StructType(
 
 ERRORS = T.StructType([T.StructField("file_path", _S, False), T.StructField("message", _S), T.StructField("attempt", _I), T.StructField("batch_id", _L), T.StructField("failed_at", T.TimestampType())])
 
-QA_RESULT = T.StructType([T.StructField("answer", _S), T.StructField("score", _D), T.StructField("start", _I), T.StructField("end", _I)])
-
 RESULT = T.StructType(
     [
         T.StructField("rank", _I, False),

@@ -13,18 +13,28 @@ from ..operators.models import Answerer, answered
 from ..operators.retrieval import top_k
 
 
+#: Fixed value of the client's contract.
+NO_PARAGRAPH = "Paragraph text unavailable for this hit."
+
+
 def hits(index: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
-    """Top-k rows of the index; a missing score counts as 0."""
-    best = top_k(index, vector, k, ["chunk_id"])
-    return best.withColumn("retrieval_score", F.coalesce("retrieval_score", F.lit(0.0)))
+    """Top-k rows of the index; a missing score counts as 0.
+
+    The search reads ids and vectors alone; the k ids then reach the scan of the
+    other columns as a filter.
+    """
+    best = top_k(index.select("chunk_id", "embedding"), vector, k, ["chunk_id"]).select("chunk_id", "retrieval_score", "rank").collect()
+    found = index.sparkSession.createDataFrame(best, "chunk_id long, retrieval_score double, rank int")
+    rows = index.drop("embedding").where(F.col("chunk_id").isin([r["chunk_id"] for r in best]))
+    return rows.join(F.broadcast(found), "chunk_id").withColumn("retrieval_score", F.coalesce("retrieval_score", F.lit(0.0)))
 
 
 def extracted(found: DataFrame, limit: int = 140, text_col: str = "text") -> DataFrame:
     """Sentence, span and paragraph of the answer in ``qa``. Hits without text go; they keep their rank number used."""
     text, start, end = F.col(text_col), F.col("qa.start"), F.col("qa.end")
     rows = found.where(F.coalesce(text, F.lit("")) != "")
-    rows = rows.withColumn("sentence", a.complete_sentence(text, start, end))
-    return rows.withColumn("matched_paragraph", a.matched_paragraph(text, start, end, limit)).withColumn("quote", a.quote(F.col("sentence.sentence"), F.col("qa.answer")))
+    rows = rows.withColumn("found", a.extracted(text, start, end, limit))
+    return rows.withColumns({"sentence": F.col("found.sentence"), "matched_paragraph": F.col("found.paragraph"), "quote": a.quote(F.col("found.sentence.sentence"), F.col("qa.answer"))})
 
 
 def reranked(df: DataFrame, score_col: str = "qa_score", rank_col: str = "rank") -> DataFrame:
@@ -87,7 +97,7 @@ def client_results(df: DataFrame) -> DataFrame:
     """API records with the client's defaults (for null only) and the preview address."""
     default = {"exact_quote": "", "book_title": "Unknown Title", "author": "Unknown Author", "pdf_link": "#", "paragraph_text": ""}
     rows = df.select(*[F.coalesce(c, F.lit(default[c])).alias(c) if c in default else F.coalesce(c, F.lit(0)).alias(c) if c == "page_number" else F.col(c) for c in df.columns])
-    return rows.withColumn("preview", preview(F.col("pdf_link"), F.col("page_number"))).withColumn("paragraph_shown", or_else(F.col("paragraph_text"), F.lit("Paragraph text unavailable for this hit.")))
+    return rows.withColumn("preview", preview(F.col("pdf_link"), F.col("page_number"))).withColumn("paragraph_shown", or_else(F.col("paragraph_text"), F.lit(NO_PARAGRAPH)))
 
 
 def preview(pdf_link: Column, page: Column) -> Column:

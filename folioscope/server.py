@@ -12,6 +12,14 @@ from .plans.search import served_path
 
 
 def handler(engine: Engine, data_root: str = "data"):
+    # Documents are served from where they are, under the name that results have for them; else the data folder.
+    documents, mount = engine.settings.documents, engine.settings.served_as.removeprefix(".").rstrip("/") + "/"
+
+    def located(path: str) -> str | None:
+        if path.startswith(mount) and (file := served_path(os.path.abspath(documents), path.removeprefix(mount))) and os.path.isfile(file):
+            return file
+        return served_path(os.path.abspath(data_root), path.removeprefix("/data/")) if path.startswith("/data/") else None
+
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body: bytes, kind: str = "application/json; charset=utf-8") -> None:
             self.send_response(status)
@@ -27,7 +35,7 @@ def handler(engine: Engine, data_root: str = "data"):
             path = unquote(urlparse(self.path).path)
             if path == "/health":
                 return self._json(200, {"status": "ok"})
-            file = served_path(os.path.abspath(data_root), path.removeprefix("/data/")) if path.startswith("/data/") else None
+            file = located(path)
             if file and os.path.isfile(file):
                 with open(file, "rb") as f:
                     return self._send(200, f.read(), "application/pdf" if file.lower().endswith(".pdf") else "application/octet-stream")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schemas import FILES
@@ -122,6 +122,30 @@ def list_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
 
 
+def root_of(spark: SparkSession, folder: str) -> str:
+    """The folder as the file source spells it in the paths of files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def named(path: Column, root: str, served_as: str) -> Column:
+    """A file's name in the tables: its place under ``root``, behind ``served_as``; a path elsewhere stays as it is."""
+    inside = F.startswith(path, F.lit(root + "/"))
+    return F.when(inside, F.concat(F.lit(served_as.rstrip("/")), F.substring(path, F.lit(len(root) + 1), F.length(path)))).otherwise(path)
+
+
+def unnamed(name: str, root: str, served_as: str) -> str:
+    """The path of a file by its name in the tables."""
+    front = served_as.rstrip("/") + "/"
+    return f"{root}/{name[len(front):]}" if name.startswith(front) else name
+
+
+def load(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of these files; those that are gone are left out. Marks of glob patterns in names are plain."""
+    plain = [re.sub(r"([\\*?\[\]{}^])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(plain).select("path", "content")
+
+
 def paths_with_suffix(df: DataFrame, path_col: str, suffix: str) -> DataFrame:
     return df.where(F.endswith(F.lower(F.col(path_col)), F.lit(suffix.lower())))
 
