@@ -7,49 +7,39 @@ words also start earlier is a repeat, and the words of repeats go.
    window the least hash of its ``seed``-word grams, so equal windows have equal
    anchors. Each bucket of documents sends its distinct anchors, and an anchor
    that two buckets or two places have is a seed.
-2. Extension. Around its seeds only, each bucket extends to the full windows on
-   both sides and hashes them under their anchor. It keeps the first of equal
-   windows itself and sends that one only, so a passage that a third of all
-   rows share arrives once from each bucket. The earliest wins, the other
-   buckets hear which of their windows are repeats.
+2. Join and extension. Each place of a seed goes to the part of its anchor, with
+   the hashes of the words that lie within a window's reach on both sides. There
+   matches are extended word by word to the left and to the right; where both
+   sides together make ``length`` words, the places that agree so far are grouped,
+   their words are compared one by one with those of the earliest, and all but
+   that one are repeats. Of places of a bucket that agree in all these words only
+   the first is sent. An anchor that very many buckets have is not joined in one
+   part: each of its extensions goes to a part of its own words.
 3. Overlapping repeats join to maximal repeats, and their words are cut.
 
-Documents are dealt to buckets by id and text. Every exchange carries packed numbers;
-the texts are exchanged once, and the plan reuses that exchange.
+Documents are dealt to buckets by id and text; texts too short for a window go
+nowhere. Every exchange carries packed numbers; the texts are exchanged once, and
+the plan reuses that exchange.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FACTOR, bucket_count, hashes, ids, keyed, mixed, release, rolled, texts, unkeyed
+from .common import FACTOR, hashes, ids, input_bytes, keyed, mixed, release, rolled, texts, unkeyed
 
 BUCKET_BYTES = 2 << 20
-_PACK = zstandard.ZstdCompressor(level=1)
-
-
-def _packed(x: np.ndarray) -> bytes:
-    return _PACK.compress(np.ascontiguousarray(x).tobytes())
-
-
-def _unpacked(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
+#: An anchor of more buckets is hot.
+HOT_BUCKETS = 64
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     """Bounds of the runs of equal values."""
     cut = np.flatnonzero(x[1:] != x[:-1]) + 1
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True)) if len(x) else []
 
 
-def _deltas(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 class Bucket:
     """The documents of a bucket in ascending id order, and the hashes of their words in a row."""
 
@@ -87,18 +77,22 @@ class Bucket:
             step += by
         self.wide = wide
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct anchors, and whether each has two places or more here."""
+    def anchors(self) -> np.ndarray:
+        """The places of grams that are the anchor of a window."""
         picked = np.zeros(len(self.grams), bool)
         n = len(self.valid)
         for o in range(self.wide):
             picked[o : o + n] |= (self.grams[o : o + n] == self.anchor) & self.valid
-        values, times = np.unique(self.grams[picked], return_counts=True)
+        return np.flatnonzero(picked)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors, and whether each has two places or more here."""
+        values, times = np.unique(self.grams[self.anchors()], return_counts=True)
         return values, times > 1
 
 
 _HASHES = "part int, bucket int, data binary"
-_REPEATS = "bucket int, rows binary, starts binary"
+_REPEATS = "bucket int, rows binary, places binary, bits binary"
 
 
 def _by_part(anchor: np.ndarray, parts: int) -> np.ndarray:
@@ -120,88 +114,174 @@ def _anchors(length: int, seed: int, parts: int):
 
 
 def _seeds(table: pa.Table) -> pa.Table:
-    """Of the anchors of one part, those that several buckets have, for each of these."""
+    """Of the anchors of one part, those that several buckets have, for each of these; and which are hot."""
     blobs, bucket = table.column("data").to_pylist(), table.column("bucket").to_numpy()
     values = np.frombuffer(b"".join(blobs), np.uint64)
     owner = np.repeat(bucket, [len(x) // 8 for x in blobs])
     order = np.lexsort((values, owner))
-    kinds, at, times = np.unique(values, return_inverse=True, return_counts=True)
-    order = order[times[at[order]] > 1]
-    values, owner = values[order], owner[order]
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    times = times[at[order]]
+    order, times = order[times > 1], times[times > 1]
+    values, owner, hot = values[order], owner[order], times > HOT_BUCKETS
     cut = _runs(owner)
-    return pa.table([pa.array([int(owner[a]) for a, _ in cut], pa.int32()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())], ["bucket", "data"])
+    return pa.table([pa.array([int(owner[a]) for a, _ in cut], pa.int32()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([hot[a:b].tobytes() for a, b in cut], pa.binary())], ["bucket", "data", "hot"])
+
+
+class Places:
+    """Places of seeds, with the words within reach: how many there are on either side, and their hashes outwards."""
 
+    def __init__(self, anchor, left, right, words, id_, doc, place):
+        self.anchor, self.left, self.right, self.words, self.id, self.doc, self.place = anchor, left, right, words, id_, doc, place
 
-_SENT = ["part", "bucket", "anchors", "windows", "ids", "rows", "starts", "final"]
+    def __len__(self) -> int:
+        return len(self.anchor)
 
+    def take(self, i: np.ndarray) -> Places:
+        return Places(*[x[i] for x in (self.anchor, self.left, self.right, self.words, self.id, self.doc, self.place)])
 
-def _windows(length: int, seed: int, parts: int):
+    @property
+    def reach(self) -> int:
+        return self.words.shape[1] // 2
+
+    def clipped(self) -> Places:
+        """Each place once for each extension to a whole window, with the words of that window alone."""
+        w = self.reach
+        some = []
+        for n in range(w + 1):
+            p = self.take(np.flatnonzero((self.left >= n) & (self.right >= w - n)))
+            words = p.words.copy()
+            words[:, n:w] = 0
+            words[:, w + w - n :] = 0
+            some.append(Places(p.anchor, np.full(len(p), n, np.uint8), np.full(len(p), w - n, np.uint8), words, p.id, p.doc, p.place))
+        return Places(*[np.concatenate(x) for x in zip(*[(p.anchor, p.left, p.right, p.words, p.id, p.doc, p.place) for p in some], strict=True)])
+
+    def keys(self) -> np.ndarray:
+        """A hash of anchor and words, and of where they end."""
+        h = self.anchor + self.left * np.uint64(64) + self.right
+        for c in self.words.T:
+            h = h * np.uint64(FACTOR) + c
+        return mixed(h)
+
+    def whole(self) -> np.ndarray:
+        """The extensions that make a window, as packed bits by the words on the left."""
+        n = np.arange(self.reach + 1)
+        return np.packbits((self.left[:, None] >= n) & (self.right[:, None] >= self.reach - n), axis=1)
+
+
+def _first_alike(key: np.ndarray, rows: np.ndarray, id_: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each row the position of the earliest one with the same words; ``key`` is a hash of them."""
+    order = np.lexsort((start, id_, key))
+    k = key[order]
+    first = np.empty(len(k), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]][: len(k)], np.arange(len(k)), 0))]
+    if (rows == rows[first]).all():
+        return first
+    # Two sequences of words with one hash: by the words alone.
+    same = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint64)
+    return _first_alike(same, np.zeros((len(rows), 0), rows.dtype), id_, start)
+
+
+_SENT = "part int, bucket int, anchors binary, sides binary, words binary, ids binary, rows binary, places binary, bits binary"
+_SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+
+
+def _places(length: int, seed: int, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
+        out: list[tuple] = []
         if left.num_rows:
             b = Bucket(left, length, seed)
             values, twice = b.places()
-            seeds = np.union1d(values[twice], np.frombuffer(b"".join(right.column("data").to_pylist()), np.uint64))
-            at = np.flatnonzero(b.valid & np.isin(b.anchor, seeds))
-            anchor, window = b.anchor[at], rolled(b.hash, length)[at]
+            sent = np.frombuffer(b"".join(right.column("data").to_pylist()), np.uint64)
+            hot = sent[np.frombuffer(b"".join(right.column("hot").to_pylist()), bool)]
+            at = b.anchors()
+            at = at[np.isin(b.grams[at], np.union1d(values[twice], sent))]
             doc = np.searchsorted(b.ends, at, side="right")
-            id_, start = b.ids[doc], (at - b.starts[doc]).astype(np.int32)
-            doc = doc.astype(np.int32)
-            # Rows that repeat an id are one document: the same start is no repeat.
-            first, same = _grouped(anchor, window, id_, start, len(np.unique(b.ids)) < len(b.ids))
-            known = (id_ != id_[first[same]]) | (start != start[first[same]])
+            w = length - seed
+            before, behind = np.minimum(w, at - b.starts[doc]), np.minimum(w, b.ends[doc] - at - seed)
+            j = np.arange(w)
+            near = np.concatenate([at[:, None] - 1 - j, at[:, None] + seed + j], axis=1)
+            there = np.concatenate([j < before[:, None], j < behind[:, None]], axis=1)
+            short = b.hash.astype(np.uint32)
+            words = np.where(there, short[np.clip(near, 0, max(0, len(short) - 1))], 0).astype(np.uint32) if len(at) else np.zeros((0, 2 * w), np.uint32)
+            p = Places(b.grams[at], before.astype(np.uint8), behind.astype(np.uint8), words, b.ids[doc], doc.astype(np.int32), (at - b.starts[doc]).astype(np.int32))
+            is_hot = np.isin(p.anchor, hot)
             bucket = left.column("bucket")[0].as_py()
-            if known.any():
-                rows.append((-1 - bucket % parts, bucket, b"", b"", b"", _packed(_deltas(doc[known])), _packed(_deltas(start[known])), True))
-            # The first of each kind; with it those of other rows under its id and start.
-            keep = np.flatnonzero(~known)
-            part = _by_part(anchor[keep], parts)
-            order = np.argsort(part, kind="stable")
-            keep, part = keep[order], part[order]
-            for a, z in _runs(part):
-                i = keep[a:z]
-                rows.append((int(part[a]), bucket, _packed(anchor[i]), window[i].tobytes(), _packed(_deltas(id_[i])), _packed(_deltas(doc[i])), _packed(_deltas(start[i])), False))
+            for own, by_words in ((p.take(np.flatnonzero(~is_hot)), False), (p.take(np.flatnonzero(is_hot)).clipped(), True)):
+                if not len(own):
+                    continue
+                # Places alike in all these words are repeats of the first of them; those of rows under its id and place are no repeats.
+                key = own.keys()
+                first = _first_alike(key, np.c_[own.words, own.left, own.right, own.anchor.view(np.uint32).reshape(-1, 2)], own.id, own.place)
+                known = (own.id != own.id[first]) | (own.place != own.place[first])
+                if known.any():
+                    k = own.take(np.flatnonzero(known))
+                    out.append((-1 - bucket % parts, bucket, b"", b"", b"", b"", k.doc.tobytes(), k.place.tobytes(), k.whole().tobytes()))
+                keep = np.flatnonzero(~known)
+                part = _by_part(key[keep] if by_words else own.anchor[keep], parts)
+                order = np.argsort(part, kind="stable")
+                keep, part = keep[order], part[order]
+                for a, z in _runs(part):
+                    s = own.take(keep[a:z])
+                    out.append((int(part[a]), bucket, s.anchor.tobytes(), s.left.tobytes() + s.right.tobytes(), s.words.tobytes(), s.id.tobytes(), s.doc.tobytes(), s.place.tobytes(), b""))
         release()
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.bool_())
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _SENT)
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], _SENT_NAMES)
 
     return run
 
 
-def _grouped(anchor: np.ndarray, window: np.ndarray, id_: np.ndarray, start: np.ndarray, mixed_up: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the first of each pair of values, and of each row's pair in that list.
+def extended(p: Places) -> np.ndarray:
+    """Of each place the extensions to a window whose words start earlier, a column for each number of words on the left.
 
-    Rows are in the order of id and start, unless several have one id (``mixed_up``).
+    Matches grow from the anchor by one word at a time: a hash of the first n
+    words on a side comes from that of n - 1. Places that agree on both sides are
+    then compared with the earliest, word by word.
     """
-    order = np.lexsort((start, id_, window, anchor) if mixed_up else (window, anchor))
-    a, w = anchor[order], window[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])][: len(a)]
-    same = np.empty(len(a), np.int64)
-    same[order] = np.cumsum(new) - 1
-    return order[new], same
-
-
-def _earliest(table: pa.Table) -> pa.Table:
-    """Of the windows of one part all but the earliest of each kind, for their buckets."""
-    every = table.to_pylist()
-    rows, out = [r for r in every if not r["final"]], [(r["bucket"], r["rows"], r["starts"]) for r in every if r["final"]]
-    if rows:
-        anchor = np.concatenate([_unpacked(r["anchors"], np.uint64) for r in rows])
-        window = np.concatenate([np.frombuffer(r["windows"], np.uint64) for r in rows])
-        id_ = np.concatenate([np.cumsum(_unpacked(r["ids"], np.int64)) for r in rows])
-        doc = np.concatenate([np.cumsum(_unpacked(r["rows"], np.int32), dtype=np.int32) for r in rows])
-        start = np.concatenate([np.cumsum(_unpacked(r["starts"], np.int32), dtype=np.int32) for r in rows])
-        bucket = np.repeat([r["bucket"] for r in rows], [len(r["windows"]) // 8 for r in rows])
-        order = np.lexsort((start, id_, window, anchor))
-        a, w = anchor[order], window[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        late = order[(id_[order] != id_[order][first]) | (start[order] != start[order][first])]
-        late = late[np.lexsort((start[late], doc[late], bucket[late]))]
-        for x, z in _runs(bucket[late]):
-            i = late[x:z]
-            out.append((int(bucket[i[0]]), _packed(_deltas(doc[i])), _packed(_deltas(start[i]))))
-    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "rows", "starts"])
+    w = p.reach
+    late = np.zeros((len(p), w + 1), bool)
+    left, right = [p.anchor], [np.zeros(len(p), np.uint64)]
+    for n in range(w):
+        left.append(left[-1] * np.uint64(FACTOR) + p.words[:, n])
+        right.append(right[-1] * np.uint64(FACTOR) + p.words[:, w + n])
+    ends = p.anchor.view(np.uint32).reshape(-1, 2)
+    for n in range(w + 1):
+        i = np.flatnonzero((p.left >= n) & (p.right >= w - n))
+        if len(i) < 2:
+            continue
+        key = mixed(mixed(left[n][i]) + right[w - n][i])
+        # Only keys that two places have can be repeats.
+        kinds, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        some = times[at] > 1
+        i, key = i[some], key[some]
+        rows = np.c_[ends[i], p.words[i, :n], p.words[i, w : w + w - n]]
+        start = p.place[i] - n
+        first = _first_alike(key, rows, p.id[i], start)
+        late[i, n] = (p.id[i] != p.id[i][first]) | (start != start[first])
+    return late
+
+
+def _earliest(length: int, seed: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of the windows of one part all but the earliest of each kind, for their buckets."""
+        every = table.to_pylist()
+        rows = [r for r in every if not r["bits"]]
+        out = [(r["bucket"], r["rows"], r["places"], r["bits"]) for r in every if r["bits"]]
+        if rows:
+            joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), kind)
+            sides = [np.frombuffer(r["sides"], np.uint8).reshape(2, -1) for r in rows]
+            side = np.concatenate(sides, axis=1)
+            p = Places(joined("anchors", np.uint64), side[0], side[1], joined("words", np.uint32).reshape(len(side[0]), 2 * (length - seed)), joined("ids", np.int64), joined("rows", np.int32), joined("places", np.int32))
+            bucket = np.repeat([r["bucket"] for r in rows], [s.shape[1] for s in sides])
+            late = extended(p)
+            found = np.flatnonzero(late.any(1))
+            found = found[np.argsort(bucket[found], kind="stable")]
+            for a, z in _runs(bucket[found]):
+                i = found[a:z]
+                out.append((int(bucket[i[0]]), p.doc[i].tobytes(), p.place[i].tobytes(), np.packbits(late[i], axis=1).tobytes()))
+        release()
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), *[pa.binary()] * 3))], ["bucket", "rows", "places", "bits"])
+
+    return run
 
 
 def cut_text(text: bytes, gone: np.ndarray) -> bytes:
@@ -216,12 +296,14 @@ def cut_text(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
-def _cut(length: int):
+def _cut(length: int, seed: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Bucket(left, length, 1, hashed=False)
         # Rows of a bucket are numbered in one order at every time.
-        doc = np.concatenate([np.zeros(0, np.int32)] + [np.cumsum(_unpacked(x, np.int32), dtype=np.int32) for x in right.column("rows").to_pylist()])
-        start = np.concatenate([np.zeros(0, np.int64)] + [np.cumsum(_unpacked(x, np.int32), dtype=np.int64) for x in right.column("starts").to_pylist()])
+        joined = lambda c, kind: np.frombuffer(b"".join(right.column(c).to_pylist()), kind)
+        doc, place, wide = joined("rows", np.int32), joined("places", np.int32).astype(np.int64), -(-(length - seed + 1) // 8)
+        which, n_left = np.nonzero(np.unpackbits(joined("bits", np.uint8).reshape(-1, wide), axis=1))
+        doc, start = doc[which], place[which] - n_left
         order = np.argsort(doc, kind="stable")
         doc, start = doc[order], start[order]
         lo, hi = np.searchsorted(doc, b.first), np.searchsorted(doc, b.first, side="right")
@@ -252,28 +334,44 @@ def _cut(length: int):
     return run
 
 
+#: Buckets grow with the fourth root of the input beyond this size, up to ``MOST_BUCKET_BYTES``.
+GROWS_FROM, MOST_BUCKET_BYTES = 4 << 30, 16 << 20
+#: Buckets whose places go to one part, on the average.
+BUCKETS_A_PART = 4
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed: int = 8, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with the text cut, and ``n_words, n_removed, kept`` (words joined by one space) and ``spans`` (maximal repeats, in words).
 
-    Words are runs of other than ASCII white space, unchanged. A window is a
-    repeat if the same words start earlier: in a smaller id, or earlier in the
-    same one. Null and empty texts have no words. Rows that repeat an id count
-    as one document: of equal windows at one start none is a repeat of the
-    other. Rows with a null id come last, and as one document. A text without repeats stays as it is. An
+    Words are runs of other than ASCII white space, unchanged; a word counts as
+    the same if its hash of 32 bits is, so a window by 640 bits or more of its
+    words. A window is a repeat if the same words start earlier: in a smaller id,
+    or earlier in the same one. Null and empty texts have no words; texts of any
+    length are read whole. Rows that repeat an id count as one document: of equal
+    windows at one start none is a repeat of the other. Rows with a null id come
+    last, and as one document. A text without repeats stays as it is. An
     empty table stays empty. Columns of ``docs`` with the names of the added
-    ones are replaced.
+    ones are replaced. Ids must be integers.
     """
-    if not 1 <= seed <= length:
-        raise ValueError("seed must be from 1 to length")
+    if not 1 <= seed <= length or length - seed > 250:
+        raise ValueError("seed must be from 1 to length, and at most 250 words less")
     added = ["n_words", "n_removed", "kept", "spans"]
     docs = docs.drop(*[c for c in added if c not in (id_col, text_col)])
     slim, others = keyed(docs, id_col, text_col)
-    n = bucket_count(docs, bucket_bytes)
-    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("bucket", "id", "text", "rest")
-    own = slim.groupBy("bucket")
-    seeds = own.applyInArrow(_anchors(length, seed, n), _HASHES).groupBy("part").applyInArrow(_seeds, "bucket int, data binary")
-    sent = own.cogroup(seeds.groupBy("bucket")).applyInArrow(_windows(length, seed, n), "part int, bucket int, anchors binary, windows binary, ids binary, rows binary, starts binary, final boolean")
-    repeats = sent.groupBy("part").applyInArrow(_earliest, _REPEATS)
+    size = input_bytes(docs)
+    bucket_bytes = max(bucket_bytes, min(MOST_BUCKET_BYTES, int(bucket_bytes * (size / GROWS_FROM) ** 0.25)))
+    n = max(1, -(-size // bucket_bytes))
+    parts = -(-n // BUCKETS_A_PART)
+    # A text of fewer bytes than ``length`` words and the spaces between them has no window.
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * length - 1
+    long = slim.where(~short).withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).select("bucket", "id", "text", "rest")
+    own = long.groupBy("bucket")
+    seeds = own.applyInArrow(_anchors(length, seed, parts), _HASHES).groupBy("part").applyInArrow(_seeds, "bucket int, data binary, hot binary")
+    sent = own.cogroup(seeds.groupBy("bucket")).applyInArrow(_places(length, seed, parts), _SENT)
+    repeats = sent.groupBy("part").applyInArrow(_earliest(length, seed), _REPEATS)
     rest = slim.schema["rest"].dataType.simpleString()
-    out = own.cogroup(repeats.groupBy("bucket")).applyInArrow(_cut(length), f"id long, text string, rest {rest}, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
-    return unkeyed(out, docs.columns, id_col, text_col, others, {c: F.col(c) for c in added})
+    spans = "array<struct<start:int,end:int>>"
+    out = own.cogroup(repeats.groupBy("bucket")).applyInArrow(_cut(length, seed), f"id long, text string, rest {rest}, n_words long, n_removed long, kept string, spans {spans}")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda x: x != "")
+    bare = slim.where(short).withColumn("words", words).select("id", F.coalesce("text", F.lit("")).alias("text"), "rest", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("words", " ").alias("kept"), F.array().cast(spans).alias("spans"))
+    return unkeyed(out.unionByName(bare), docs.columns, id_col, text_col, others, {c: F.col(c) for c in added})
