@@ -3,10 +3,11 @@
 Large-star links every larger neighbour of a node to the least of its
 neighbourhood, small-star the smaller ones; when neither changes an edge, each
 component is a star around its least node (Kiveris et al., "Connected components
-in MapReduce and beyond", 2014). All state stays in tables: each round is
+in MapReduce and beyond", 2014). All state stays in tables: each step is
 written to the shared folder, so that its lineage ends and lost executors cost
-one round at most. Each step is an aggregate with a map-side part and a join of
-edges with one row for each node, so a hub's edges can be split between tasks.
+one step at most. A step is an aggregate with a map-side part and a join of
+edges with one row for each node; the rows of hubs, of which there are few, go
+to the edges instead, so a hub's edges stay where they are.
 """
 
 from __future__ import annotations
@@ -14,19 +15,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, remove, written
+from .common import HOT, Scratch, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """``rows (u, v)``, ``total`` at most, with ``m``: the least ``v`` of the ``u``."""
+    least = scratch.written(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.where(F.col("n") * HOT > total).select("u", "m").collect()
+    if not hubs:
+        return rows.join(least.select("u", "m"), "u")
+    # At most HOT rows can have more than 1 / HOT of all: a proven bound.
+    hub = F.broadcast(rows.sparkSession.createDataFrame(hubs, least.select("u", "m").schema))
+    return rows.join(hub, "u").unionByName(rows.join(hub.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
+def _large_star(edges: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    joined = _with_least(both, 2 * total, scratch).where("v > u")
+    return joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """Every edge has v < u here."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+    joined = _with_least(edges, total, scratch)
+    return joined.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
@@ -47,7 +59,10 @@ def components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None =
                 scratch.paths.append(path)
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         seen = mark
-        e, new = written(_small_star(_large_star(e)), "edges")
-        remove(spark, path)
+        steps = Scratch(spark)
+        large = steps.written(_large_star(e, mark[0], steps), "large")
+        e, new = written(_small_star(large, mark[0], steps), "edges")
+        steps.paths.append(path)
+        steps.clear()
         path = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
