@@ -43,6 +43,8 @@ HAS_CHECKSUMS = 1 << 7
 INDEX_MAGIC = 0x184D2A50
 
 FRAME_IDS = 1 << 16
+#: Parts of texts that a worker remembers in a generation.
+KNOWN = 800_000
 FILE_BYTES = 24 << 20
 _ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("ids", "<u4"), ("frame", "<u4")])
 
@@ -160,7 +162,7 @@ _MANIFEST = "part int, file string, n_tokens long, n_docs long"
 
 def _writes(path: str, vocabulary: str, end_id: int, frame_ids: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, w = encoder(vocabulary, special=special), Writer(frame_ids)
+        enc, w = encoder(vocabulary, KNOWN, special), Writer(frame_ids)
         tail = np.array([end_id], "<u4").tobytes()
         part, n = TaskContext.get().partitionId(), 0
         for b in sliced(batches, 512, give_back=False):
