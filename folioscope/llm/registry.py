@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, quotes, sharding, simhash, sql, substring, tokenfiles, urls
+from . import decontaminate, minhash, packing, quality, quotes, sharding, simhash, sql, sql_hashes, substring, tokenfiles, urls
 from .neighbours import with_next
 
 
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": sql.OP1, "op4_quotation_linking": sql.OP4, "op5_substring_dedup": sql.OP5, "op9_decontaminate": sql.OP9}
+    return {"op1_url_filter": sql.OP1, "op2_minhash": sql_hashes.minhash(), "op6_simhash": sql_hashes.simhash(), "op4_quotation_linking": sql.OP4, "op5_substring_dedup": sql.OP5, "op9_decontaminate": sql.OP9}
