@@ -38,7 +38,7 @@ class Limits:
 #: Examples that are open for packing at once.
 BLOCK = 2048
 #: Parts of texts that a worker remembers in a generation; there is room for more than where texts are sorted too.
-KNOWN = 800_000
+KNOWN = 700_000
 #: Bytes of ids that are open for packing at once.
 HELD = 8 << 20
 #: Tasks whose rests are packed together.
