@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bucket_count
 
 PART_BYTES = 8 << 20
+#: Partitions for each shard at least, so that small inputs are spread too.
+PARTS_A_SHARD = 4
 #: Most partitions of the matrix; beyond it they grow.
 MOST_PARTS = 1 << 14
 
@@ -89,7 +91,7 @@ def shuffled(df: DataFrame, columns: list[str], shards: int = 16, seed: int = 11
     names = [f"c{i}" for i in range(len(df.columns))]
     slim = df.toDF(*names)
     keys = [F.col(n) for n, c in zip(names, df.columns, strict=True) if c in columns]
-    parts = parts or bucket_count(df, part_bytes, MOST_PARTS)
+    parts = parts or max(PARTS_A_SHARD * shards, bucket_count(df, part_bytes, MOST_PARTS))
     dealt = slim.withColumn("_part", F.pmod(_random(seed, "part", keys), F.lit(parts)).cast("int"))
     sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
