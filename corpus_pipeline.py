@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: each stage keeps the columns of documents, the last returns pieces."""
+"""From raw documents to packed sequences: each stage keeps the columns of documents, the last returns pieces.
+
+A stage takes a table with at least ``COLUMNS`` and returns these alone; other
+columns end at the first stage, and one that is missing is an error of the plan.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, packing, quality, registry, simhash, substring
-from folioscope.llm.common import new_path
+from folioscope.llm.common import new_path, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -52,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = registry.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages over documents, each written to the shared folder and read again; a stage's table goes when the next one is written."""
+    docs, last = registry.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
         path = new_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
+    # Packing has written all its pieces when it returns.
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, last)
+    return out
