@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hashes, hot_join, keyed, majority, mixed, rolled, sliced, texts, unkeyed, written
+from .common import Scratch, hashes, hot_join, keyed, majority, mixed, release, rolled, sliced, texts, unkeyed, written
 from .components import components
 
 BANDS, ROWS = 32, 5
 #: Distinct texts of a candidate group in a block.
-BLOCK = 4096
+BLOCK = 2048
 #: Of the table that says which rows' texts are needed.
 BITS = 23
 _UPPER = bytes(range(65, 91))
@@ -124,6 +124,7 @@ def _verified(shingle: int, threshold: float):
         bodies = texts(table.column("text"))
         root = alike([shingles(bodies[i], shingle) for i in order], threshold)
         linked = root != np.arange(len(root))
+        release()
         return pa.table({"u": pa.array(fp[order][linked]), "v": pa.array(fp[order][root][linked])})
 
     return run
