@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cached_property
 from itertools import chain, compress, repeat
 from operator import is_
 
@@ -33,15 +34,17 @@ _LINES = re.compile(r"\S+(?:\n\S+)+")
 class Encoder:
     def __init__(self, vocabulary: str, known: int = KNOWN, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         # Strings of special tokens in a text are ordinary text, but for ``special``.
         self.tokenizer.encode_special_tokens = True
         # Texts with added tokens are encoded whole, by the library's own rules.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
-        self.plain = Tokenizer.from_file(vocabulary)
-        self.plain.encode_special_tokens = not special
+        self.vocabulary, self.special = vocabulary, special
+        # For words of ASCII letters, one piece each and spelt as in the vocabulary: no pattern has to find pieces.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         # Ids of a part; False for one that can only be encoded with what is before it.
         self.known: dict[str, bytes | bool] = {}
         self.older: dict[str, bytes | bool] = {}
@@ -55,6 +58,15 @@ class Encoder:
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.begins = {x: np.array([t.startswith(letter) for t in tokens]) for x, letter in ((" ", "\u0120"), ("\n", "\u010a"))}
 
+    @cached_property
+    def plain(self):
+        """The library's own rules; few workers meet a text that needs them."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.vocabulary)
+        out.encode_special_tokens = not self.special
+        return out
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -127,10 +139,10 @@ class Encoder:
 
     def _learn_words(self, known: dict[str, bytes | bool], parts: set[str], before: str) -> None:
         """Add to ``known`` the ids of parts, which it has not, with ``before`` in front of them."""
-        good, split = [], []
+        good, ascii_, split = [], [], []
         for p in parts:
             if p.isalpha():
-                good.append(p)
+                (ascii_ if p.isascii() else good).append(p)
                 continue
             w = p.rstrip(_MARKS)
             if len(w) < len(p) and _LATIN.fullmatch(w):
@@ -140,10 +152,12 @@ class Encoder:
             else:
                 good.append(p)
         # A word that is known or learned now needs its marks only.
-        good += {w for _, w, _ in split if w not in known and w not in parts}
-        for at in range(0, len(good), 16 * ROW):
-            some = good[at : at + 16 * ROW]
-            known |= zip(some, self._together(some, before), strict=True)
+        for w in {w for _, w, _ in split if w not in known and w not in parts}:
+            (ascii_ if w.isascii() else good).append(w)
+        for words, spelt in ((good, False), (ascii_, before == " ")):
+            for at in range(0, len(words), 16 * ROW):
+                some = words[at : at + 16 * ROW]
+                known |= zip(some, self._together(some, before, spelt), strict=True)
         for p, w, marks in split:
             known[p] = known[w] + self._marks(marks)
 
@@ -155,10 +169,19 @@ class Encoder:
                 self.marks[marks] = found
         return found
 
-    def _together(self, parts: list[str], before: str = " ") -> list[bytes]:
-        """Ids of each part with ``before`` in front of it: encoded in rows, cut where a token starts with that."""
-        rows = [before + before.join(parts[i : i + ROW]) for i in range(0, len(parts), ROW)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+    def _together(self, parts: list[str], before: str = " ", spelt: bool = False) -> list[bytes]:
+        """Ids of each part with ``before`` in front of it: encoded in rows, cut where a token starts with that.
+
+        ``spelt``: the parts are words of ASCII letters behind a space, one piece each.
+        """
+        tokenizer = self.tokenizer
+        rows = [before.join(parts[i : i + ROW]) for i in range(0, len(parts), ROW)]
+        if spelt:
+            tokenizer = self.words
+            rows = ["\u0120" + r.replace(" ", " \u0120") for r in rows]
+        else:
+            rows = [before + r for r in rows]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
         cuts = (4 * np.flatnonzero(self.begins[before][ids])).tolist()
         if len(cuts) != len(parts) or cuts[0]:
             raise RuntimeError("a token goes over the end of a part")
