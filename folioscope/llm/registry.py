@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, quotes, sharding, simhash, sql, sql_hashes, substring, tokenfiles, urls
+from . import decontaminate, minhash, packing, pieces, quality, quotes, resample, sharding, simhash, sql, sql_hashes, substring, tokenfiles, urls, whitening
 from .neighbours import with_next
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The vocabulary file of the contract; it is on every machine, in the installed package."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,9 +95,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    out = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep_text=False), model)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_token_files, op4_quotation_linking, op5_substring_dedup, op6_simhash, op7_quality, op8_sharding, op9_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_token_files, op4_quotation_linking, op5_substring_dedup, op6_simhash, op7_quality, op8_sharding, op9_decontaminate, op10_packing, op11_resampling, op12_sentencepiece, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": sql.OP1, "op2_minhash": sql_hashes.minhash(), "op6_simhash": sql_hashes.simhash(), "op4_quotation_linking": sql.OP4, "op5_substring_dedup": sql.OP5, "op9_decontaminate": sql.OP9}
+    return {"op1_url_filter": sql.OP1, "op2_minhash": sql_hashes.minhash(), "op6_simhash": sql_hashes.simhash(), "op4_quotation_linking": sql.OP4, "op5_substring_dedup": sql.OP5, "op9_decontaminate": sql.OP9, "op11_resampling": sql_hashes.resampling()}

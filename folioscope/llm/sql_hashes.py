@@ -142,3 +142,45 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
   {like("fingerprint", "next_fingerprint", differ("fingerprint", "next_fingerprint"))} AS near_next
 FROM rows_
 """
+
+
+def crc32(strings: str) -> str:
+    """CTEs that end in ``checked (s, crc)`` for the distinct ``s`` of the table ``strings``: four bits at a time, the lower four of a byte first."""
+    four = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        four.append(x)
+    step = f"xor(a >> 4, [{', '.join(f'{x}::BIGINT' for x in four)}][xor(a, b) % 16 + 1])"
+    return f"""
+spelt AS (SELECT s, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM {strings})),
+digits AS (SELECT s, list_transform(range(0, len(x)), lambda i: (strpos('0123456789ABCDEF', x[i // 2 * 2 + 2 - i % 2]) - 1)::BIGINT) AS items FROM spelt),
+checked AS (SELECT s, xor(list_reduce(items, lambda a, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM digits)"""
+
+
+def resampling(percent: int = 5, least: int = 20, buckets: int = 10_000, seed: int = 42) -> str:
+    words = f"list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""
+WITH t AS (
+  SELECT 'd' AS k, doc_id AS id, row_number() OVER () AS r, {words} AS w FROM documents
+  UNION ALL SELECT 'b', NULL, row_number() OVER (), {words} FROM benchmark),
+ones AS (SELECT k, r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM t),
+runs AS (SELECT k, r, a, lead(a) OVER (PARTITION BY k, r ORDER BY p) AS b, lead(a, 2) OVER (PARTITION BY k, r ORDER BY p) AS c FROM ones),
+said AS MATERIALIZED (
+  SELECT k, r, a AS s FROM runs UNION ALL SELECT k, r, a || ' ' || b FROM runs WHERE b IS NOT NULL UNION ALL SELECT k, r, a || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL),
+{crc32("said")},
+placed AS (SELECT k, r, CAST(crc % {buckets} AS BIGINT) AS bucket FROM said JOIN checked USING (s)),
+counts AS (SELECT bucket, count(*) FILTER (WHERE k = 'd') AS s, count(*) FILTER (WHERE k = 'b') AS t FROM placed GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM counts),
+gains AS (
+  SELECT c.bucket, CAST(floor(1000 * ln((c.t + 1)::DOUBLE * (w.s + {buckets})::DOUBLE / ((c.s + 1)::DOUBLE * (w.t + {buckets})::DOUBLE))) AS BIGINT) AS gain
+  FROM counts c, whole w),
+weights AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE k = 'd' GROUP BY r),
+scored AS (
+  SELECT id AS doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= {least} AS fit,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('{seed}:' || coalesce(CAST(id AS VARCHAR), ''))[1:8] AS UBIGINT)::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM t LEFT JOIN weights USING (r) WHERE k = 'd'),
+placed_rows AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) FROM scored WHERE fit) * {percent} // 100 THEN place END AS rank
+FROM placed_rows
+"""
