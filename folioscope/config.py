@@ -25,6 +25,8 @@ class Settings:
     embedder_path: str | None = None
     answerer_path: str | None = None
     paragraph_words: int = 140
+    #: Chunks from which vectors are indexed; fewer are searched exactly. 0: always exactly.
+    index_from: int = 5_000
     #: Times that a failing document is tried again by the stream.
     max_attempts: int = 3
 

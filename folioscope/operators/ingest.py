@@ -20,7 +20,9 @@ from ..functions.vector import checked
 from ..plans import schemas
 from ..sources.documents import Extractor, extract_pages, load, named, root_of
 from .chunking import clean_pages, new_files, page_chunks, with_running
+from .lexical import LexicalIndex
 from .models import Embedder, embedded
+from .vector_index import VectorIndex
 
 TABLES = {"books": schemas.BOOKS, "chunks": schemas.CHUNKS, "chunk_index": schemas.CHUNK_INDEX, "ingest_errors": schemas.ERRORS}
 
@@ -35,11 +37,25 @@ class Store:
     def path(self, name: str) -> str:
         return self.settings.table(name)
 
+    @property
+    def vectors(self) -> VectorIndex:
+        return VectorIndex(self.spark, self.path("vector_index"))
+
+    @property
+    def words(self) -> LexicalIndex:
+        return LexicalIndex(self.spark, self.path("word_index"))
+
+    def committed(self) -> DataFrame:
+        """The batches that searches may see."""
+        return self.all("books").select("batch").distinct()
+
     def create(self) -> None:
         """Empty tables where there are none, and the dimension of the vectors, which cannot change afterwards."""
         for name, schema in TABLES.items():
             if not self._exists(self.path(name)):
                 self.put(name, "empty", self.spark.createDataFrame([], schema))
+        if not self._exists(self.words.path):
+            self.words.append(self.spark.createDataFrame([], schemas.CHUNK_INDEX), "empty", "chunk_id")
         meta = self.path("_dimension")
         if not self._exists(meta):
             self.spark.range(1).select(F.lit(self.settings.dimension).alias("dimension")).write.mode("overwrite").parquet(meta)
@@ -67,8 +83,7 @@ class Store:
         """Rows of committed batches; the filter prunes partitions."""
         rows = self.all(name)
         if name in ("chunks", "chunk_index"):
-            committed = self.all("books").select("batch").distinct()
-            rows = rows.join(committed, "batch", "left_semi")
+            rows = rows.join(self.committed(), "batch", "left_semi")
         return rows.drop("batch")
 
     def name(self, path: Column) -> Column:
@@ -116,6 +131,21 @@ def _extracted(paths: DataFrame, store: Store, extractor: Extractor, staging: st
         put(group, mode) if group else store.spark.createDataFrame([], "path string, page_number int, text string, error string").write.mode(mode).parquet(staging)
 
 
+#: The vectors are indexed anew when there are so many times the rows of the last time.
+GROWTH = 4
+
+
+def refit(store: Store) -> None:
+    """Fit the vector index on all committed rows, if there are enough now or many more than before."""
+    s = store.settings
+    if not s.index_from:
+        return
+    book = store.vectors.codebook()
+    n = store.words.rows(store.committed())
+    if n >= (GROWTH * book.rows if book else s.index_from):
+        store.vectors.fit(store.all("chunk_index").join(store.committed(), "batch", "left_semi"))
+
+
 def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embedder, batch: str, batch_number: int | None = None) -> Report:
     """Take the new ones of ``files (path)`` in; what fails goes to ``ingest_errors``."""
     s, spark = store.settings, store.spark
@@ -148,7 +178,11 @@ def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embed
     n_chunks, n_index = of("chunks"), of("chunk_index")
     if n_chunks != n_index:
         raise RuntimeError(f"{n_index} of {n_chunks} chunks were indexed")
+    own_index = store.all("chunk_index").where(F.col("batch") == batch)
+    store.words.append(own_index, batch, "chunk_id")
+    store.vectors.append(own_index, batch)
     store.put("books", batch, books)
+    refit(store)
     for path in (staging, f"{staging}-books"):
         store.delete(path)
     return Report(of("books"), n_chunks, of("ingest_errors"))

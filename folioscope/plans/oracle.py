@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import TERMINATORS, WHITE_SPACE
-from .queries import K, OVERLAP, PAGE_OVERLAP, PAGE_SIZE, QUESTION, SIZE
+from .queries import K, ONE_IN, OVERLAP, PAGE_OVERLAP, PAGE_SIZE, QUESTION, SIZE, WORDS
 
 _STEP, _PAGE_STEP = SIZE - OVERLAP, PAGE_SIZE - PAGE_OVERLAP
 _ASKED = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(QUESTION.split())) + "]"
@@ -91,6 +91,19 @@ scored AS (
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY retrieval_score DESC, doc_id, pos) AS rank FROM scored) WHERE rank <= {K})"""
 
 
+#: Needs chunks; BM25 scores and ranks of all chunks that have a word of the search.
+_BM25 = f"""
+tokens_of AS (SELECT doc_id, pos, regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM chunks),
+corpus AS (SELECT count(*) AS n, avg(len(w)) AS average FROM tokens_of),
+asked AS (SELECT DISTINCT unnest(string_split(lower('{WORDS}'), ' ')) AS term),
+counted AS (SELECT doc_id, pos, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS tf FROM tokens_of, asked),
+weights AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM counted, corpus WHERE tf > 0 GROUP BY term),
+scores AS (
+  SELECT doc_id, pos, round(sum(weight * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average)))), 9) AS score
+  FROM counted JOIN weights USING (term), corpus WHERE tf > 0 GROUP BY doc_id, pos),
+said AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, pos) AS rank FROM scores)"""
+
+
 def _gap(c: str, n: int) -> str:
     return f"CASE doc_id % {n} WHEN 0 THEN NULL WHEN 1 THEN '' ELSE {c} END"
 
@@ -106,7 +119,25 @@ def oracle_sql() -> dict[str, str]:
             ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM scored)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM ranked WHERE rank <= {K}""",
         "ann_recall": f"""
-            SELECT count(*) AS n_queries, count(*) * least({K}, (SELECT count(*) FROM embeddings)) AS n_exact, true AS reached FROM embeddings WHERE vec_id % 50 = 0""",
+            SELECT count(*) AS n_queries, count(*) * least({K}, (SELECT count(*) FROM embeddings)) AS n_exact, count(*) * least({K}, (SELECT count(*) FROM embeddings)) AS n_returned,
+              count(*) * least({K}, (SELECT count(*) FROM embeddings)) AS n_right, true AS reached FROM embeddings WHERE vec_id % 50 = 0""",
+        "filtered_recall": " UNION ALL ".join(
+            f"""
+            SELECT count(*) AS n_queries, count(*) * least({K}, any_value(n)) AS n_exact, count(*) * least({K}, any_value(n)) AS n_returned, count(*) * least({K}, any_value(n)) AS n_right,
+              true AS reached, {n} AS one_in FROM embeddings, (SELECT count(*) AS n FROM embeddings WHERE vec_id % {n} = 1) WHERE vec_id % 50 = 0"""
+            for n in ONE_IN
+        ),
+        "bm25_topk": f"WITH {_CHUNKS}, {_BM25} SELECT doc_id, pos, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM said WHERE rank <= {K}",
+        "hybrid_topk": f"""
+            WITH {_CHUNKS}, {_BM25},
+            near AS (
+              SELECT doc_id, pos, row_number() OVER (ORDER BY s DESC, doc_id, pos) AS rank
+              FROM (SELECT c.doc_id, c.pos, (1 + {_dot("e.embedding", "q.embedding")}) / 2 AS s FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)),
+            fused AS (
+              SELECT doc_id, pos, n.rank AS vector_rank, s.rank AS word_rank, coalesce(1 / (60 + n.rank), 0) + coalesce(1 / (60 + s.rank), 0) AS score
+              FROM near n FULL JOIN said s USING (doc_id, pos)),
+            placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, pos) AS rank FROM fused)
+            SELECT doc_id, pos, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, vector_rank, word_rank FROM placed WHERE rank <= {K}""",
         "books_registry": """
             SELECT row_number() OVER (ORDER BY path) AS id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS title, source AS author, CAST(1990 AS BIGINT) AS publication_year, path AS file_path
             FROM (SELECT doc_id, source, './d/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ' - ' || source || ' - 1990.pdf' AS path FROM documents)

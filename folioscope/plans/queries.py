@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import answer as a
 from ..functions import text as t
 from ..functions import vector as v
-from ..operators import ann, chunking, models, retrieval
+from ..operators import chunking, fusion, models, retrieval
+from ..operators.lexical import LexicalIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.documents import paths_with_suffix
-from ..sources.tables import spread
+from ..sources.tables import scratch_path, spread
 from . import search as plan
 
 SIZE, OVERLAP = 300, 50
@@ -25,6 +27,8 @@ PAGE_SIZE, PAGE_OVERLAP = 40, 10
 K = 10
 #: Words of a question that all languages of the tables answer.
 QUESTION = "the of and de la der die el que with"
+#: Words of a lexical search: frequent ones, and one that no chunk has.
+WORDS = "The energy of la maison und das tiempo Zymurgy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,15 +92,77 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "rank", "vec_id", F.round("retrieval_score", 6).alias("score"))
 
 
+#: Shares of the rows that filters of ``filtered_recall`` keep: one row in so many.
+ONE_IN = (2, 20, 200)
+RECALL = 0.95
+
+
+def _asked(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _compared(found: DataFrame, exact: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: hits of the index, those whose score is that of their two vectors, and whether enough of the exact ones are among them."""
+    truth = exact.select("query_id", "vec_id", F.lit(1).alias("true"))
+    both = found.join(truth, ["query_id", "vec_id"], "full").join(vectors, "vec_id").join(asked, "query_id")
+    near = v.score(v.dot(F.col("embedding"), F.col("query_vector")))
+    right = F.count(F.when(F.abs(F.col("retrieval_score") - near) < 1e-9, 1))
+    hits = F.count(F.when(F.col("true").isNotNull() & F.col("retrieval_score").isNotNull(), 1))
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("true").alias("n_exact"), F.count("retrieval_score").alias("n_returned"), right.alias("n_right"), (hits >= RECALL * F.count("true")).alias("reached"))
+
+
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the approximate search finds nine tenths of the K nearest of every 50th row: one row."""
+    """The stored index over all vectors, asked with every 50th row, beside exact search: one row."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    lists = ann.fit(vectors, "vec_id")
-    near = ann.search_batch(ann.listed(vectors, lists), lists, asked, K, ["vec_id"]).select("query_id", "vec_id", F.lit(1).alias("found"))
-    exact = retrieval.top_k_batch(vectors, asked, K, ["vec_id"]).select("query_id", "vec_id")
-    both = exact.join(near, ["query_id", "vec_id"], "left")
-    return both.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+    asked = _asked(vectors)
+    index = VectorIndex(spark, scratch_path(spark, "vectors"), "vec_id", [])
+    index.fit(vectors.withColumn("batch", F.lit("all")))
+    return _compared(index.search_batch(asked, K), retrieval.top_k_batch(vectors, asked, K, ["vec_id"]), vectors, asked)
+
+
+def filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ann_recall``, with filters that keep one row in ``one_in``."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", *[F.pmod("vec_id", F.lit(n)).cast("string").alias(f"in_{n}") for n in ONE_IN])
+    asked = _asked(vectors)
+    index = VectorIndex(spark, scratch_path(spark, "vectors"), "vec_id", [f"in_{n}" for n in ONE_IN])
+    index.fit(vectors.withColumn("batch", F.lit("all")))
+    out = None
+    for n in ONE_IN:
+        kept = F.col(f"in_{n}") == "1"
+        exact = retrieval.top_k_batch(vectors.where(kept).select("vec_id", "embedding"), asked, K, ["vec_id"])
+        row = _compared(index.search_batch(asked, K, kept), exact, vectors.select("vec_id", "embedding"), asked).withColumn("one_in", F.lit(n))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: A chunk's number: its document's, and its place there.
+PLACES = 1 << 20
+
+
+def _words(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    index = LexicalIndex(spark, scratch_path(spark, "words"))
+    index.append(_chunks(spark, sf_dir).select((F.col("doc_id") * PLACES + F.col("pos")).alias("id"), F.col("chunk_text").alias("text")), "all")
+    return index
+
+
+def _named(best: DataFrame, *more: str) -> DataFrame:
+    return best.select(F.floor(F.col("id") / PLACES).alias("doc_id"), (F.col("id") % PLACES).alias("pos"), F.round("score", 6).alias("score"), *more)
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K chunks that say most of the question's words, by the inverted index."""
+    best = _words(spark, sf_dir).scored(WORDS, K)
+    return _named(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))), "rank")
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K chunks that nearness to document 0 and the question's words rank highest together."""
+    asked = _vector_of(spark, sf_dir, 0)
+    query = F.array(*[F.lit(float(x)) for x in asked])
+    near = _index(spark, sf_dir).select((F.col("doc_id") * PLACES + F.col("pos")).alias("id"), v.score(v.dot(F.col("embedding"), query)).alias("score"))
+    words = _words(spark, sf_dir)
+    said = fusion.Ranked(lambda n: words.scored(WORDS, n), lambda: words.scored(WORDS, None))
+    return _named(fusion.fused(spark, [fusion.by_score(near), said], K), "rank", F.col("rank_1").alias("vector_rank"), F.col("rank_2").alias("word_rank"))
 
 
 def books_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,5 +270,5 @@ def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (vector_topk, vector_topk_batch, ann_recall, books_registry, index_rows, normalize_vectors, text_normalize, sanitize_text, word_chunks, page_chunks, filename_metadata, doc_ids, sentence_spans, sentence_split, lexical_answer, complete_sentence, matched_paragraph, rerank, search_and_extract, response_projection, new_documents, path_filter)
+    every = (vector_topk, vector_topk_batch, ann_recall, filtered_recall, bm25_topk, hybrid_topk, books_registry, index_rows, normalize_vectors, text_normalize, sanitize_text, word_chunks, page_chunks, filename_metadata, doc_ids, sentence_spans, sentence_split, lexical_answer, complete_sentence, matched_paragraph, rerank, search_and_extract, response_projection, new_documents, path_filter)
     return {f.__name__: f for f in every}

@@ -1,4 +1,4 @@
-"""From hits to results: answers, quotes, paragraphs, order, and the projections for clients. All lazy."""
+"""From hits to results: answers, quotes, paragraphs, order, and the projections for clients. Lazy but for the ids of the hits."""
 
 from __future__ import annotations
 
@@ -23,7 +23,12 @@ def hits(index: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
     The search reads ids and vectors alone; the k ids then reach the scan of the
     other columns as a filter.
     """
-    best = top_k(index.select("chunk_id", "embedding"), vector, k, ["chunk_id"]).select("chunk_id", "retrieval_score", "rank").collect()
+    return rows_of(index, top_k(index.select("chunk_id", "embedding"), vector, k, ["chunk_id"]))
+
+
+def rows_of(index: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of the index behind ``best (chunk_id, retrieval_score, rank)``, a few rows."""
+    best = best.select("chunk_id", "retrieval_score", "rank").collect()
     found = index.sparkSession.createDataFrame(best, "chunk_id long, retrieval_score double, rank int")
     rows = index.drop("embedding").where(F.col("chunk_id").isin([r["chunk_id"] for r in best]))
     return rows.join(F.broadcast(found), "chunk_id").withColumn("retrieval_score", F.coalesce("retrieval_score", F.lit(0.0)))
@@ -60,8 +65,9 @@ def results(found: DataFrame, runner: str, limit: int = 140) -> DataFrame:
     )
 
 
-def search(index: DataFrame, vector: Sequence[float], question: str, k: int, answerer: Answerer, limit: int = 140) -> DataFrame:
-    return results(answered(hits(index, vector, k), answerer, F.lit(question)), answerer.name, limit)
+def search(index: DataFrame, best: DataFrame, question: str, answerer: Answerer, limit: int = 140) -> DataFrame:
+    """Result records of the rows of the index that ``best (chunk_id, retrieval_score, rank)`` names."""
+    return results(answered(rows_of(index, best), answerer, F.lit(question)), answerer.name, limit)
 
 
 def link(path: Column) -> Column:
