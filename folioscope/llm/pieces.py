@@ -21,6 +21,7 @@ from array import array
 from codecs import register_error
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ MERGES = 2
 KNOWN_BYTES = 160 << 20
 LONGEST = 64
 #: Pairs of neighbours that a worker remembers.
-PAIRS = 200_000
+PAIRS = 300_000
 
 
 class Memory:
@@ -62,11 +63,10 @@ class Memory:
         self.new[key] = value
 
 
-class Pieces:
-    """A merge-type model, read from its file."""
+class Surfaces:
+    """What the pieces of a model file say: enough to decode."""
 
-    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
-        import ahocorasick
+    def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as public
 
         model = public.ModelProto()
@@ -77,21 +77,60 @@ class Pieces:
         if model.trainer_spec.model_type != MERGES or rules.precompiled_charsmap or rules.remove_extra_whitespaces or not (rules.add_dummy_prefix and rules.escape_whitespaces) or not kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE} or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError(f"{path} is no merge-type model with plain normalisation")
         self.names = [p.piece for p in model.pieces]
-        self.kind = np.array([p.type for p in model.pieces], np.int8)
+        self.kind = [p.type for p in model.pieces]
+        self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        self.unknown_text = model.trainer_spec.unk_surface
+        self.unknown = self.kind.index(UNKNOWN)
         self.end = self.names.index(model.trainer_spec.eos_piece)
         if self.byte and len(self.byte) != 256:
             raise ValueError(f"{path} has some pieces for bytes, but not all")
-        self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.score = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        self.surface = [n.replace(SPACE, " ").encode() for n in self.names]
+        for b, i in self.byte.items():
+            self.surface[i] = bytes([b])
+        self.odd = {i for i, k in enumerate(self.kind) if k in (CONTROL, UNKNOWN)}
+        for i in self.odd:
+            self.surface[i] = model.trainer_spec.unk_surface.encode() if i == self.unknown else b""
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: what the library's own decoding gives, invalid bytes as U+FFFD each."""
+        while ids and self.kind[ids[-1]] == CONTROL:
+            ids = ids[:-1]
+        start = next((k for k, i in enumerate(ids) if self.kind[i] != CONTROL), 0)
+        if not self.odd.isdisjoint(ids[start:]):
+            return "".join(self._decoded(run, first) for run, first in self._runs(ids[start:]))
+        return self._decoded(ids[start:], True)
+
+    def _runs(self, ids: list[int]) -> Iterator[tuple[list[int], bool]]:
+        """Cut at control pieces and unknown ones: bytes on their two sides are apart."""
+        at = 0
+        for k, i in enumerate(ids):
+            if i in self.odd:
+                yield ids[at:k], at == 0
+                yield [i], False
+                at = k + 1
+        yield ids[at:], at == 0
+
+    def _decoded(self, ids: list[int], first: bool) -> str:
+        data = b"".join(map(self.surface.__getitem__, ids))
+        if first and ids and self.kind[ids[0]] == NORMAL and data[:1] == b" ":
+            data = data[1:]
+        return data.decode("utf-8", "folioscope.bytes")
+
+
+class Pieces(Surfaces):
+    """A merge-type model, read from its file, that encodes."""
+
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
+        import ahocorasick
+
+        super().__init__(path)
+        self.id = {n: i for i, (n, k) in enumerate(zip(self.names, self.kind, strict=True)) if k == NORMAL}
         self._rules()
         self.length = {i: len(p) for p, i in self.usable.items()}
         self.shorter = {i: next((self.usable[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.usable), None) for p, i in self.usable.items()}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.usable.items():
-            self.automaton.add_word(p, (i, len(p) - 1))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.foreign = re.compile("[^" + "".join(map(re.escape, sorted({c for p in self.id for c in p}))) + "]+")
         # No piece has a space behind another character, so none goes over the end of a word.
@@ -99,15 +138,6 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
         self.words, self.lines = Memory(known_bytes), Memory(known_bytes // 4)
         self.line = self._part("\n")
-        #: What a piece adds to a decoded text.
-        self.surface = [n.replace(SPACE, " ").encode() for n in self.names]
-        for b, i in self.byte.items():
-            self.surface[i] = bytes([b])
-        for i in np.flatnonzero(self.kind == CONTROL):
-            self.surface[i] = b""
-        self.surface[self.unknown] = self.unknown_text.encode()
-        self.odd = {int(i) for i in np.flatnonzero((self.kind == CONTROL) | (self.kind == UNKNOWN))}
-
     def merged(self, text: str) -> list[str]:
         """The pieces that merging makes of a short text of known characters."""
         out, score = list(text), self.score.get
@@ -137,7 +167,7 @@ class Pieces:
         """The pieces that occur, the two that each was merged of, and all pairs that merge."""
         halves = {p: self._halves(p) for p in self.id if len(p) > 1}
         self.usable = {p: i for p, i in self.id.items() if len(p) == 1 or halves[p]}
-        size = len(self.names)
+        self.size = size = len(self.names)
         self.at, self.left, self.right = [float("inf")] * size, [0] * size, [0] * size
         for p, h in halves.items():
             if h:
@@ -172,35 +202,44 @@ class Pieces:
             else:
                 return True
 
+    def fits(self, a: int, b: int) -> bool:
+        """:meth:`compatible`, remembered for recent pairs."""
+        pairs, key = self.pairs, a * self.size + b
+        found = pairs.get(key)
+        if found is None:
+            found = self.compatible(a, b)
+            if len(pairs) >= PAIRS:
+                pairs.clear()
+            pairs[key] = found
+        return found
+
     def placed(self, text: str) -> list[int]:
         """The ids of a text of known characters, by backtracking."""
         whole = self.usable.get(text)
         if whole is not None:
             return [whole]
-        n = len(text)
-        longest = [0] * n
-        # A later end with the same start is a longer piece.
-        for end, (i, less) in self.automaton.iter(text):
-            longest[end - less] = i
-        failed = bytearray(n // 8 + 1)
+        # Longest pieces one behind the other, as far as they go together: nearly half of all words end here.
+        first, fits = self.automaton.iter_long, self.fits
         out: list[int] = []
-        length, shorter, pairs = self.length, self.shorter, self.pairs
-        at, last, piece = 0, -1, longest[0] if n else 0
+        last, at, n, length = -1, 0, len(text), self.length
+        for _, piece in first(text):
+            if last >= 0 and not fits(last, piece):
+                break
+            out.append(piece)
+            at += length[piece]
+            last = piece
+        else:
+            return out
+        failed = bytearray(n // 8 + 1)
+        shorter = self.shorter
         while at < n:
             end = at + length[piece]
-            if not failed[end >> 3] & 1 << (end & 7):
-                fits = pairs.get(last << 32 | piece) if out else True
-                if fits is None:
-                    fits = self.compatible(last, piece)
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    pairs[last << 32 | piece] = fits
-                if fits:
-                    out.append(piece)
-                    at, last = end, piece
-                    if at < n:
-                        piece = longest[at]
-                    continue
+            if not failed[end >> 3] & 1 << (end & 7) and (not out or fits(last, piece)):
+                out.append(piece)
+                at, last = end, piece
+                if at < n:
+                    piece = next(first(text, at))[1]
+                continue
             piece = shorter[piece]
             while piece is None:
                 # Nothing fits here behind what is before it.
@@ -257,42 +296,11 @@ class Pieces:
                     got[i] = self._word(words[i])
         return b"".join(got)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: what the library's own decoding gives, invalid bytes as U+FFFD each."""
-        while ids and self.kind[ids[-1]] == CONTROL:
-            ids = ids[:-1]
-        start = next((k for k, i in enumerate(ids) if self.kind[i] != CONTROL), 0)
-        if not self.odd.isdisjoint(ids[start:]):
-            return "".join(self._decoded(run, first) for run, first in self._runs(ids[start:]))
-        return self._decoded(ids[start:], True)
-
-    def _runs(self, ids: list[int]) -> Iterator[tuple[list[int], bool]]:
-        """Cut at control pieces and unknown ones: bytes on their two sides are apart."""
-        at = 0
-        for k, i in enumerate(ids):
-            if i in self.odd:
-                yield ids[at:k], at == 0
-                yield [i], False
-                at = k + 1
-        yield ids[at:], at == 0
-
-    def _decoded(self, ids: list[int], first: bool) -> str:
-        data = b"".join(map(self.surface.__getitem__, ids))
-        if first and ids and self.kind[ids[0]] == NORMAL and data[:1] == b" ":
-            data = data[1:]
-        return data.decode("utf-8", "folioscope.bytes")
-
 
 register_error("folioscope.bytes", lambda e: ("�", e.start + 1))
 
-_models: dict[str, Pieces] = {}
-
-
-def pieces(path: str) -> Pieces:
-    """The worker's own model of a file."""
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+pieces = lru_cache(2)(Pieces)
+surfaces = lru_cache(2)(Surfaces)
 
 
 def _encodes(path: str, end: bool, keep_text: bool):
@@ -326,7 +334,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 def _decodes(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        model = surfaces(path)
         for b in sliced(batches, 256, give_back=False):
             ids = b.column("ids")
             values, at = ids.flatten().to_pylist(), [0, *np.cumsum([x or 0 for x in ids.value_lengths().to_pylist()]).tolist()]
