@@ -299,8 +299,16 @@ class Pieces(Surfaces):
 
 register_error("folioscope.bytes", lambda e: ("�", e.start + 1))
 
-pieces = lru_cache(2)(Pieces)
-surfaces = lru_cache(2)(Surfaces)
+
+@lru_cache(2)
+def pieces(path: str) -> Pieces:
+    """The worker's own model of a file."""
+    return Pieces(path)
+
+
+@lru_cache(2)
+def surfaces(path: str) -> Surfaces:
+    return Surfaces(path)
 
 
 def _encodes(path: str, end: bool, keep_text: bool):
