@@ -35,16 +35,17 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
 
 
 def _bounds(ids: DataFrame, n: int) -> list[int]:
-    """Ascending keys that exist in ``ids (key)``, the greatest as the last one: of ``n`` ranges at most."""
+    """Ascending keys that exist in ``ids (key)``, the greatest as the last one: of ``n`` ranges at most.
+
+    Quantiles pass through doubles, so for great ids they need not exist; the
+    greatest key of each range between them does.
+    """
     inner = min(MOST_BOUNDS, n) - 1
     shares = [(i + 1) / (inner + 1) for i in range(inner)]
-    found = ids.agg(F.max("key").alias("most"), *([F.percentile_approx("key", shares, max(20_000, 4 * inner)).alias("some")] if shares else [])).first()
-    if found["most"] is None:
-        return []
-    some = sorted({int(x) for x in found["some"]} - {found["most"]}) if shares else []
-    # Quantiles pass through doubles, so a great id may come back as one that is not there.
-    there = [r["key"] for r in ids.where(F.array_contains(_array(some), F.col("key"))).distinct().collect()] if some else []
-    return [*sorted(there), found["most"]]
+    found = ids.agg(F.percentile_approx("key", shares, max(20_000, 4 * inner)).alias("some")).first()["some"] if shares else None
+    # At most MOST_BOUNDS rows, one for each range.
+    part = _range_of(F.col("key"), sorted({int(x) + 1 for x in found or [] if int(x) < (1 << 63) - 1}))
+    return sorted(r["most"] for r in ids.groupBy(part.alias("part")).agg(F.max("key").alias("most")).collect())
 
 
 def with_next(df: DataFrame, id_col: str, order: list[str], bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -8,7 +8,9 @@ meets, over any number of steps, is a candidate group, and in it resemblance is
 computed from the whole sets, so nothing below the threshold is linked. All
 steps work on distinct sets, so copies count once, and under a key each set is
 linked to one other, never all pairs. A large group is compared block by block,
-so a task holds two blocks of its texts.
+so a task holds two blocks of its texts, which are blocks of shingles, not of
+texts. Inside, only sets that share one of their first shingles in the order of
+rarity can reach the threshold, so the work follows the pairs that do.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import Scratch, hashes, hot_join, keyed, majority, mixed, release,
 from .components import components
 
 BANDS, ROWS = 32, 5
-#: Distinct texts of a candidate group in a block.
-BLOCK = 2048
+#: Shingles of a candidate group's distinct texts in a block; one text may have more.
+BLOCK = 1 << 21
+#: Least resemblance that the bands are made for.
+LEAST = 0.8
 #: Of the table that says which rows' texts are needed.
 BITS = 23
 _UPPER = bytes(range(65, 91))
@@ -51,7 +55,7 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key
 
 
-_MARKED = "id long, tie long, fp long, bits long, keys array<long>"
+_MARKED = "id long, tie long, fp long, bits long, size long, keys array<long>"
 
 
 def _marked(shingle: int):
@@ -66,8 +70,8 @@ def _marked(shingle: int):
             keys = [band_keys(s) if len(s) and first[f] == i else np.zeros(0, np.uint64) for i, (s, f) in enumerate(zip(sets, fp, strict=True))]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
-            columns = [b.column("id"), b.column("tie"), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, bits)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "fp", "bits", "keys"])
+            columns = [b.column("id"), b.column("tie"), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, bits)], pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "fp", "bits", "size", "keys"])
 
     return run
 
@@ -89,32 +93,54 @@ def _marks(df: DataFrame, rows: DataFrame) -> DataFrame:
 def alike(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """For each set the first position that it reaches over links of at least ``threshold``.
 
-    Each member that is reached is compared with those not yet reached only.
+    Of two sets that are linked, those shingles that are rarest overall say so: all but
+    the last ``threshold`` of each set, in one order for all, have one in common.
+    Sets meet under these, and a set is compared with a group only until one of it is linked.
     """
     size = np.array([len(s) for s in sets])
-    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(size)
-    owner = np.repeat(np.arange(len(sets)), size)
-    root, mark = np.full(len(sets), -1), np.zeros(len(element) + 1, bool)
-    left, rest = element, owner
-    for first in range(len(sets)):
-        if root[first] >= 0:
-            continue
-        root[first] = first
-        queue = [first]
-        left, rest = left[(keep := rest != first)], rest[keep]
-        while queue and len(rest):
-            at = queue.pop()
-            own = element[ends[at] - size[at] : ends[at]]
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64) if len(sets) else np.zeros(0, np.int64)
+    counts = np.bincount(element)
+    # Numbers in the order of rarity; those of one set alone meet nothing.
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    alone = int((counts == 1).sum())
+    root = np.arange(len(sets))
+    mark = np.zeros(len(counts), bool)
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return int(i)
+
+    under: dict[int, dict[int, list[int]]] = {}
+    for i in range(len(sets)):
+        own = element[ends[i] - size[i] : ends[i]]
+        n = int(size[i] - np.ceil(threshold * size[i] - 1e-9)) + 1
+        first = np.sort(place[own])[:n]
+        first = first[first >= alone].tolist()
+        if first:
             mark[own] = True
-            near, shared = np.unique(rest[mark[left]], return_counts=True)
+            tried: set[int] = set()
+            for e in first:
+                for group, members in under.get(e, {}).items():
+                    if top(group) == top(i):
+                        continue
+                    for j in members:
+                        if j in tried or min(size[i], size[j]) < threshold * max(size[i], size[j]) - 1e-9:
+                            continue
+                        tried.add(j)
+                        shared = int(np.count_nonzero(mark[element[ends[j] - size[j] : ends[j]]]))
+                        if shared / (size[i] + size[j] - shared) >= threshold:
+                            a, b = sorted((top(i), top(j)))
+                            root[b] = a
+                            break
             mark[own] = False
-            found = near[shared / (size[at] + size[near] - shared) >= threshold]
-            if len(found):
-                root[found] = first
-                queue += found.tolist()
-                left, rest = left[(keep := root[rest] < 0)], rest[keep]
-    return root
+            at = top(i)
+            for e in first:
+                under.setdefault(e, {}).setdefault(at, []).append(i)
+    return np.array([top(i) for i in range(len(sets))], np.int64)
 
 
 def _verified(shingle: int, threshold: float):
@@ -161,10 +187,10 @@ def only(slim: DataFrame, own: DataFrame, best: DataFrame, columns: list[str], i
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
     """``members`` with ``pairs``: which pairs of blocks of its group a set is compared in."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    counted = sizes.withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    counted = sizes.select("component", "n", F.least(F.col("n"), F.ceil(F.col("shingles") / block)).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    return hot_join(members, counted, "component").withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: F.struct(F.least(own, y).alias("a"), F.greatest(own, y).alias("b")))).drop("k")
+    return hot_join(members, counted, "component").withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: F.struct(F.least(own, y).alias("a"), F.greatest(own, y).alias("b")))).drop("k", "size")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, search: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
@@ -175,13 +201,17 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hash of all its columns; rows decide, so an id that has several texts keeps
     those that are in groups of their own. Null texts count as empty, and texts
     without words are one group; texts of any length are read whole. The bands
-    are made for thresholds from 0.8 on. An empty table stays empty.
+    are made for thresholds from 0.8 on; a lower one is refused. An empty table
+    stays empty. ``block``: shingles of a group that are compared with those of
+    another block in one task.
     """
+    if not LEAST <= threshold <= 1:
+        raise ValueError(f"the threshold must be from {LEAST} to 1")
     scratch = Scratch(docs.sparkSession)
     slim, others = slim_of(docs, id_col, text_col)
     own = scratch.written(slim.select("id", "text", "tie").mapInArrow(_marked(shingle), _MARKED), "shingles")
     # A row for each distinct set: it is named by its least row, of which the text is read.
-    sets = scratch.written(own.groupBy("fp").agg(least_row(), F.min("bits").alias("bits")), "sets")
+    sets = scratch.written(own.groupBy("fp").agg(least_row(), F.min("bits").alias("bits"), F.min("size").alias("size")), "sets")
     keys = own.select("fp", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most"), F.count("*").alias("n")).where("v < most").select("key", "v", "n")
     met = hot_join(keys, least, "key").select(F.col("fp").alias("u"), "v")
@@ -193,7 +223,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         end = lambda c, name: prints.select(F.col("bits").alias(c), F.col("v").alias(name))
         met = met.union(equal).union(near.join(end("x", "u"), "x").join(end("y", "v"), "y").select("u", "v"))
     met = components(met.where("u <> v"), scratch=scratch)
-    members = scratch.written(sets.join(met.select(F.col("node").alias("fp"), "component"), "fp").select("fp", "component", F.col("best.id").alias("i"), F.col("best.tie").alias("tie")), "members")
+    members = scratch.written(sets.join(met.select(F.col("node").alias("fp"), "component"), "fp").select("fp", "component", "size", F.col("best.id").alias("i"), F.col("best.tie").alias("tie")), "members")
     members = scratch.written(_blocks(members, block), "blocks")
     asked = _marks(slim, members).where("maybe").select("id", "tie", "text")
     bodies = asked.join(members, _same(asked, members)).select("component", "fp", "pairs", "text").dropDuplicates(["component", "fp"])

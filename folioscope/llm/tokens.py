@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from functools import cached_property
 from itertools import chain, compress, repeat
 from operator import is_
@@ -19,6 +20,9 @@ import numpy as np
 
 #: Parts of a generation; a worker remembers the latest and the one before.
 KNOWN = 400_000
+#: Bytes of a generation, whatever its parts are, and the longest part that is remembered at all.
+KNOWN_BYTES = 160 << 20
+LONGEST = 64
 #: Characters of texts that are encoded at once.
 BLOCK = 1 << 17
 
@@ -52,7 +56,7 @@ class Encoder:
         self.lines: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
-        self.limit = known
+        self.limit, self.size = known, 0
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         # Byte-level tokens spell a space and a line break with these letters.
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
@@ -101,44 +105,54 @@ class Encoder:
         got = list(map(self.known.get, every))
         gaps = list(compress(range(len(got)), map(is_, got, repeat(None))))
         if gaps:
-            self._learn({every[i] for i in gaps})
-            known = self.known
+            found = self._learn({every[i] for i in gaps})
             for i in gaps:
-                got[i] = known[every[i]]
+                got[i] = found[every[i]]
         first, out, at = self.first, [], 0
         for text, start, rest in zip(texts, starts, parts, strict=True):
-            if start not in first:
-                if len(first) > 50_000:
-                    first.clear()
-                first[start] = self._whole([start])[0] if start else b""
+            head = first.get(start)
+            if head is None:
+                head = self._whole([start])[0] if start else b""
+                if len(start) <= LONGEST:
+                    if len(first) > 50_000:
+                        first.clear()
+                    first[start] = head
             end = at + len(rest)
             try:
-                out.append(first[start] + b"".join(got[at:end]))
+                out.append(head + b"".join(got[at:end]))
             except TypeError:  # a part that starts with white space, or an empty one
                 out.append(self._whole([text])[0])
             at = end
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of parts that are not known; of an older generation if it has them, else encoded together."""
-        if len(self.known) + len(new) > self.limit:
-            self.older, self.known = self.known, {}
+    def _learn(self, new: set[str]) -> dict[str, bytes | bool]:
+        """Ids of parts that are not known; of an older generation if it has them, else encoded together. Long parts are not remembered."""
+        if len(self.known) + len(new) > self.limit or self.size > KNOWN_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
             self.lines.clear()
         kept = new & self.older.keys()
-        self.known |= zip(kept, map(self.older.__getitem__, kept), strict=True)
+        out = dict(zip(kept, map(self.older.__getitem__, kept), strict=True))
         rest = new - kept
         # A line break before other than white space is a piece, and so starts another one.
         lines = {p: p.split("\n") for p in rest if "\n" in p and _LINES.fullmatch(p)}
+        behind: dict[str, bytes | bool] = {}
         if lines:
             rest.difference_update(lines)
             rest.update(x[0] for x in lines.values() if x[0] not in self.known)
-            self._learn_words(self.lines, {y for x in lines.values() for y in x[1:]}.difference(self.lines), "\n")
-        self._learn_words(self.known, rest, " ")
+            self._learn_words(behind, {y for x in lines.values() for y in x[1:]}.difference(self.lines), "\n", self.lines)
+        self._learn_words(out, rest, " ", self.known)
         for p, x in lines.items():
-            self.known[p] = self.known[x[0]] + b"".join(map(self.lines.__getitem__, x[1:]))
+            head = out[x[0]] if x[0] in out else self.known[x[0]]
+            out[p] = head + b"".join(behind[y] if y in behind else self.lines[y] for y in x[1:])
+        for known, more in ((self.known, out), (self.lines, behind)):
+            some = {p: ids for p, ids in more.items() if len(p) <= LONGEST}
+            # 120 bytes are more than an entry takes in a dictionary that grows.
+            self.size += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, some.values())) + 120 * len(some)
+            known |= some
+        return out
 
-    def _learn_words(self, known: dict[str, bytes | bool], parts: set[str], before: str) -> None:
-        """Add to ``known`` the ids of parts, which it has not, with ``before`` in front of them."""
+    def _learn_words(self, known: dict[str, bytes | bool], parts: set[str], before: str, have: dict[str, bytes | bool]) -> None:
+        """Add to ``known`` the ids of parts with ``before`` in front of them; ``have`` are those of other parts."""
         good, ascii_, split = [], [], []
         for p in parts:
             if p.isalpha():
@@ -152,20 +166,20 @@ class Encoder:
             else:
                 good.append(p)
         # A word that is known or learned now needs its marks only.
-        for w in {w for _, w, _ in split if w not in known and w not in parts}:
+        for w in {w for _, w, _ in split if w not in known and w not in have and w not in parts}:
             (ascii_ if w.isascii() else good).append(w)
         for words, spelt in ((good, False), (ascii_, before == " ")):
             for at in range(0, len(words), 16 * ROW):
                 some = words[at : at + 16 * ROW]
                 known |= zip(some, self._together(some, before, spelt), strict=True)
         for p, w, marks in split:
-            known[p] = known[w] + self._marks(marks)
+            known[p] = (known[w] if w in known else have[w]) + self._marks(marks)
 
     def _marks(self, marks: str) -> bytes:
         found = self.marks.get(marks)
         if found is None:
             found = self._whole([marks])[0]
-            if len(self.marks) < 10_000:
+            if len(self.marks) < 10_000 and len(marks) <= LONGEST:
                 self.marks[marks] = found
         return found
 
