@@ -1,43 +1,58 @@
 """DuckDB SQL for the operators that SQL can express, over whole tables."""
 
+
+
+def _resolved(links: str, name: str) -> str:
+    """CTEs that end in ``name``: ``links (source, onto, t)`` with ``url``, the target t of a link as an absolute address, resolved against onto; null if it is none."""
+    return rf"""{name}_parts AS (
+  SELECT *, trim(replace(t, '&amp;', '&')) AS tt, regexp_extract(onto, '^([^:/?#]*)://', 1) AS scheme, regexp_extract(onto, '^([^:/?#]*://[^/?#]*)', 1) AS site,
+         regexp_extract(onto, '://[^/?#]*([^?#]*)', 1) AS path
+  FROM {links}
+),
+{name}_whole AS (
+  SELECT source, onto, t, CASE WHEN regexp_matches(tt, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN tt
+    WHEN tt = '' OR tt[1] = '#' OR regexp_matches(tt, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
+    WHEN starts_with(tt, '//') THEN scheme || ':' || tt
+    WHEN tt[1] = '/' THEN site || tt
+    WHEN tt[1] = '?' THEN site || path || tt
+    ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || tt END AS whole
+  FROM {name}_parts
+),
+{name}_cut AS (
+  SELECT source, onto, t, regexp_extract(whole, '^([^:/?#]*://[^/?#]*)', 1) AS site, regexp_extract(whole, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(whole, '^[^?#]*(.*)$', 1) AS tail,
+         list_transform(string_split(regexp_extract(whole, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: [x]) AS names
+  FROM {name}_whole WHERE whole IS NOT NULL
+),
+{name} AS (
+  SELECT source, onto, t, site || CASE WHEN NOT regexp_matches(path, '/\.\.?(/|$)') THEN path
+    ELSE array_to_string(list_reduce(names, lambda a, x: CASE x[1] WHEN '..' THEN a[1:greatest(1, len(a) - 1)] WHEN '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])), '/')
+      || CASE WHEN names[-1][1] IN ('.', '..') THEN '/' ELSE '' END END || tail AS url
+  FROM {name}_cut
+)"""
+
+
 OP1 = r"""
 WITH RECURSIVE rules(rule, verdict) AS (
   VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')
 ),
 split AS (SELECT rule, verdict, left(rule, strpos(rule, '/') - 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path FROM rules),
 linked AS (
-  SELECT url AS source, regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS links,
-         regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS metas
-  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
+  SELECT url AS source, coalesce(regexp_extract(html, '(?i)<base\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '') AS base,
+    list_filter(regexp_extract_all(html, '(?i)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?i)[\s"''/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])')) AS links,
+    regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS metas
+  FROM (SELECT url, regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g') AS html FROM pages) WHERE url IS NOT NULL AND html IS NOT NULL
 ),
-raw AS (
-  SELECT source, trim(replace(t, '&amp;', '&')) AS t, regexp_extract(source, '^([^:/?#]*)://', 1) AS scheme, regexp_extract(source, '^([^:/?#]*://[^/?#]*)', 1) AS site,
-         regexp_extract(source, '://[^/?#]*([^?#]*)', 1) AS path
+bases AS (SELECT DISTINCT source, source AS onto, base AS t FROM linked WHERE base <> ''),
+""" + _resolved("bases", "based") + r""",
+aimed AS (
+  SELECT x.source, coalesce(b.url, x.source) AS onto, x.t
   FROM (
-    SELECT source, regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM (SELECT source, unnest(links) AS x FROM linked)
-    UNION ALL SELECT source, regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT source, unnest(metas) AS x FROM linked))
-  WHERE t <> ''
-),
-whole AS (
-  SELECT source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
-    WHEN t = '' OR t[1] = '#' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR site = '' THEN NULL
-    WHEN starts_with(t, '//') THEN scheme || ':' || t
-    WHEN t[1] = '/' THEN site || t
-    WHEN t[1] = '?' THEN site || path || t
-    ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || t END AS url
-  FROM raw
-),
-cut AS (
-  SELECT source, regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) AS site, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(.*)$', 1) AS tail,
-         list_transform(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: [x]) AS names
-  FROM whole WHERE url IS NOT NULL
-),
-targets AS (
-  SELECT source, site || CASE WHEN NOT regexp_matches(path, '/\.\.?(/|$)') THEN path
-    ELSE array_to_string(list_reduce(names, lambda a, x: CASE x[1] WHEN '..' THEN a[1:greatest(1, len(a) - 1)] WHEN '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])), '/')
-      || CASE WHEN names[-1][1] IN ('.', '..') THEN '/' ELSE '' END END || tail AS url
-  FROM cut
+    SELECT source, base, regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM (SELECT source, base, unnest(links) AS x FROM linked)
+    UNION ALL SELECT source, base, regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT source, base, unnest(metas) AS x FROM linked)) x
+  LEFT JOIN based b ON b.source = x.source AND b.t = x.base
+  WHERE x.t <> ''
 ),
+""" + _resolved("aimed", "targets") + r""",
 urls AS (SELECT page_id, url, CAST(NULL AS VARCHAR) AS source FROM pages UNION ALL SELECT NULL, url, source FROM targets WHERE url IS NOT NULL),
 parts AS (
   SELECT page_id, source, url,

@@ -121,14 +121,28 @@ def _absolute(target: Column, url: Column) -> Column:
     return F.concat(F.regexp_extract(full, r"^([^:/?#]*://[^/?#]*)", 1), _plain_path(path_of(full)), F.regexp_extract(full, r"^[^?#]*(.*)$", 1))
 
 
+#: Tags and attributes of links; a rel attribute has any number of tokens in any order.
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_LINK, _BASE = r"(?i)<link\b[^>]*>", r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_CANONICAL = r"(?i)[\s\"'/]rel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"
+_REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``source, target`` URLs of all canonical links and refresh redirects in the pages."""
-    html, url = F.col(html_col), F.col(url_col)
-    tags = lambda pattern: F.coalesce(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
-    links = F.transform(tags(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    metas = F.transform(tags(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = pages.select(url.alias("source"), F.explode(F.filter(F.concat(links, metas), lambda t: t != "")).alias("t"))
-    return found.select("source", _absolute(F.col("t"), F.col("source")).alias("target")).where("source is not null and target is not null")
+    """``source, target`` URLs of all canonical links and refresh redirects in the pages.
+
+    Targets are resolved against the page's ``<base href>``, itself resolved
+    against the page's url; comments, also one that does not end, have no links.
+    """
+    page = F.col(html_col)
+    html = F.when(F.instr(page, "<!--") > 0, F.regexp_replace(page, _COMMENT, "")).otherwise(page)
+    tags = lambda pattern: F.coalesce(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    links = F.transform(F.filter(tags(_LINK), lambda x: x.rlike(_CANONICAL)), lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    metas = F.transform(tags(_REFRESH), lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    rows = pages.select(F.col(url_col).alias("source"), html.alias("html")).where("source is not null and html is not null")
+    found = rows.select("source", F.regexp_extract("html", _BASE, 1).alias("base"), F.filter(F.concat(links, metas), lambda t: t != "").alias("t")).where("size(t) > 0")
+    found = found.select("source", F.coalesce(_absolute(F.col("base"), F.col("source")), "source").alias("base"), F.explode("t").alias("t"))
+    return found.select("source", _absolute(F.col("t"), F.col("base")).alias("target")).where("target is not null")
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
