@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions import text as t
+from ..functions.language import Profiles, language, learned
 from ..functions.vector import checked
 from ..plans import schemas
 from ..sources.documents import Extractor, extract_pages, load, named, root_of
@@ -41,6 +42,12 @@ class Store:
     def vectors(self) -> VectorIndex:
         return VectorIndex(self.spark, self.path("vector_index"))
 
+    @property
+    def languages(self) -> Profiles:
+        """Profiles that were learned (:func:`learn_languages`); none at first."""
+        path = self.path("_languages")
+        return Profiles.of_rows(self.spark.read.parquet(path).collect() if self._exists(path) else [])
+
     @property
     def words(self) -> LexicalIndex:
         return LexicalIndex(self.spark, self.path("word_index"))
@@ -131,6 +138,12 @@ def _extracted(paths: DataFrame, store: Store, extractor: Extractor, staging: st
         put(group, mode) if group else store.spark.createDataFrame([], "path string, page_number int, text string, error string").write.mode(mode).parquet(staging)
 
 
+def learn_languages(store: Store, docs: DataFrame, text_col: str = "text", code_col: str = "lang") -> None:
+    """Learn the languages that ingest tells apart from labelled texts; chunks taken in from now on have a code."""
+    rows = learned(docs, text_col, code_col).as_rows()
+    store.spark.createDataFrame(rows, "code string, weights array<long>").coalesce(1).write.mode("overwrite").parquet(store.path("_languages"))
+
+
 #: The vectors are indexed anew when there are so many times the rows of the last time.
 GROWTH = 4
 
@@ -146,6 +159,24 @@ def refit(store: Store) -> None:
         store.vectors.fit(store.all("chunk_index").join(store.committed(), "batch", "left_semi"))
 
 
+def numbered_books(judged: DataFrame, books: int, chunks: int, path: str) -> DataFrame:
+    """Registry rows of ``judged (path, n_chunks)``: ids behind ``books`` in the order of paths, attributes by the file's name, and ``first``, the number of chunks before.
+
+    ``path`` is a folder for the ranges that are numbered (:func:`chunking.with_running`).
+    """
+    good = with_running(judged.select("path", "n_chunks"), "path", {"books": F.lit(1), "first": F.col("n_chunks")}, path)
+    good = good.withColumns({"id": F.col("books") + 1 + F.lit(books), "first": F.col("first") + F.lit(chunks)})
+    return good.withColumn("meta", t.file_metadata(F.col("path"))).select("id", "meta.*", F.col("path").alias("file_path"), "first")
+
+
+def book_chunks(cut: DataFrame, books: DataFrame, book_col: str = "path") -> DataFrame:
+    """Chunks with their book's attributes, their ids over all books, and the names of their documents."""
+    own = books.select(F.col("id").alias("book_id"), "title", "author", "department", "file_path", "first")
+    rows = cut.join(own, cut[book_col] == own["file_path"])
+    doc_id = t.document_id(F.col("book_id"), F.col("chunk_index"))
+    return rows.select("book_id", "title", "author", "department", "file_path", "page_number", "chunk_index", "chunk_text", (F.col("first") + F.col("chunk_index") + 1).alias("id"), doc_id.alias("doc_id"))
+
+
 def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embedder, batch: str, batch_number: int | None = None) -> Report:
     """Take the new ones of ``files (path)`` in; what fails goes to ``ingest_errors``."""
     s, spark = store.settings, store.spark
@@ -162,18 +193,16 @@ def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embed
     failed = judged.where("n_chunks is null").join(earlier, "path", "left")
     store.put("ingest_errors", batch, failed.select(F.col("path").alias("file_path"), F.coalesce("error", F.lit("no text")).alias("message"), (F.coalesce("before", F.lit(0)) + 1).alias("attempt"), F.lit(batch_number).alias("batch_id"), F.current_timestamp().alias("failed_at")))
 
-    good = with_running(judged.where("n_chunks is not null"), "path", {"books": F.lit(1), "first": F.col("n_chunks")}, f"{staging}-books")
-    good = good.withColumns({"id": F.col("books") + 1 + F.lit(store.highest("books", "id", batch)), "first": F.col("first") + F.lit(store.highest("chunks", "id", batch))})
-    meta = t.file_metadata(F.col("path"))
-    books = good.withColumn("meta", meta).select("id", "meta.*", F.col("path").alias("file_path"), F.lit(None).cast("string").alias("language_code"), F.current_timestamp().alias("created_at"), "first")
-
-    own = books.select(F.col("id").alias("book_id"), "title", "author", "department", "file_path", "first")
-    rows = cut.join(own, cut["path"] == own["file_path"]).select("book_id", "title", "author", "department", "file_path", "page_number", "chunk_index", "chunk_text", (F.col("first") + F.col("chunk_index") + 1).alias("id"))
-    none = F.lit(None).cast("string")
-    doc_id = t.document_id(F.col("book_id"), F.col("chunk_index"))
+    good = judged.where("n_chunks is not null")
+    books = numbered_books(good, store.highest("books", "id", batch), store.highest("chunks", "id", batch), f"{staging}-books")
+    rows = book_chunks(cut, books).withColumn("language_code", language(F.col("chunk_text"), store.languages))
     index = embedded(rows.withColumnRenamed("chunk_text", "text"), embedder).withColumn("embedding", checked(F.col("embedding"), s.dimension))
-    store.put("chunk_index", batch, index.select(doc_id.alias("doc_id"), "book_id", F.col("id").alias("chunk_id"), "chunk_index", "page_number", "title", "author", "department", none.alias("language_code"), "file_path", "text", "embedding"))
-    store.put("chunks", batch, rows.select("id", "book_id", "chunk_index", "page_number", "chunk_text", none.alias("language_code"), doc_id.alias("es_doc_id"), F.current_timestamp().alias("created_at")))
+    store.put("chunk_index", batch, index.withColumnRenamed("id", "chunk_id"))
+    store.put("chunks", batch, rows.select("*", F.col("doc_id").alias("es_doc_id"), F.current_timestamp().alias("created_at")))
+    # A book's language is that of most of its chunks.
+    said = store.all("chunks").where((F.col("batch") == batch) & F.col("language_code").isNotNull()).groupBy("book_id", "language_code").agg(F.count("*").alias("n"))
+    codes = said.groupBy(F.col("book_id").alias("id")).agg(F.min_by("language_code", F.struct(-F.col("n"), "language_code")).alias("language_code"))
+    books = books.join(codes, "id", "left").withColumn("created_at", F.current_timestamp())
     of = lambda name: store.all(name).where(F.col("batch") == batch).count()
     n_chunks, n_index = of("chunks"), of("chunk_index")
     if n_chunks != n_index:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vector import checked, dot, norm, score
+from ..sources.tables import scratch_path
 
 #: Queries of a batch that go to all tasks together.
 QUERY_BLOCK = 512
@@ -25,17 +26,25 @@ def cosine(a: Column, b: Column, unit: bool) -> Column:
     return dot(a, b) if unit else dot(a, b) / (norm(a) * norm(b))
 
 
-def top_k(index: DataFrame, vector: Sequence[float], k: int, id_cols: Sequence[str], vector_col: str = "embedding", unit: bool = True) -> DataFrame:
+def top_k(index: DataFrame, vector: Sequence[float], k: int, id_cols: Sequence[str], vector_col: str = "embedding", unit: bool = True, after: tuple | None = None) -> DataFrame:
     """The ``k`` nearest rows, with ``rank`` (from 1) and ``retrieval_score``.
 
     The vector is a literal of the plan; each task keeps its best ``k``, and
-    the k rows alone are ordered and numbered.
+    the k rows alone are ordered and numbered. ``after``: score and ids of the
+    last row of a page; only rows behind it count, so a later page does not
+    keep those before. Ranks start anew on each page.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     query = F.array(*[F.lit(float(x)) for x in vector])
     near = score(cosine(checked(F.col(vector_col), len(vector)), query, unit))
-    best = index.withColumn("retrieval_score", near).orderBy(F.desc("retrieval_score"), *id_cols).limit(k)
+    scored = index.withColumn("retrieval_score", near)
+    if after is not None:
+        behind, same = F.col("retrieval_score") < after[0], F.col("retrieval_score") == after[0]
+        for c, x in zip(id_cols, after[1:], strict=True):
+            behind, same = behind | same & (F.col(c) > x), same & (F.col(c) == x)
+        scored = scored.where(behind)
+    best = scored.orderBy(F.desc("retrieval_score"), *id_cols).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("retrieval_score"), *id_cols)))
 
 
@@ -85,9 +94,10 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, id_cols: Sequence[
     """For each row of ``queries (query_id, query_vector)`` its ``k`` nearest rows of ``index``: ``query_id``, the ``id_cols``, ``retrieval_score`` and ``rank``.
 
     Every query looks at all rows: that is what exact search means. Queries are
-    taken in blocks of ``block`` vectors, the bound of what goes to the tasks; a
-    block meets each Arrow batch of the index in one matrix product, and each task
-    hands on the k best of a query before the exchange by query. ``lists`` gives
+    taken in blocks of ``block`` vectors, the bound of what the driver holds and of
+    what goes to the tasks; a block meets each Arrow batch of the index in one matrix
+    product, and each task hands on the k best of a query before the exchange by
+    query. With more than one block, what each hands on is written. ``lists`` gives
     the lists that queries read, of an index with ``list`` (:mod:`ann`).
     """
     if k < 1:
@@ -96,23 +106,39 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, id_cols: Sequence[
     slim = index.select(*id_cols, F.col(vector_col).alias("v"), *(["list"] if lists else []))
     fields = [numbered.schema["_q"], *[index.schema[c] for c in id_cols], T.StructField("retrieval_score", T.DoubleType())]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
-    blocks = max(1, -(-numbered.count() // block))
-    wide = None
-    for i in range(blocks):
-        some = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i)
-        asked = some.collect()
-        sizes = {len(r["_v"]) for r in asked}
-        if len(sizes) > 1:
+    wide, asked = None, []
+
+    def scored() -> DataFrame:
+        if len({len(r["_v"]) for r in asked}) > 1:
             raise ValueError("queries differ in dimension")
-        if not asked:
-            continue
         vectors = np.array([r["_v"] for r in asked], np.float64)
         if not unit:
             vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         read = lists(vectors) if lists else None
         some = slim if read is None else slim.where(F.col("list").isin(np.unique(read).tolist()))
-        scored = some.mapInArrow(_products(vectors, [r["_q"] for r in asked], k, unit, read), schema)
-        wide = scored if wide is None else wide.unionByName(scored)
+        return some.mapInArrow(_products(vectors, [r["_q"] for r in asked], k, unit, read), schema)
+
+    def put() -> None:
+        """Results of a block: written when more than one block has to come, so that a plan holds one block of queries."""
+        nonlocal wide, asked
+        found = scored()
+        if path is None:
+            wide = found
+        else:
+            found.write.mode("append").parquet(path)
+        asked = []
+
+    # The driver holds one block of queries at a time, partition by partition.
+    path = None
+    for r in numbered.toLocalIterator():
+        if len(asked) == block:
+            path = path or scratch_path(index.sparkSession, "nearest")
+            put()
+        asked.append(r)
+    if asked:
+        put()
+    if path is not None:
+        wide = index.sparkSession.read.schema(schema).parquet(path)
     if wide is None:
         wide = index.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("_q").orderBy(F.desc("retrieval_score"), *id_cols)

@@ -138,6 +138,35 @@ def oracle_sql() -> dict[str, str]:
               FROM near n FULL JOIN said s USING (doc_id, pos)),
             placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, pos) AS rank FROM fused)
             SELECT doc_id, pos, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, vector_rank, word_rank FROM placed WHERE rank <= {K}""",
+        "highlights": f"""
+            WITH {_CHUNKS},
+            pieces AS (SELECT doc_id, pos, unnest(regexp_extract_all(chunk_text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS x, generate_subscripts(regexp_extract_all(chunk_text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), 1) AS i FROM chunks),
+            placed AS (SELECT *, CAST(sum(length(x)) OVER (PARTITION BY doc_id, pos ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM pieces),
+            found AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY i) AS k FROM placed WHERE list_contains(string_split(lower('{WORDS}'), ' '), lower(x)))
+            SELECT doc_id, pos, count(*) AS n, string_agg((e - length(x)) || '-' || e, ' ' ORDER BY k) FILTER (WHERE k <= 5) AS places FROM found GROUP BY doc_id, pos""",
+        "facets": f"""
+            WITH {_CHUNKS}, {_BM25},
+            found AS (SELECT d.lang, d.source FROM said JOIN documents d USING (doc_id))
+            SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM found GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM found GROUP BY source
+            UNION ALL SELECT 'lang|source', lang || '|' || source, count(*) FROM found GROUP BY lang, source""",
+        "vector_pages": f"""
+            WITH best AS (SELECT vec_id, (1 + {_dot("e.embedding", "q.embedding")}) / 2 AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+            ranked AS (SELECT *, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS r FROM best)
+            SELECT CAST(r // {K} AS INTEGER) AS page, CAST(r % {K} + 1 AS INTEGER) AS rank, vec_id, round(s, 6) AS score FROM ranked WHERE r >= {K} AND r < 3 * {K}""",
+        "language_codes": """
+            WITH plain AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}]+', ' ', 'g')) || ' ' AS x FROM documents),
+            letters AS (SELECT doc_id, lang, unnest(list_transform(string_split(x, ''), lambda c: unicode(c))) AS a, generate_subscripts(string_split(x, ''), 1) AS i FROM plain),
+            runs AS (SELECT doc_id, lang, a * 961 + lead(a) OVER w * 31 + lead(a, 2) OVER w AS b FROM letters WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+            placed AS (SELECT doc_id, lang, b % 4096 AS b FROM runs WHERE b IS NOT NULL),
+            counts AS (SELECT lang, b, count(*) AS n FROM placed WHERE doc_id % 4 <> 2 AND lang IS NOT NULL GROUP BY lang, b),
+            sizes AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+            weights AS (
+              SELECT s.lang AS code, k.b, floor(1000 * ln((coalesce(c.n, 0) + 1)::DOUBLE / (s.total + 4096)::DOUBLE)) AS w
+              FROM sizes s CROSS JOIN (SELECT unnest(range(4096)) AS b) k LEFT JOIN counts c ON c.lang = s.lang AND c.b = k.b),
+            own AS (SELECT doc_id, b, count(*) AS n FROM placed GROUP BY doc_id, b),
+            scores AS (SELECT doc_id, code, sum(n * w) AS score FROM own JOIN weights USING (b) GROUP BY doc_id, code),
+            best AS (SELECT doc_id, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS k FROM scores) WHERE k = 1)
+            SELECT d.doc_id, b.code AS language_code, d.doc_id % 4 = 2 AS held_out FROM documents d LEFT JOIN best b USING (doc_id)""",
         "books_registry": """
             SELECT row_number() OVER (ORDER BY path) AS id, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS title, source AS author, CAST(1990 AS BIGINT) AS publication_year, path AS file_path
             FROM (SELECT doc_id, source, './d/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || ' - ' || source || ' - 1990.pdf' AS path FROM documents)
@@ -145,9 +174,10 @@ def oracle_sql() -> dict[str, str]:
         "index_rows": f"""
             WITH p AS (SELECT conv_id, turn, {_words("replace(text, chr(0), '')")} AS w FROM conversations),
             cut AS (SELECT conv_id, turn, w, unnest(range(0, len(w), {_PAGE_STEP})) AS i FROM p),
-            rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS n, row_number() OVER (ORDER BY conv_id, turn, i) AS chunk_id FROM cut)
-            SELECT 'book-' || conv_id || '-chunk-' || n AS es_doc_id, conv_id AS book_id, chunk_id, n AS chunk_index, CAST(turn AS BIGINT) AS page_number, 'Talk' AS title,
-              CAST(conv_id AS VARCHAR) AS author, array_to_string(w[i + 1:i + {PAGE_SIZE}], ' ') AS text FROM rows_""",
+            rows_ AS (
+              SELECT *, dense_rank() OVER (ORDER BY conv_id) AS book_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS n, row_number() OVER (ORDER BY conv_id, turn, i) AS chunk_id FROM cut)
+            SELECT 'book-' || book_id || '-chunk-' || n AS es_doc_id, book_id, chunk_id, n AS chunk_index, CAST(turn AS BIGINT) AS page_number, 'Talk' AS title,
+              lpad(CAST(conv_id AS VARCHAR), 12, '0') AS author, array_to_string(w[i + 1:i + {PAGE_SIZE}], ' ') AS text FROM rows_""",
         "normalize_vectors": f"""
             WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt({_dot("embedding", "embedding")}) AS n FROM embeddings),
             u AS (SELECT vec_id, n, list_transform(v, lambda x: x / n) AS u FROM n)

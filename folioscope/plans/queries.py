@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answer as a
+from ..functions import language as lang
 from ..functions import text as t
 from ..functions import vector as v
-from ..operators import chunking, fusion, models, retrieval
+from ..operators import chunking, fusion, ingest, models, retrieval
 from ..operators.lexical import LexicalIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.documents import paths_with_suffix
@@ -73,9 +74,18 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.top_k(_index(spark, sf_dir), _vector_of(spark, sf_dir, 0), K, ["doc_id", "pos"])
-    meta = found.withColumn("meta", t.file_metadata(F.col("file_path"))).withColumn("text", F.col("chunk_text"))
-    return meta.select("*", "meta.title", "meta.author", "meta.department", (F.col("pos") + 1).cast("int").alias("page_number")).withColumn("qa", models.lexical_answer(F.lit(QUESTION), F.col("text")))
+    """The K chunks nearest to document 0, through the engine's own search by ids, with lexical answers."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", file_path().alias("file_path"))
+    sizes = docs.select("doc_id", F.size(t.chunks(F.col("text"), SIZE, OVERLAP)).alias("n"))
+    # A document's chunks share its vector, so the K best documents that have chunks hold the K best chunks.
+    near = retrieval.top_k(vectors.join(sizes.where("n > 0"), "doc_id", "left_semi"), _vector_of(spark, sf_dir, 0), K, ["doc_id"])
+    # K rows.
+    cut = chunking.word_chunks(docs.join(F.broadcast(near.select("doc_id", "retrieval_score")), "doc_id"), "text", SIZE, OVERLAP, ["doc_id", "file_path", "retrieval_score"])
+    rows = cut.withColumn("meta", t.file_metadata(F.col("file_path"))).withColumn("chunk_id", F.col("doc_id") * PLACES + F.col("pos"))
+    best = rows.select("chunk_id", "retrieval_score").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("retrieval_score"), "chunk_id"))).where(F.col("rank") <= K)
+    index = rows.drop("retrieval_score").select("*", F.col("chunk_text").alias("text"), "meta.title", "meta.author", "meta.department", (F.col("pos") + 1).cast("int").alias("page_number"))
+    return plan.rows_of(index, best).withColumn("qa", models.lexical_answer(F.lit(QUESTION), F.col("text")))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,19 +179,59 @@ def books_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry rows of the files that the registry (labels) does not hold: ids from 1 in the order of paths."""
     files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("./d/"), F.format_string("%08d", "doc_id"), F.lit(" - "), "source", F.lit(" - 1990.pdf")).alias("path"))
     new = chunking.new_files(files, table(spark, sf_dir, "labels"), "doc_id", "doc_id")
-    numbered = new.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
-    return numbered.withColumn("m", t.file_metadata(F.col("path"))).select("id", "m.title", "m.author", F.col("m.publication_year").cast("long").alias("publication_year"), F.col("path").alias("file_path"))
+    books = ingest.numbered_books(new.withColumn("n_chunks", F.lit(1)), 0, 0, scratch_path(spark, "books"))
+    return books.select("id", "title", "author", F.col("publication_year").cast("long").alias("publication_year"), "file_path")
 
 
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the chunk index: conversations as books, with their attributes and ids of chunks over all books."""
-    cut = chunking.page_chunks(chunking.clean_pages(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), PAGE_SIZE, PAGE_OVERLAP, "conv_id", "turn")
-    sizes = cut.groupBy("conv_id").agg(F.count("*").alias("n"))
-    first = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    meta = t.file_metadata(F.concat(F.lit("./d/Talk - "), F.col("conv_id").cast("string"), F.lit(" - 2001.pdf")))
-    books = first.withColumn("m", meta).select(F.col("conv_id").alias("book_id"), "first", "m.title", "m.author")
-    rows = cut.join(books, cut["conv_id"] == books["book_id"])
-    return rows.select(t.document_id(F.col("book_id"), F.col("chunk_index")).alias("es_doc_id"), "book_id", (F.col("first") + F.col("chunk_index") + 1).cast("long").alias("chunk_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("turn").cast("long").alias("page_number"), "title", "author", F.col("chunk_text").alias("text"))
+    talk = F.concat(F.lit("./d/Talk - "), F.format_string("%012d", "conv_id"), F.lit(" - 2001.pdf"))
+    pages = table(spark, sf_dir, "conversations").select(talk.alias("path"), F.col("turn").alias("page_number"), "text")
+    cut = chunking.page_chunks(chunking.clean_pages(pages), PAGE_SIZE, PAGE_OVERLAP)
+    books = ingest.numbered_books(cut.groupBy("path").agg(F.count("*").alias("n_chunks")), 0, 0, scratch_path(spark, "books"))
+    rows = ingest.book_chunks(cut, books)
+    return rows.select(F.col("doc_id").alias("es_doc_id"), "book_id", F.col("id").alias("chunk_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("page_number").cast("long").alias("page_number"), "title", "author", F.col("chunk_text").alias("text"))
+
+
+def _held_out() -> Column:
+    return F.pmod("doc_id", F.lit(4)) == 2
+
+
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = lang.learned(docs.where(~_held_out()))
+    return spread(docs).select("doc_id", lang.language(F.col("text"), profiles).alias("language_code"), _held_out().alias("held_out"))
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the chunks say the search's words: places of the first ones, and how many there are."""
+    words = sorted({w.lower() for w in WORDS.split()})
+    rows = _chunks(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), plan.highlights(F.col("chunk_text"), words).alias("h")).where("size(h) > 0")
+    some = F.array_join(F.transform(F.slice("h", 1, 5), lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), " ")
+    return rows.select("doc_id", "pos", F.size("h").cast("long").alias("n"), some.alias("places"))
+
+
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the chunks with a word of the search there are by language, by source and by both, in one job."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    found = _words(spark, sf_dir).scored(WORDS, None).select(F.floor(F.col("id") / PLACES).alias("doc_id"))
+    return plan.facets(found.join(docs, "doc_id"), [["lang"], ["source"], ["lang", "source"]])
+
+
+def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second and third page of K rows, each from the cursor that the one before ends with."""
+    index = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked, after, out = _vector_of(spark, sf_dir, 0), None, None
+    for page in range(3):
+        best = retrieval.top_k(index, asked, K, ["vec_id"], after=after)
+        # K rows.
+        rows = best.orderBy("rank").collect()
+        if page:
+            one = spark.createDataFrame([(page, r["rank"], r["vec_id"], round(r["retrieval_score"], 6)) for r in rows], "page int, rank int, vec_id long, score double")
+            out = one if out is None else out.unionByName(one)
+        after = (rows[-1]["retrieval_score"], rows[-1]["vec_id"]) if rows else after
+    return out
 
 
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,5 +320,5 @@ def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (vector_topk, vector_topk_batch, ann_recall, filtered_recall, bm25_topk, hybrid_topk, books_registry, index_rows, normalize_vectors, text_normalize, sanitize_text, word_chunks, page_chunks, filename_metadata, doc_ids, sentence_spans, sentence_split, lexical_answer, complete_sentence, matched_paragraph, rerank, search_and_extract, response_projection, new_documents, path_filter)
+    every = (vector_topk, vector_topk_batch, ann_recall, filtered_recall, bm25_topk, hybrid_topk, highlights, facets, vector_pages, language_codes, books_registry, index_rows, normalize_vectors, text_normalize, sanitize_text, word_chunks, page_chunks, filename_metadata, doc_ids, sentence_spans, sentence_split, lexical_answer, complete_sentence, matched_paragraph, rerank, search_and_extract, response_projection, new_documents, path_filter)
     return {f.__name__: f for f in every}

@@ -70,6 +70,36 @@ def search(index: DataFrame, best: DataFrame, question: str, answerer: Answerer,
     return results(answered(rows_of(index, best), answerer, F.lit(question)), answerer.name, limit)
 
 
+#: Words, and what stands between them: together they cover a text.
+_PIECES = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+"
+
+
+def highlights(text: Column, words: Sequence[str]) -> Column:
+    """``array<struct<start, end>>``: where a text says one of the lower-cased ``words``, in one pass over its pieces."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECES), F.lit(0))
+    wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+
+    def step(s: Column, p: Column) -> Column:
+        end = s["at"] + F.length(p)
+        here = F.array(F.struct(s["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.lower(p)), F.concat(s["found"], here)).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(pieces, start, step)["found"]
+
+
+def facets(found: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Counts of ``found`` by each of ``sets`` of attributes, in one pass: ``facet`` names the set, ``value`` its values, joined by a bar."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    counts = found.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(F.grouping_id(*columns).alias("gid"), F.count("*").alias("n"))
+    bits = {sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in s): s for s in sets}
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for g, s in bits.items():
+        name = F.when(F.col("gid") == g, "|".join(s)).otherwise(name)
+        value = F.when(F.col("gid") == g, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in s])).otherwise(value)
+    return counts.select(name.alias("facet"), value.alias("value"), "n")
+
+
 def link(path: Column) -> Column:
     """Path as a link: ``./`` in front goes once, a ``/`` comes; ``#`` for none."""
     bare = F.when(F.startswith(path, F.lit("./")), F.substring(path, F.lit(3), F.length(path))).otherwise(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import uuid
 
@@ -14,6 +15,8 @@ from ..operators.models import Embedder
 from ..plans.schemas import FILES
 from ..sources.documents import GLOB, Extractor, load, root_of, unnamed
 
+_LOG = logging.getLogger(__name__)
+
 #: Most failed files that are tried again at once; the others follow at the next poll.
 MOST_RETRIES = 1 << 13
 
@@ -62,7 +65,10 @@ class Watch:
 
     def _poll(self) -> None:
         while not self.stopped.wait(self.store.settings.poll_seconds) and self.query.isActive:
-            self.retry()
+            try:
+                self.retry()
+            except Exception:  # one poll that fails must not end the others
+                _LOG.warning("a poll for failed files did not succeed and is tried again", exc_info=True)
 
     def awaitTermination(self, timeout: int | None = None) -> bool | None:
         done = self.query.awaitTermination(timeout)

@@ -153,3 +153,23 @@ def test_many_equal_vectors(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, query_vector array<double>")
     got = retrieval.top_k_batch(df, asked, 4, ["id"]).orderBy("query_id", "rank").collect()
     assert [q.id for q in got] == [0, 1, 2, 3] * 2
+
+
+def test_a_failing_poll_does_not_end_the_others(engine, monkeypatch):
+    from folioscope.streaming import watch as streaming
+
+    calls, enough = [], threading.Event()
+
+    def retry(self):
+        calls.append(len(calls))
+        if len(calls) == 1:
+            raise OSError("the store is away")
+        if len(calls) == 3:
+            enough.set()
+
+    monkeypatch.setattr(streaming.Watch, "retry", retry)
+    running = streaming.watch(engine.store, engine.settings.documents, engine.extractor, engine.embedder)
+    try:
+        assert enough.wait(60)
+    finally:
+        running.stop()
