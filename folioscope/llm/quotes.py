@@ -70,11 +70,14 @@ def units(conv: Column, lines_: Column) -> Column:
 
 def answers(messages: DataFrame, conv_col: str, turn_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """``conv, turn, parent, n_linked`` of each message whose quotes name an earlier one."""
-    rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), lines(F.col(text_col)).alias("parsed")).where("conv is not null and turn is not null")
+    told = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text")).where("conv is not null and turn is not null")
+    rows = told.select("conv", "turn", lines(F.col("text")).alias("parsed"))
     quoted = rows.select("conv", "turn", F.posexplode(passages(F.col("parsed"))).alias("passage", "p"))
     quoted = scratch.written(quoted.select("conv", "turn", "passage", "p.level", F.explode(units(F.col("conv"), F.col("p.lines"))).alias("hash")), "quoted")
     asked = quoted.groupBy("hash").agg(F.count("*").alias("n"))
-    own = rows.join(quoted.select("conv").distinct(), "conv", "left_semi")
+    # Of conversations with quotes alone; a very long one stays where it is.
+    quoting = scratch.written(told.groupBy("conv").agg(F.count("*").alias("n")).join(quoted.select("conv").distinct(), "conv"), "quoting")
+    own = hot_join(told, quoting, "conv").select("conv", "turn", lines(F.col("text")).alias("parsed"))
     own = own.select("turn", F.explode(units(F.col("conv"), _said(F.filter("parsed", lambda x: x["level"] == 0)))).alias("hash"))
     first = scratch.written(own.groupBy("hash").agg(F.min("turn").alias("origin")).join(asked, "hash"), "origins")
     found = hot_join(quoted, first, "hash").where("origin < turn")
@@ -83,18 +86,32 @@ def answers(messages: DataFrame, conv_col: str, turn_col: str, text_col: str, sc
     return best.select("conv", "turn", F.col("best.origin").alias("parent"), "n_linked")
 
 
-def threads(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``conv, turn, parent, n_linked, root, depth``: each round doubles the steps up the thread."""
+def _place(conv: str, turn: str) -> Column:
+    return F.struct(F.col(conv).alias("conv"), F.col(turn).alias("turn"))
+
+
+def threads(links: DataFrame, max_rounds: int = 40, scratch: Scratch | None = None) -> DataFrame:
+    """``conv, turn, parent, n_linked, root, depth``: each round doubles the steps up the thread.
+
+    A message that very many answer goes to its answers, so these stay where they are.
+    The table that the result reads goes with ``scratch``, else it stays.
+    """
     spark = links.sparkSession
     state, path = written(links.withColumn("root", F.col("parent")).withColumn("depth", F.lit(1).cast("long")), "threads")
     for _ in range(max_rounds):
-        up = state.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(up, ["conv", "root"], "left")
-        if moved.where("next is not null").isEmpty():
+        asked = state.groupBy(_place("conv", "root").alias("at")).agg(F.count("*").alias("n"))
+        up = state.select(_place("conv", "turn").alias("at"), F.col("root").alias("next"), F.col("depth").alias("more")).join(asked, "at")
+        up, of = written(up, "up")
+        if up.isEmpty():
+            remove(spark, of)
+            if scratch:
+                scratch.paths.append(path)
             return state
+        moved = hot_join(state.withColumn("at", _place("conv", "root")), up, "at", how="left")
         new = moved.select("conv", "turn", "parent", "n_linked", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         state, after = written(new, "threads")
         remove(spark, path)
+        remove(spark, of)
         path = after
     raise RuntimeError(f"threads did not settle in {max_rounds} rounds")
 
@@ -108,20 +125,25 @@ def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     ``n_quoted`` and ``n_linked`` count quoted passages. Of origins at the
     shallowest level that of most hashes wins, then the later one. Null texts count as empty; rows with a null conversation or turn are not
     linked but keep their place; rows that repeat a turn answer and are answered
-    as one; quotes of later turns link nothing. An empty table stays empty.
+    as one; quotes of later turns link nothing. Texts of any length are read
+    whole: a row's lines and windows are arrays of that row. An empty table stays empty.
     Other columns are not read.
     """
     slim = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(messages.sparkSession)
-    found = threads(answers(slim, "conv", "turn", "text", scratch))
-    scratch.clear()
-    parsed = slim.withColumn("parsed", lines(F.col("text")))
-    bare = parsed.select("conv", "turn", "role", without_quotes(F.col("parsed")).alias("body"), F.size(passages(F.col("parsed"))).cast("long").alias("n_quoted"))
-    rows = bare.join(found, ["conv", "turn"], "left").select("conv", "turn", "role", "body", "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    found = threads(answers(slim, "conv", "turn", "text", scratch), scratch=scratch)
+    # Rows without a conversation or turn have no key and are not exchanged, rows of one turn in great number neither.
+    placed = F.when(F.col("conv").isNotNull() & F.col("turn").isNotNull(), _place("conv", "turn"))
+    said = found.select(_place("conv", "turn").alias("at"), "parent", "n_linked", "root", "depth")
+    linked = scratch.written(said.join(slim.groupBy(placed.alias("at")).agg(F.count("*").alias("n")), "at"), "linked")
+    parsed = hot_join(slim.withColumn("at", placed), linked, "at", how="left").withColumn("parsed", lines(F.col("text")))
+    bare = parsed.select("conv", "turn", "role", without_quotes(F.col("parsed")).alias("body"), F.size(passages(F.col("parsed"))).cast("long").alias("n_quoted"), "parent", "n_linked", "root", "depth")
+    rows = bare.select("conv", "turn", "role", "body", "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
     order = ["root", "depth", "turn", "role", "body"]
     n = bucket_count(slim, BUCKET_BYTES)
     # The range of each row is kept by writing it: a second run could sample other bounds.
     ranged, _ = written(rows.repartitionByRange(n, "conv", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    scratch.clear()
     inside = Window.partitionBy("conv", "range").orderBy(*order)
     counts = ranged.groupBy("conv", "range").agg(F.count("*").alias("n"))
     # Sorted by conversation, so it is in neighbouring ranges: a row for each.

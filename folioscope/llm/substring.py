@@ -343,9 +343,9 @@ BUCKETS_A_PART = 4
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed: int = 8, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with the text cut, and ``n_words, n_removed, kept`` (words joined by one space) and ``spans`` (maximal repeats, in words).
 
-    Words are runs of other than ASCII white space, unchanged; a word counts as
-    the same if its hash of 32 bits is, so a window by 640 bits or more of its
-    words. A window is a repeat if the same words start earlier: in a smaller id,
+    Words are runs of other than ASCII white space, unchanged. Windows count as
+    the same if the 64-bit hash of their seed is, and the 32-bit hash of each
+    other word: 448 bits for 20 words around a seed of 8. A window is a repeat if the same words start earlier: in a smaller id,
     or earlier in the same one. Null and empty texts have no words; texts of any
     length are read whole. Rows that repeat an id count as one document: of equal
     windows at one start none is a repeat of the other. Rows with a null id come

@@ -26,3 +26,20 @@ def test_long_messages(spark):
     text = "\n".join(("> " if i % 3 == 0 else "") + f"line {i}" for i in range(30_000))
     got = reply_ordered(spark, [(1, 0, "user", text), (1, 1, "user", "> line 29999")]).orderBy("turn").collect()
     assert (got[0].n_quoted, got[1].parent_turn) == (10_000, 0) and got[1].n_quoted == 1
+
+
+def test_very_many_answers_to_one_message(spark):
+    """A message with a third of all answers, and as many rows without a turn: no task gets them all."""
+    from folioscope.llm import quotes
+
+    said = [(1, 0, "user", "a message that every one of them quotes here")]
+    rows = said + [(1, i, "user", "> a message that every one of them quotes here\nanswer") for i in range(1, 3001)] + [(1, None, "user", f"none {i}") for i in range(1500)] + [(None, 3, "user", "> x") for _ in range(1500)]
+    rows += [(c, t, "user", f"> words {c} of turn {t - 1} in it\nwords {c} of turn {t} in it" if t else f"words {c} of turn 0 in it") for c in range(2, 40) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    out = quotes.reply_ordered(df).collect()
+    assert len(out) == len(rows)
+    hot = [r for r in out if r["conv_id"] == 1 and r["turn"]]
+    assert {(r["parent_turn"], r["root_turn"], r["depth"], r["body"]) for r in hot} == {(0, 0, 1, "answer")} and len(hot) == 3000
+    assert all(r["root_turn"] == 0 and r["depth"] == r["turn"] for r in out if (r["conv_id"] or 0) > 1)
+    for c in (1, None, 5):
+        assert sorted(r["position"] for r in out if r["conv_id"] == c) == list(range(sum(x[0] == c for x in rows)))
