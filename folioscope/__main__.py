@@ -6,7 +6,7 @@ import argparse
 import sys
 
 from .config import Settings
-from .engine import Engine, session
+from .engine import MODES, Engine, session
 
 
 def parser() -> argparse.ArgumentParser:
@@ -18,6 +18,11 @@ def parser() -> argparse.ArgumentParser:
     find = commands.add_parser("search", help="answer a question as JSON")
     find.add_argument("--query", required=True)
     find.add_argument("--top-k", type=int, default=3)
+    find.add_argument("--mode", choices=MODES, default=MODES[0], help="by vectors, by words or by both")
+    find.add_argument("--department", help="chunks of this department alone")
+    find.add_argument("--language", help="chunks of this language code alone")
+    learn = commands.add_parser("languages", help="learn languages from a table of labelled texts")
+    learn.add_argument("--table", required=True, help="Parquet with columns text and lang")
     serve = commands.add_parser("serve", help="HTTP API")
     serve.add_argument("--port", type=int, default=8000)
     return p
@@ -30,7 +35,9 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "ingest":
             engine.watch(once=args.once).awaitTermination()
         elif args.command == "search":
-            print(engine.search_json(args.query, args.top_k))
+            print(engine.search_json(args.query, args.top_k, mode=args.mode, department=args.department, language=args.language))
+        elif args.command == "languages":
+            engine.learn_languages(engine.spark.read.parquet(args.table))
         elif args.command == "serve":
             from .server import serve
 

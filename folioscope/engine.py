@@ -107,9 +107,9 @@ class Engine:
         asked = F.array(*[F.lit(float(x)) for x in vector])
         return self.store.read("chunk_index").select(F.col("chunk_id").alias("id"), score(cosine(checked(F.col("embedding"), len(vector)), asked, True)).alias("score"))
 
-    def search_json(self, query: str, k: int = 3) -> str:
+    def search_json(self, query: str, k: int = 3, **how: str | None) -> str:
         """Results with the query as JSON; at most ``k`` rows reach the driver."""
-        rows = [json.loads(r) for r in self.search(query, k).toJSON().collect()]
+        rows = [json.loads(r) for r in self.search(query, k, **how).toJSON().collect()]
         return json.dumps({"query": query, "results": rows} | ({} if rows else {"message": NO_CHUNKS}), ensure_ascii=False, indent=2)
 
     def api_search(self, query: str, top_k: int = 3) -> dict:
