@@ -136,6 +136,13 @@ def _vectors(column: pa.Array, size: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), size)
 
 
+def _rows(column: pa.ChunkedArray, size: int | None = None) -> np.ndarray:
+    """The vectors of a column that reached the driver."""
+    n = len(column)
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, size if size is not None else -1) if n else np.zeros((0, size or 1))
+
+
 def _grouped(send, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,8 +289,8 @@ class VectorIndex:
         n = slim.count()
         if not n:
             return None
-        sample = slim.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("id", "embedding").collect()
-        x = np.array([r["embedding"] for r in sample], np.float64)
+        sample = slim.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("id", "embedding").toArrow()
+        x = _rows(sample["embedding"])
         lists = min(MOST_LISTS, max(1, math.isqrt(n)))
         groups = _means(_unit(x), math.isqrt(lists), s.rounds, True)
         size = x.shape[1]
@@ -294,9 +301,10 @@ class VectorIndex:
         near = some.mapInArrow(_grouped(self.spark.sparkContext.broadcast(groups), size), "grp int, h long, embedding array<float>")
         ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("h"))).where(F.col("place") <= GROUP_ROWS)
         sizes = near.groupBy("grp").agg((F.count("*") / F.lit(float(share * n)) * lists).alias("share"))
-        found = ranked.join(F.broadcast(sizes), "grp").groupBy("grp").applyInPandas(_list_centres(s.rounds), "grp int, centre array<double>").collect()
-        found.sort(key=lambda r: (r["grp"], r["centre"]))
-        centres, group_of = np.array([r["centre"] for r in found]), np.array([r["grp"] for r in found], np.int64)
+        found = ranked.join(F.broadcast(sizes), "grp").groupBy("grp").applyInPandas(_list_centres(s.rounds), "grp int, centre array<double>").toArrow()
+        centres, group_of = _rows(found["centre"], size), found["grp"].to_numpy().astype(np.int64)
+        order = np.lexsort((centres[:, 0], group_of))
+        centres, group_of = centres[order], group_of[order]
         # A group that the second sample does not meet has its own centre as a list.
         bare = np.setdiff1d(np.arange(len(groups)), group_of)
         centres, group_of = np.vstack([centres.reshape(-1, size), groups[bare]]), np.concatenate([group_of, bare])
@@ -307,17 +315,17 @@ class VectorIndex:
         most = max(map(len, points))
         book = replace(book, points=np.stack([np.vstack([p, np.repeat(p[-1:], most - len(p), axis=0)]) for p in points]))
         self._write(g, book, rows, None)
-        book = self._measured(g, book, slim, sample[: s.trials])
+        book = self._measured(g, book, slim, sample["id"].to_pylist()[: s.trials], x[: s.trials])
         self._put(g, book)
         return book
 
-    def _measured(self, g: int, book: Codebook, slim: DataFrame, asked: list) -> Codebook:
+    def _measured(self, g: int, book: Codebook, slim: DataFrame, asked: list[int], x: np.ndarray) -> Codebook:
         """The fewest lists and candidates with which ``asked`` rows find enough of their nearest over all rows."""
         s = self.shape
-        queries = self.spark.createDataFrame([(r["id"], r["embedding"]) for r in asked], "query_id long, query_vector array<float>")
+        queries = self.spark.createDataFrame(list(zip(asked, x.tolist(), strict=True)), "query_id long, query_vector array<float>")
         exact = top_k_batch(slim, queries, s.k, ["id"]).select("query_id", "id")
         lists = self._table("entries", g, self._schema()).select("id", "list").join(F.broadcast(exact), "id").collect()
-        order = {r["id"]: np.argsort(o) for r, o in zip(asked, book.order(np.array([r["embedding"] for r in asked], np.float64)), strict=True)}
+        order = {i: np.argsort(o) for i, o in zip(asked, book.order(x), strict=True)}
         places = np.sort([order[r["query_id"]][r["list"]] for r in lists])
         book = replace(book, probes=int(places[math.ceil(s.recall * len(places)) - 1]) + 1)
         true = {(r["query_id"], r["id"]) for r in lists}
