@@ -21,7 +21,7 @@ import numpy as np
 #: Parts of a generation; a worker remembers the latest and the one before.
 KNOWN = 400_000
 #: Bytes of a generation, whatever its parts are, and the longest part that is remembered at all.
-KNOWN_BYTES = 160 << 20
+KNOWN_BYTES = 192 << 20
 LONGEST = 64
 #: Characters of texts that are encoded at once.
 BLOCK = 1 << 17
