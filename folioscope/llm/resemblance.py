@@ -15,6 +15,7 @@ rarity can reach the threshold, so the work follows the pairs that do.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from .components import components
 BANDS, ROWS = 32, 5
 #: Shingles of a candidate group's distinct texts in a block; one text may have more.
 BLOCK = 1 << 21
+#: A group of many texts that would be one block is dealt to so many, of so many texts at least.
+SPREAD, SPREAD_TEXTS = 16, 128
 #: Least resemblance that the bands are made for.
 LEAST = 0.8
 #: Of the table that says which rows' texts are needed.
@@ -105,42 +108,59 @@ def alike(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     place = np.empty(len(counts), np.int64)
     place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
     alone = int((counts == 1).sum())
-    root = np.arange(len(sets))
     mark = np.zeros(len(counts), bool)
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
-    under: dict[int, dict[int, list[int]]] = {}
+    # Groups by number; the smaller one of two takes the other's.
+    name, groups = np.arange(len(sets)), {i: [i] for i in range(len(sets))}
+
+    def join(i: int, j: int) -> None:
+        a, b = sorted((int(name[i]), int(name[j])), key=lambda g: len(groups[g]))
+        if a != b:
+            name[groups[a]] = b
+            groups[b] += groups.pop(a)
+
+    def linked(i: int, some: np.ndarray) -> np.ndarray:
+        """Those of ``some`` that are linked to the marked set ``i``."""
+        some = some[np.minimum(size[some], size[i]) >= threshold * np.maximum(size[some], size[i]) - 1e-9]
+        if not len(some):
+            return some
+        before = np.cumsum(size[some]) - size[some]
+        every = np.repeat(ends[some] - size[some] - before, size[some]) + np.arange(int(size[some].sum()))
+        shared = np.add.reduceat(mark[element[every]], before, dtype=np.int64)
+        return some[shared / (size[i] + size[some] - shared) >= threshold]
+
+    under: dict[int, array] = {}
+    tried = np.zeros(len(sets), bool)
     for i in range(len(sets)):
         own = element[ends[i] - size[i] : ends[i]]
         n = int(size[i] - np.ceil(threshold * size[i] - 1e-9)) + 1
         first = np.sort(place[own])[:n]
         first = first[first >= alone].tolist()
-        if first:
-            mark[own] = True
-            tried: set[int] = set()
-            for e in first:
-                for group, members in under.get(e, {}).items():
-                    if top(group) == top(i):
-                        continue
-                    for j in members:
-                        if j in tried or min(size[i], size[j]) < threshold * max(size[i], size[j]) - 1e-9:
-                            continue
-                        tried.add(j)
-                        shared = int(np.count_nonzero(mark[element[ends[j] - size[j] : ends[j]]]))
-                        if shared / (size[i] + size[j] - shared) >= threshold:
-                            a, b = sorted((top(i), top(j)))
-                            root[b] = a
-                            break
-            mark[own] = False
-            at = top(i)
-            for e in first:
-                under.setdefault(e, {}).setdefault(at, []).append(i)
-    return np.array([top(i) for i in range(len(sets))], np.int64)
+        if not first:
+            continue
+        mark[own] = True
+        seen = []
+        for e in first:
+            if e not in under:
+                continue
+            there = np.frombuffer(under[e], np.int64)
+            new = there[~tried[there] & (name[there] != name[i])]
+            del there  # a view keeps its array from growing
+            step = 8
+            while len(new):
+                some, new = new[:step], new[step:]
+                tried[some] = True
+                seen.append(some)
+                for j in linked(i, some).tolist():
+                    join(i, j)
+                new = new[name[new] != name[i]]
+                step = min(1024, 8 * step)
+        mark[own] = False
+        for some in seen:
+            tried[some] = False
+        for e in first:
+            under.setdefault(e, array("q")).append(i)
+    least = {g: min(members) for g, members in groups.items()}
+    return np.array([least[g] for g in name.tolist()], np.int64)
 
 
 def _verified(shingle: int, threshold: float):
@@ -188,7 +208,7 @@ def only(slim: DataFrame, own: DataFrame, best: DataFrame, columns: list[str], i
 def _blocks(members: DataFrame, block: int) -> DataFrame:
     """``members`` with ``pairs``: which pairs of blocks of its group a set is compared in."""
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    counted = sizes.select("component", "n", F.least(F.col("n"), F.ceil(F.col("shingles") / block)).cast("int").alias("k"))
+    counted = sizes.select("component", "n", F.least(F.col("n"), F.greatest(F.ceil(F.col("shingles") / block), F.least(F.lit(SPREAD), F.ceil(F.col("n") / SPREAD_TEXTS)))).cast("int").alias("k"))
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     return hot_join(members, counted, "component").withColumn("pairs", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda y: F.struct(F.least(own, y).alias("a"), F.greatest(own, y).alias("b")))).drop("k", "size")
 
