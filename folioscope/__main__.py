@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--language", help="chunks of this language code alone")
     learn = commands.add_parser("languages", help="learn languages from a table of labelled texts")
     learn.add_argument("--table", required=True, help="Parquet with columns text and lang")
+    commands.add_parser("compact", help="put small batches in one")
     serve = commands.add_parser("serve", help="HTTP API")
     serve.add_argument("--port", type=int, default=8000)
     return p
@@ -38,6 +39,8 @@ def main(argv: list[str] | None = None) -> int:
             print(engine.search_json(args.query, args.top_k, mode=args.mode, department=args.department, language=args.language))
         elif args.command == "languages":
             engine.learn_languages(engine.spark.read.parquet(args.table))
+        elif args.command == "compact":
+            engine.compact()
         elif args.command == "serve":
             from .server import serve
 

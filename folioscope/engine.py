@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .functions.vector import checked, score
 from .operators.fusion import Ranked, fused
-from .operators.ingest import Report, Store, ingest, learn_languages
+from .operators.ingest import Report, Store, compact, ingest, learn_languages
 from .operators.models import Answerer, Embedder, HashingEmbedder, LexicalAnswerer, LogitsAnswerer, OnnxLogits, PipelineAnswerer, SentenceEmbedder
 from .operators.retrieval import cosine, top_k
 from .plans import search as plan
@@ -59,6 +59,10 @@ class Engine:
         files = with_retries(list_documents(self.spark, folder or self.settings.documents).select("path"), self.store, batch)
         return ingest(files, self.store, self.extractor, self.embedder, batch)
 
+    def compact(self) -> str | None:
+        """Put the many small batches of a stream in one."""
+        return compact(self.store)
+
     def learn_languages(self, docs: DataFrame, text_col: str = "text", code_col: str = "lang") -> None:
         """Learn from labelled texts which languages there are; what is taken in afterwards has a code."""
         learn_languages(self.store, docs, text_col, code_col)

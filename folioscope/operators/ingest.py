@@ -8,6 +8,7 @@ leaves nothing that a search could see.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from .lexical import LexicalIndex
 from .models import Embedder, embedded
 from .vector_index import VectorIndex
 
-TABLES = {"books": schemas.BOOKS, "chunks": schemas.CHUNKS, "chunk_index": schemas.CHUNK_INDEX, "ingest_errors": schemas.ERRORS}
+TABLES = {"books": schemas.BOOKS, "chunks": schemas.CHUNKS, "chunk_index": schemas.CHUNK_INDEX, "ingest_errors": schemas.ERRORS, "replaced": schemas.REPLACED}
 
 
 @dataclass
@@ -53,8 +54,10 @@ class Store:
         return LexicalIndex(self.spark, self.path("word_index"))
 
     def committed(self) -> DataFrame:
-        """The batches that searches may see."""
-        return self.all("books").select("batch").distinct()
+        """The batches that searches may see: those with a registry, but for those that a compact one of them replaces."""
+        books = self.all("books").select("batch").distinct()
+        gone = self.all("replaced").join(books, "batch", "left_semi").select(F.col("old").alias("batch"))
+        return books.join(gone, "batch", "left_anti")
 
     def create(self) -> None:
         """Empty tables where there are none, and the dimension of the vectors, which cannot change afterwards."""
@@ -89,7 +92,7 @@ class Store:
     def read(self, name: str) -> DataFrame:
         """Rows of committed batches; the filter prunes partitions."""
         rows = self.all(name)
-        if name in ("chunks", "chunk_index"):
+        if name in ("books", "chunks", "chunk_index"):
             rows = rows.join(self.committed(), "batch", "left_semi")
         return rows.drop("batch")
 
@@ -215,3 +218,29 @@ def ingest(files: DataFrame, store: Store, extractor: Extractor, embedder: Embed
     for path in (staging, f"{staging}-books"):
         store.delete(path)
     return Report(of("books"), n_chunks, of("ingest_errors"))
+
+
+def compact(store: Store) -> str | None:
+    """Put all committed batches in one, with files of full size; None if there are fewer than two.
+
+    The registry of the new batch is written last: from then on it counts, and
+    those that it replaces do not. Their files stay until the next time, for
+    searches that are running.
+    """
+    old = [r["batch"] for r in store.committed().collect()]
+    if len(old) < 2:
+        return None
+    earlier = [r["old"] for r in store.all("replaced").select("old").distinct().collect()]
+    new = f"compact-{uuid.uuid4().hex}"
+    for name in ("chunks", "chunk_index"):
+        store.put(name, new, store.read(name).hint("rebalance"))
+    rows = store.all("chunk_index").where(F.col("batch") == new)
+    store.words.append(rows, new, "chunk_id")
+    store.vectors.append(rows, new)
+    store.put("replaced", new, store.spark.createDataFrame([(b,) for b in old], schemas.REPLACED))
+    store.put("books", new, store.read("books").hint("rebalance"))
+    g = store.vectors.generation()
+    for batch in earlier:
+        for at in (*[store.path(name) for name in ("chunks", "chunk_index", "books")], f"{store.words.path}/postings", f"{store.words.path}/stats", *([f"{store.vectors.path}/{x}/generation={g}" for x in ("entries", "counts")] if g else [])):
+            store.delete(f"{at}/batch={batch}")
+    return new

@@ -54,6 +54,9 @@ CHUNK_INDEX = T.StructType(
 
 ERRORS = T.StructType([T.StructField("file_path", _S, False), T.StructField("message", _S), T.StructField("attempt", _I), T.StructField("batch_id", _L), T.StructField("failed_at", T.TimestampType())])
 
+#: Batches whose rows another batch, that of the partition, holds too.
+REPLACED = T.StructType([T.StructField("old", _S, False)])
+
 RESULT = T.StructType(
     [
         T.StructField("rank", _I, False),

@@ -236,3 +236,40 @@ def test_engine_modes(spark, tmp_path):
     assert all(r["chunk_id"] < 10**6 for r in engine._nearest("water", 50).collect())
     exact = retrieval.top_k(store.read("chunk_index").select("chunk_id", "embedding"), engine.embedder.embed(["term1 term2"])[0].tolist(), 5, ["chunk_id"])
     assert len({r[0] for r in exact.select("chunk_id").collect()} & {r[0] for r in engine._nearest("term1 term2", 5).select("chunk_id").collect()}) >= 4
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    from folioscope.operators import ingest
+
+    (tmp_path / "pdfs").mkdir()
+    engine = Engine(spark, Settings(home=str(tmp_path / "home"), documents=str(tmp_path / "pdfs"), dimension=16, chunk_size=8, chunk_overlap=0, index_from=5), extractor=documents.PlainExtractor()).init()
+    assert engine.compact() is None
+    store = engine.store
+
+    def state():
+        tables = [sorted(map(str, store.read(t).select(c).collect())) for t, c in (("books", "file_path"), ("chunks", "es_doc_id"), ("chunk_index", "doc_id"))]
+        return tables, store.words.rows(store.committed()), [[(r["rank"], r["quote"]) for r in engine.search("red sea", 3, m).orderBy("rank").collect()] for m in ("vectors", "words")]
+
+    for i in range(3):
+        (tmp_path / "pdfs" / f"b{i}.pdf").write_text(f"book {i} says that the sea is red. and some more words of book {i} follow here")
+        engine.ingest()
+    before = state()
+    assert before[1] == 9 and store.committed().count() == 3
+
+    # One that stops before its registry changes nothing.
+    put = ingest.Store.put
+    monkeypatch.setattr(ingest.Store, "put", lambda self, name, *a: (_ for _ in ()).throw(OSError("away")) if name == "books" else put(self, name, *a))
+    with pytest.raises(OSError):
+        engine.compact()
+    monkeypatch.undo()
+    assert state() == before
+
+    new = engine.compact()
+    assert state() == before and [r["batch"] for r in store.committed().collect()] == [new]
+    (tmp_path / "pdfs" / "b9.pdf").write_text("one more book")
+    assert engine.ingest().books == 1
+    after = state()
+    assert engine.compact() and state() == after and store.committed().count() == 1
+    # What the first one replaced is gone now; its own files stay until the next.
+    assert {r["batch"] for r in store.all("chunks").select("batch").distinct().collect()} >= {new} and store.all("chunks").select("batch").distinct().count() <= 4
+    assert max(r["id"] for r in store.read("chunks").collect()) == after[1]
