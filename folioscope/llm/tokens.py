@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 from functools import cached_property
 from itertools import chain, compress, repeat
 from operator import is_
@@ -21,7 +20,7 @@ import numpy as np
 #: Parts of a generation; a worker remembers the latest and the one before.
 KNOWN = 400_000
 #: Bytes of a generation, whatever its parts are, and the longest part that is remembered at all.
-KNOWN_BYTES = 192 << 20
+KNOWN_BYTES = 224 << 20
 LONGEST = 64
 #: Characters of texts that are encoded at once.
 BLOCK = 1 << 17
@@ -145,10 +144,13 @@ class Encoder:
             head = out[x[0]] if x[0] in out else self.known[x[0]]
             out[p] = head + b"".join(behind[y] if y in behind else self.lines[y] for y in x[1:])
         for known, more in ((self.known, out), (self.lines, behind)):
-            some = {p: ids for p, ids in more.items() if len(p) <= LONGEST}
-            # 120 bytes are more than an entry takes in a dictionary that grows.
-            self.size += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, some.values())) + 120 * len(some)
-            known |= some
+            sizes = list(map(len, more))
+            if sizes and max(sizes) > LONGEST:
+                more = {p: ids for p, ids in more.items() if len(p) <= LONGEST}
+                sizes = map(len, more)
+            # An entry of a dictionary that grows, both objects, and for each character at most 14 bytes of text and ids.
+            self.size += 202 * len(more) + 14 * sum(sizes)
+            known |= more
         return out
 
     def _learn_words(self, known: dict[str, bytes | bool], parts: set[str], before: str, have: dict[str, bytes | bool]) -> None:
