@@ -39,7 +39,7 @@ RANGE_ROWS = 1 << 17
 
 
 def with_running(new: DataFrame, order: str, sums: dict[str, Column], path: str) -> DataFrame:
-    """``new`` with, for each name in ``sums``, the sum of that column over the rows before in ``order``, which has no ties.
+    """``new`` with, for each name in ``sums``, the sum of that column over the rows before in ``order``, whose ties are in any order and whose nulls are last.
 
     Rows go to ranges, which are written to ``path`` so that a retry sees the
     same ones; a range is summed in a task, and what goes before it is a sum
@@ -47,11 +47,11 @@ def with_running(new: DataFrame, order: str, sums: dict[str, Column], path: str)
     """
     spark = new.sparkSession
     n = max(1, -(-new.count() // RANGE_ROWS))
-    new.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    new.repartitionByRange(n, F.asc_nulls_last(order)).withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(path)
     ranged = spark.read.parquet(path)
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
     totals = totals.select(F.col("_range"), *[before(F.col(f"_{k}"), Window.orderBy("_range")).alias(f"_{k}") for k in sums])
-    inside = ranged.withColumns({k: before(c, Window.partitionBy("_range").orderBy(order)) for k, c in sums.items()})
+    inside = ranged.withColumns({k: before(c, Window.partitionBy("_range").orderBy(F.asc_nulls_last(order))) for k, c in sums.items()})
     joined = inside.join(F.broadcast(totals), "_range")
     return joined.withColumns({k: (F.col(k) + F.col(f"_{k}")).cast("long") for k in sums}).drop("_range", *[f"_{k}" for k in sums])

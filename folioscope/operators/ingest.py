@@ -162,14 +162,22 @@ def refit(store: Store) -> None:
         store.vectors.fit(store.all("chunk_index").join(store.committed(), "batch", "left_semi"))
 
 
+#: What a file's name suggests, and a catalogue may know.
+ATTRIBUTES = ("title", "author", "publication_year", "department")
+
+
 def numbered_books(judged: DataFrame, books: int, chunks: int, path: str) -> DataFrame:
     """Registry rows of ``judged (path, n_chunks)``: ids behind ``books`` in the order of paths, attributes by the file's name, and ``first``, the number of chunks before.
 
-    ``path`` is a folder for the ranges that are numbered (:func:`chunking.with_running`).
+    Attributes that ``judged`` has as columns are known and taken as they are: a name only
+    suggests them, and a number in it may look like a year. ``path`` is a folder for the
+    ranges that are numbered (:func:`chunking.with_running`).
     """
-    good = with_running(judged.select("path", "n_chunks"), "path", {"books": F.lit(1), "first": F.col("n_chunks")}, path)
+    known = [c for c in ATTRIBUTES if c in judged.columns]
+    good = with_running(judged.select("path", "n_chunks", *known), "path", {"books": F.lit(1), "first": F.col("n_chunks")}, path)
     good = good.withColumns({"id": F.col("books") + 1 + F.lit(books), "first": F.col("first") + F.lit(chunks)})
-    return good.withColumn("meta", t.file_metadata(F.col("path"))).select("id", "meta.*", F.col("path").alias("file_path"), "first")
+    attributes = [F.col(c) if c in known else F.col(f"meta.{c}").alias(c) for c in ATTRIBUTES]
+    return good.withColumn("meta", t.file_metadata(F.col("path"))).select("id", *attributes, F.col("path").alias("file_path"), "first")
 
 
 def book_chunks(cut: DataFrame, books: DataFrame, book_col: str = "path") -> DataFrame:
