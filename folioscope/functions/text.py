@@ -42,11 +42,20 @@ def normalise(c: Column) -> Column:
     return F.array_join(words(c), " ")
 
 
-def chunks(text: Column, size: int, overlap: int) -> Column:
-    """Overlapping word chunks: one starts every ``max(1, size - overlap)`` words, while words are left there."""
+def _step(size: int, overlap: int) -> int:
     if size <= 0:
         raise ValueError("size must be positive")
-    step = max(1, size - overlap)
+    return max(1, size - overlap)
+
+
+def chunk_count(text: Column, size: int, overlap: int) -> Column:
+    """How many chunks :func:`chunks` cuts, without cutting them."""
+    return F.ceil(F.size(words(F.coalesce(text, F.lit("")))) / _step(size, overlap)).cast("int")
+
+
+def chunks(text: Column, size: int, overlap: int) -> Column:
+    """Overlapping word chunks: one starts every ``max(1, size - overlap)`` words, while words are left there."""
+    step = _step(size, overlap)
 
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(w), F.lit(step))
