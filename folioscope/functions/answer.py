@@ -1,67 +1,73 @@
-"""From an answer span to its sentence and its paragraph, as Column expressions."""
+"""From an answer span to its sentence and its paragraph, as columns."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalise, sentences
+from .text import TERMINATORS
 
 #: Shares of the paragraph limit under which a neighbour is taken although it goes beyond the limit.
 LEFT_SHARE, RIGHT_SHARE = 0.6, 0.8
 
 
-def anchor(spans: Column, start: Column, end: Column) -> Column:
-    """The sentence that holds the whole span, else the one that holds its start, else the first; -1 without sentences."""
-    first = lambda keep: F.nullif(F.array_position(F.transform(spans, keep), True), F.lit(0)).cast("int") - 1
-    whole = first(lambda x: (x["s"] <= start) & (end <= x["e"]))
-    begun = first(lambda x: (x["s"] <= start) & (start < x["e"]))
-    return F.when(F.size(spans) == 0, F.lit(-1)).otherwise(F.coalesce(whole, begun, F.lit(0)))
-
-
-def _located(text: Column, start: Column, end: Column, body) -> Column:
-    """``body(text, sentences, anchor)`` of normalised text, each computed once."""
-    of = lambda t: let(sentences(t), lambda spans: let(anchor(spans, start, end), lambda at: body(t, spans, at)))
-    return let(normalise(F.coalesce(text, F.lit(""))), of)
-
-
-def _sentence(t: Column, spans: Column, at: Column) -> Column:
-    whole = F.struct(t.alias("sentence"), F.when(t == "", F.lit(-1)).otherwise(F.lit(0)).alias("start"), F.when(t == "", F.lit(-1)).otherwise(F.length(t)).cast("int").alias("end"))
-    own = let(F.get(spans, at), lambda x: F.struct(x["x"].alias("sentence"), x["s"].alias("start"), x["e"].alias("end")))
-    return F.when(at < 0, whole).otherwise(own)
-
-
-def _paragraph(t: Column, spans: Column, at: Column, limit: int) -> Column:
-    """Grown in a fold whose steps end when nothing moves; only sentences within ``limit`` places of the anchor can be reached."""
-    low = F.greatest(F.lit(0), at - limit)
-    near = lambda: F.slice(spans, low + 1, at - low + limit + 1)
+#: A sentence with its terminator, or a terminator alone.
+_TOKEN = re.compile(f"[^{TERMINATORS}]+[{TERMINATORS}]?|[{TERMINATORS}]")
 
-    def grown(own: Column, n: Column, here: Column) -> Column:
-        w = lambda i: F.coalesce(F.get(n, i), F.lit(0))
-        state = lambda lo, hi, total, done: F.struct(lo.alias("lo"), hi.alias("hi"), total.alias("total"), done.alias("done"))
 
-        def step(acc: Column, _: Column) -> Column:
-            def left(size: Column) -> Column:
-                takes = (acc["lo"] > 0) & ((acc["total"] + size <= limit) | (acc["total"] < LEFT_SHARE * limit))
-                return F.when(takes, F.struct((acc["lo"] - 1).alias("lo"), (acc["total"] + size).alias("total"), F.lit(True).alias("moved"))).otherwise(F.struct(acc["lo"].alias("lo"), acc["total"].alias("total"), F.lit(False).alias("moved")))
+def _spans(text: str) -> list[tuple[int, int, str]]:
+    """:func:`text.sentences` of one text."""
+    found = ((m.start(), m.end(), m.group().strip()) for m in _TOKEN.finditer(text))
+    return [(s, e, x) for s, e, x in found if x and (e - s > 1 or x not in TERMINATORS)]
 
-            def right(mid: Column, size: Column) -> Column:
-                takes = (acc["hi"] < F.size(n) - 1) & ((mid["total"] + size <= limit) | (mid["total"] < RIGHT_SHARE * limit))
-                return F.when(takes, state(mid["lo"], acc["hi"] + 1, mid["total"] + size, mid["total"] + size >= limit)).otherwise(state(mid["lo"], acc["hi"], mid["total"], ~mid["moved"] | (mid["total"] >= limit)))
 
-            return F.when(acc["done"], acc).otherwise(let(let(w(acc["lo"] - 1), left), lambda mid: let(w(acc["hi"] + 1), lambda size: right(mid, size))))
+def _anchored(spans: list[tuple[int, int, str]], start: float, end: float) -> int:
+    """The sentence that holds the whole span, else the one that holds its start, else the first; -1 without sentences. A missing place is in none."""
+    if not spans:
+        return -1
+    whole = (i for i, (s, e, _) in enumerate(spans) if s <= start and end <= e)
+    begun = (i for i, (s, e, _) in enumerate(spans) if s <= start < e)
+    return next(whole, next(begun, 0))
 
-        first = let(w(here), lambda x: state(here, here, x, x >= limit))
-        return F.aggregate(n, first, step, lambda acc: F.array_join(F.transform(F.slice(own, acc["lo"] + 1, acc["hi"] - acc["lo"] + 1), lambda x: x["x"]), " "))
 
+def _grown(spans: list[tuple[int, int, str]], at: int, limit: int) -> str:
     # Sentences of normalised text have single spaces, so the words are one more than these.
-    size = lambda x: F.length(x["x"]) - F.length(F.replace(x["x"], F.lit(" "), F.lit(""))) + 1
-    return F.when(at < 0, t).otherwise(let(near(), lambda own: let(F.transform(own, size), lambda n: grown(own, n, at - low))))
+    size = lambda i: spans[i][2].count(" ") + 1
+    lo, hi, total, moved = at, at, size(at), True
+    while moved and total < limit:
+        moved = False
+        if lo > 0 and (total + size(lo - 1) <= limit or total < LEFT_SHARE * limit):
+            lo, total, moved = lo - 1, total + size(lo - 1), True
+        if hi < len(spans) - 1 and (total + size(hi + 1) <= limit or total < RIGHT_SHARE * limit):
+            hi, total, moved = hi + 1, total + size(hi + 1), True
+    return " ".join(x for _, _, x in spans[lo : hi + 1])
+
+
+def _located(text: Column, start: Column, end: Column, limit: int | None) -> Column:
+    """``struct<sentence, start, end, paragraph>`` of normalised text by Arrow batches; no paragraph where ``limit`` is None."""
+
+    @F.pandas_udf("sentence string, start int, end int, paragraph string")
+    def run(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, start, end in zip(texts, starts, ends, strict=True):
+            t = " ".join((text or "").split())
+            spans = _spans(t)
+            at = _anchored(spans, start, end)
+            s, e, x = spans[at] if at >= 0 else (0, len(t), t) if t else (-1, -1, t)
+            rows.append((x, s, e, None if limit is None else _grown(spans, at, limit) if at >= 0 else t))
+        return pd.DataFrame(rows, columns=["sentence", "start", "end", "paragraph"])
+
+    # As doubles, places have one type in pandas, with nulls or not.
+    return run(text, start.cast("double"), end.cast("double"))
 
 
 def complete_sentence(text: Column, start: Column, end: Column) -> Column:
     """``struct<sentence, start, end>`` of the anchor in normalised text; the whole text if it has no sentence, -1 if empty."""
-    return _located(text, start, end, _sentence)
+    found = _located(text, start, end, None)
+    return F.struct(*[found[c].alias(c) for c in ("sentence", "start", "end")])
 
 
 def matched_paragraph(text: Column, start: Column, end: Column, limit: int = 140) -> Column:
@@ -70,12 +76,13 @@ def matched_paragraph(text: Column, start: Column, end: Column, limit: int = 140
     In turn a sentence on the left, then one on the right is taken, if it fits or
     the paragraph is still under its share of the limit, until neither moves.
     """
-    return _located(text, start, end, lambda t, spans, at: _paragraph(t, spans, at, limit))
+    return _located(text, start, end, limit)["paragraph"]
 
 
 def extracted(text: Column, start: Column, end: Column, limit: int = 140) -> Column:
     """``struct<sentence, paragraph>`` of both, from one pass over the sentences."""
-    return _located(text, start, end, lambda t, spans, at: F.struct(_sentence(t, spans, at).alias("sentence"), _paragraph(t, spans, at, limit).alias("paragraph")))
+    found = _located(text, start, end, limit)
+    return F.struct(F.struct(*[found[c].alias(c) for c in ("sentence", "start", "end")]).alias("sentence"), found["paragraph"].alias("paragraph"))
 
 
 def quote(sentence: Column, answer: Column) -> Column:
