@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from ..functions.vector import checked, dot, norm, score
 from ..sources.tables import scratch_path
 
-#: Queries of a batch that go to all tasks together.
-QUERY_BLOCK = 512
+#: Queries of a batch that go to all tasks together, and rows that meet them in one product: 4 MB of scores.
+QUERY_BLOCK, ROW_BLOCK = 512, 1 << 10
 
 
 def cosine(a: Column, b: Column, unit: bool) -> Column:
@@ -54,7 +54,7 @@ def _products(vectors: np.ndarray, names: list, k: int, unit: bool, lists: np.nd
         n, size = vectors.shape
         # The best scores and their rows of each query in this task, of at most k and one batch.
         best, rows, held = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64), None
-        for b in batches:
+        for b in (b.slice(at, ROW_BLOCK) for b in batches for at in range(0, b.num_rows, ROW_BLOCK)):
             column = b.column("v")
             if column.null_count or any(x != size for x in set(pc.list_value_length(column).to_pylist())):
                 raise ValueError("query and index differ in dimension")
@@ -95,7 +95,7 @@ def top_k_batch(index: DataFrame, queries: DataFrame, k: int, id_cols: Sequence[
 
     Every query looks at all rows: that is what exact search means. Queries are
     taken in blocks of ``block`` vectors, the bound of what the driver holds and of
-    what goes to the tasks; a block meets each Arrow batch of the index in one matrix
+    what goes to the tasks; a block meets ``ROW_BLOCK`` rows of the index in one matrix
     product, and each task hands on the k best of a query before the exchange by
     query. With more than one block, what each hands on is written. ``lists`` gives
     the lists that queries read, of an index with ``list`` (:mod:`ann`).
