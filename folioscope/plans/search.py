@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import posixpath
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answer as a
+from ..functions.text import let
 from ..operators.models import Answerer, answered
 from ..operators.retrieval import top_k
 
@@ -70,22 +73,40 @@ def search(index: DataFrame, best: DataFrame, question: str, answerer: Answerer,
     return results(answered(rows_of(index, best), answerer, F.lit(question)), answerer.name, limit)
 
 
-#: Words, and what stands between them: together they cover a text.
-_PIECES = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+"
+#: A character of a word.
+_WORD = r"[\p{L}\p{M}\p{N}]"
 
 
-def highlights(text: Column, words: Sequence[str]) -> Column:
-    """``array<struct<start, end>>``: where a text says one of the lower-cased ``words``, in one pass over its pieces."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECES), F.lit(0))
-    wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+def _pieces_of(words: Sequence[str]) -> str | None:
+    """A pattern of the whole pieces (runs of word characters, or of others) that may be one of ``words`` in lower case; None if no piece can be."""
+    kinds = {w: {unicodedata.category(c)[0] in "LMN" for c in w} for w in words if w}
+    some = lambda kind: "|".join(re.sub("i\u0307", "(?:i\u0307|\u0130)", re.escape(w)) for w, k in kinds.items() if k == {kind})
+    inside, between = some(True), some(False)
+    parts = [f"(?<!{_WORD})(?iu:{inside})(?!{_WORD})"] if inside else []
+    parts += [f"(?<!{_WORD.replace('[', '[^')})(?:{between})(?!{_WORD.replace('[', '[^')})"] if between else []
+    return "|".join(parts) or None
 
-    def step(s: Column, p: Column) -> Column:
-        end = s["at"] + F.length(p)
-        here = F.array(F.struct(s["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.lower(p)), F.concat(s["found"], here)).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(pieces, start, step)["found"]
+def highlights(text: Column, words: Sequence[str]) -> Column:
+    """``array<struct<start, end>>``: where a text says one of the lower-cased ``words``, in one pass over what may be one and what stands between."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    pattern = _pieces_of(words)
+    if pattern is None:
+        return none
+    wanted, text = F.array(*[F.lit(w) for w in words]), F.coalesce(text, F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = F.struct((s["at"] + x["before"]).alias("start"), (s["at"] + x["before"] + x["own"]).alias("end"))
+        return F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.when(x["is"], F.concat(s["found"], F.array(here))).otherwise(s["found"]).alias("found"))
+
+    def placed(said: Column) -> Column:
+        # The text behind the last piece has none.
+        before = F.slice(F.split(text, pattern), 1, F.size(said))
+        each = F.zip_with(before, said, lambda b, p: F.struct(F.length(b).alias("before"), F.length(p).alias("own"), F.array_contains(wanted, F.lower(p)).alias("is")))
+        return F.aggregate(each, start, step)["found"]
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def facets(found: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
