@@ -398,7 +398,8 @@ class VectorIndex:
             best = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id"))).where(F.col("place") <= book.depth * k)
             # QUERY_BLOCK rows of one vector.
             names = F.broadcast(self.spark.createDataFrame([(q, r["query_id"], r["query_vector"]) for q, r in enumerate(asked)], "q int, query_id long, query_vector array<float>"))
-            scored = entries.select("id", "list", "embedding").join(best.select("q", "id", "list"), ["list", "id"]).join(names, "q")
+            # Neither vectors nor candidates go by way of the driver; all blocks read one exchange of the vectors.
+            scored = entries.select("id", "list", "embedding").join(best.select("q", "id", "list").hint("merge"), ["list", "id"]).join(names, "q")
             return scored.select("query_id", "id", score(dot(F.col("embedding"), F.col("query_vector"))).alias("retrieval_score"))
 
         for r in queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<float>").alias("query_vector")).toLocalIterator():
