@@ -92,7 +92,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def fit(words: np.ndarray, dense: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Model:
+class Sparse:
+    """Rows of a matrix by the places and values that are not 0; an index gives those rows whole."""
+
+    def __init__(self, ends: np.ndarray, at: np.ndarray, x: np.ndarray, width: int, rows: np.ndarray | None = None):
+        self.ends, self.at, self.x, self.rows = ends, at, x, np.arange(len(ends) - 1) if rows is None else rows
+        self.shape = len(self.rows), width
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(i), self.shape[1]), np.float32)
+        for to, row in zip(out, self.rows[i].tolist(), strict=True):
+            a, b = self.ends[row : row + 2]
+            to[self.at[a:b]] = self.x[a:b]
+        return out
+
+    def ordered(self, rows: np.ndarray) -> Sparse:
+        return Sparse(self.ends, self.at, self.x, self.shape[1], self.rows[rows])
+
+
+def fit(words: np.ndarray | Sparse, dense: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Model:
     """Adam on the log loss, classes weighted evenly; without two classes the score is the share of label 1."""
     rng = np.random.default_rng(s.seed)
     d = words.shape[1] + dense.shape[1]
@@ -102,7 +120,6 @@ def fit(words: np.ndarray, dense: np.ndarray, y: np.ndarray, s: Settings = Setti
         m.factors[:] = 0
         m.bias = float(np.log((share + 0.01) / (1.01 - share)))
         return m
-    x = m.inputs(words, dense)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (np.zeros(1, np.float32), m.linear, m.factors)]
     bias, t = np.zeros(1, np.float32), 0
@@ -111,7 +128,8 @@ def fit(words: np.ndarray, dense: np.ndarray, y: np.ndarray, s: Settings = Setti
         order = rng.permutation(len(y))
         for at in range(0, len(y), s.batch):
             i, t = order[at : at + s.batch], t + 1
-            xb = x[i]
+            # Only the rows of a step are spelt out: the driver never holds the whole matrix.
+            xb = m.inputs(words[i], dense[i])
             m.bias = float(bias[0])
             g = ((m.score(xb) - y[i]) * weight[i] / len(i)).astype(np.float32)
             sums = xb @ m.factors
@@ -156,14 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most train_rows rows of two numbers: a proven bound.
     rows = slim.join(F.broadcast(sample), "id").select("y", "text", "meta").mapInArrow(_features(s.buckets), "y double, at array<int>, x array<float>, dense array<double>, meta array<double>").toArrow()
     n = rows.num_rows
-    words = np.zeros((n, s.buckets), np.float32)
     at, x = rows["at"].combine_chunks(), rows["x"].combine_chunks()
-    if n:
-        words[np.repeat(np.arange(n), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = x.flatten().to_numpy()
+    ends = np.cumsum([0, *at.value_lengths().to_pylist()])
+    words = Sparse(ends, at.flatten().to_numpy(), x.flatten().to_numpy(), s.buckets)
     dense = np.hstack([np.array(rows["dense"].to_pylist(), float).reshape(n, STATISTICS), np.array(rows["meta"].to_pylist(), float).reshape(n, len(metadata or []))])
     y = (rows["y"].to_numpy() > 0.5).astype(np.float32)
-    order = np.lexsort((words @ np.arange(s.buckets, dtype=np.float32), dense[:, 1], dense[:, 0], y)) if n else np.zeros(0, int)
-    return fit(words[order], dense[order], y[order], s)
+    mean = np.bincount(np.repeat(np.arange(n), np.diff(ends)), words.x * words.at.astype(float), n)
+    order = np.lexsort((mean, dense[:, 1], dense[:, 0], y)) if n else np.zeros(0, int)
+    return fit(words.ordered(order), dense[order], y[order], s)
 
 
 def _scores(model, metadata: bool):
