@@ -11,6 +11,8 @@ bitfield, so that no place is tried twice.
 
 No piece goes over the end of a word (a space opens a piece or stands between
 spaces), so words are encoded one by one and a worker remembers the frequent ones.
+Those of a slice of rows that it does not know are merged together, each by its own
+best pair in every step; long words and foreign characters are placed as above.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,10 @@ MERGES = 2
 #: Bytes that a worker's memory of words may take, two generations together, and the longest word in it.
 KNOWN_BYTES = 160 << 20
 LONGEST = 64
+#: Words that are merged together.
+MERGED = 1 << 14
+#: Stands for a line break before a word; no character.
+BREAK = "\uffff"
 #: Pairs of neighbours that a worker remembers.
 PAIRS = 300_000
 
@@ -62,6 +69,15 @@ class Memory:
             self.old, self.new, self.size = self.new, {}, 0
         self.new[key] = value
 
+    def put_all(self, keys: list[str], values: list[bytes], step: int = 4096) -> None:
+        """:meth:`put` of many, of which none is too long."""
+        for at in range(0, len(keys), step):
+            some = dict(zip(keys[at : at + step], values[at : at + step], strict=True))
+            self.size += sum(map(sys.getsizeof, some)) + sum(map(sys.getsizeof, some.values())) + 120 * len(some)
+            if self.size > self.limit:
+                self.old, self.new, self.size = self.new, {}, 0
+            self.new.update(some)
+
 
 class Surfaces:
     """What the pieces of a model file say: enough to decode."""
@@ -138,6 +154,26 @@ class Pieces(Surfaces):
         self.pairs: dict[int, bool] = {}
         self.words, self.lines = Memory(known_bytes), Memory(known_bytes // 4)
         self.line = self._part("\n")
+        self.simple = self.cuts and self.foreign.fullmatch("\n" + BREAK) is not None
+        self._table()
+
+    def _table(self) -> None:
+        """Ids of characters, and all pairs that merge, in order: their rank (the greatest score is 0) and what they make."""
+        self.characters = np.full(sys.maxunicode + 1, -1, np.int32)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.characters[ord(p)] = i
+        if self.simple:
+            self.characters[ord(BREAK)] = np.frombuffer(self.line, np.int32)[0]
+        pairs = np.fromiter(self.merges, np.int64, len(self.merges))
+        made = np.fromiter((self.id[self.names[k >> 32] + self.names[k & 0xFFFFFFFF]] for k in self.merges), np.int64, len(pairs))
+        rank = np.unique(-np.fromiter(self.merges.values(), float, len(pairs)), return_inverse=True)[1]
+        order = np.argsort(pairs)
+        # The last one is equal to no pair.
+        self.pair_keys = np.r_[pairs[order], np.iinfo(np.int64).max]
+        self.pair_made = np.r_[made[order], 0]
+        self.pair_rank = np.r_[rank[order], 0]
+
     def merged(self, text: str) -> list[str]:
         """The pieces that merging makes of a short text of known characters."""
         out, score = list(text), self.score.get
@@ -281,12 +317,130 @@ class Pieces(Surfaces):
             self.lines.put(part, found)
         return found
 
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of short words, those behind a line break with ``BREAK`` for it: each step merges the best pair of every word."""
+        parts = [w if w[:1] == BREAK else SPACE + w for w in words]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = self.characters[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")].astype(np.int64)
+        known = np.minimum.reduceat(ids, np.cumsum(size) - size) >= 0
+        part = np.repeat(np.arange(len(parts)), size)
+        ids, part = ids[known[part]], part[known[part]]
+        none = len(self.pair_keys) << 32
+
+        def looked_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = a << 32 | b
+            at = np.searchsorted(self.pair_keys, key)
+            return np.where(self.pair_keys[at] == key, self.pair_rank[at] << 32, none), self.pair_made[at]
+
+        done_part, done_ids = [], []
+        # best: of each id with the next one of its part.
+        best, made = np.full(len(ids), none), np.zeros(len(ids), np.int64)
+        inner = np.flatnonzero(part[1:] == part[:-1])
+        best[inner], made[inner] = looked_up(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            least = np.minimum.reduceat(best + np.arange(len(ids)), starts)
+            going = least < none
+            if not going.all():
+                stays = np.repeat(going, np.diff(np.r_[starts, len(ids)]))
+                done_part.append(part[~stays])
+                done_ids.append(ids[~stays])
+                before = np.cumsum(~stays)
+                least = least[going]
+                at = least & 0xFFFFFFFF
+                at -= before[at]
+                ids, part, best, made = ids[stays], part[stays], best[stays], made[stays]
+            else:
+                at = least & 0xFFFFFFFF
+            if not len(at):
+                break
+            ids[at] = made[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, part, best, made = ids[keep], part[keep], best[keep], made[keep]
+            at -= np.arange(len(at))
+            # Only the pairs on the two sides of what was merged are new.
+            best[at] = none
+            right = at[at + 1 < len(ids)]
+            right = right[part[right] == part[right + 1]]
+            left = at[at > 0] - 1
+            left = left[part[left] == part[left + 1]]
+            new = np.concatenate([left, right])
+            best[new], made[new] = looked_up(ids[new], ids[new + 1])
+        out: list[bytes] = [b""] * len(parts)
+        if done_part:
+            part = np.concatenate(done_part)
+            order = np.argsort(part, kind="stable")
+            data, ends = np.concatenate(done_ids)[order].astype("<i4").tobytes(), np.cumsum(np.bincount(part, minlength=len(parts)) * 4).tolist()
+            out = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for i in np.flatnonzero(~known).tolist():
+            out[i] = self._alone(words[i])
+        return out
+
+    def _alone(self, word: str) -> bytes:
+        return self.line + self._part(word[1:]) if word[:1] == BREAK else self._part(SPACE + word)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; those that are not remembered are merged together."""
+        out = list(map(self.words.new.get, words))
+        unknown = [i for i, x in enumerate(out) if x is None]
+        found = list(map(self.words.old.get, [words[i] for i in unknown]))
+        missing = [i for i, x in zip(unknown, found, strict=True) if x is None]
+        short = [i for i in missing if len(words[i]) <= self.words.longest]
+        if len(short) < len(missing):
+            for i in missing:
+                if len(words[i]) > self.words.longest:
+                    out[i] = self._alone(words[i])
+        again = [(words[i], x) for i, x in zip(unknown, found, strict=True) if x is not None]
+        for i, x in zip(unknown, found, strict=True):
+            if x is not None:
+                out[i] = x
+        self.words.put_all([w for w, _ in again], [x for _, x in again])
+        for at in range(0, len(short), MERGED):
+            some = short[at : at + MERGED]
+            keys = [words[i] for i in some]
+            values = self._together(keys)
+            for i, x in zip(some, values, strict=True):
+                out[i] = x
+            self.words.put_all(keys, values)
+        return out
+
+    def encode_all(self, texts: pa.Array, last: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`encode` of each text, null ones empty, with ``last`` behind it: where each begins and ends, and the ids of all.
+
+        Texts are cut into words in Arrow, and what follows goes by different words.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        text = pc.replace_substring(texts, SPACE, " ")
+        odd = pc.equal(text, "")
+        for p in ("  ", BREAK):
+            odd = pc.or_(odd, pc.match_substring(text, p))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(text, " "), pc.ends_with(text, " ")))
+        if not self.simple:
+            odd = pc.equal(text, text)
+        lists = pc.split_pattern(pc.if_else(odd, None, pc.replace_substring(text, "\n", " " + BREAK)), " ")
+        words = lists.flatten().dictionary_encode()
+        # Behind the words of a plain text stands the last id; one of an odd text is its only word.
+        ids = [*self._ids(words.dictionary.to_pylist()), last]
+        order, at, put = words.indices.to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy()), []
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            put.append((i, at[i], len(ids)))
+            ids.append(self.encode(texts[i].as_py()))
+        behind = len(words.dictionary)
+        put = np.array(sorted([*put, *zip(range(len(at)), at, [behind] * len(at), strict=True)], key=lambda x: (x[0], x[2] == behind)), np.int64).reshape(-1, 3)
+        order = np.insert(order, put[:, 1], put[:, 2])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        values, starts, each = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(size) - size, size[order]
+        ends = np.cumsum(each)
+        closed = ends[order == behind]
+        return np.r_[0, closed], values[np.repeat(starts[order] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
         text = text.replace(SPACE, " ")
-        if not self.cuts or "\n" in self.id:
+        if not self.cuts or "\n" in self.id or BREAK in text:
             return self._part(SPACE + text.replace(" ", SPACE))
         words = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
         got = list(map(self.words.new.get, words))
@@ -315,10 +469,9 @@ def _encodes(path: str, end: bool, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         last = np.array([model.end] if end else [], "<i4").tobytes()
-        for b in sliced(batches, 256, give_back=False):
-            data = [model.encode(t or "") + last for t in b.column("text").to_pylist()]
-            offsets = np.cumsum([0, *(len(d) // 4 for d in data)])
-            ids = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.frombuffer(b"".join(data), "<i4"))).cast(pa.list_(pa.int32()))
+        for b in sliced(batches, 512, give_back=False):
+            offsets, values = model.encode_all(b.column("text"), last)
+            ids = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values)).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), *([b.column("text")] if keep_text else []), b.column("rest"), ids], ["id", *(["text"] if keep_text else []), "rest", "ids"])
 
     return run
